@@ -11,6 +11,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TINY = 1e-300
 
@@ -83,17 +84,17 @@ def _pearson(r: float, n: float) -> float | None:
     return beta_inc(df / 2.0, 0.5, 1.0 - min(r * r, 1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _pearson_udf(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([_pearson(a, b) for a, b in zip(r, n)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_udf(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([gamma_upper(d / 2.0, s / 2.0) for s, d in zip(stat, dof)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _f_udf(stat: pd.Series, between: pd.Series, within: pd.Series) -> pd.Series:
     return pd.Series(
         [beta_inc(w / 2.0, b / 2.0, w / (w + b * s)) for s, b, w in zip(stat, between, within)], dtype="float64"
