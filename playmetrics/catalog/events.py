@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks, episodes, growth, players, sessions
 from ..sources.events import as_events
+from ..sources.tables import settle
 from ..streaming import streams
 from .registry import (
     BEGIN,
@@ -663,7 +664,7 @@ FLAGS = f"""flags AS (SELECT player, arg_max(vip_level, rn) <> 0 AS vip, count(D
       AND NOT EXISTS (SELECT 1 FROM top o WHERE o.list <> 'spread' AND o.list <> t.list AND o.action = t.action)""",
 )
 def _(spark, sf):
-    events = profile_log(spark, sf)
+    events = settle(profile_log(spark, sf), "log")
     return rounded(players.separating_actions(events, players.vip_and_retained_flags(events, RETAINED_DAYS), 3))
 
 
@@ -684,7 +685,7 @@ def _(spark, sf):
     SELECT player, device, size, rate FROM o JOIN s USING (device)""",
 )
 def _(spark, sf):
-    events = full_log(spark, sf)
+    events = full_log(spark, sf, device=True)
     return rounded(players.device_pay_rate(events, events.where("vip_level > 0"), 10))
 
 
@@ -704,7 +705,7 @@ def _(spark, sf):
 
 def profile(spark, sf):
     return players.user_profile(
-        profile_log(spark, sf), "view", "purchase", GAP, GAP, GAP, WINDOW, RETAINED_DAYS
+        settle(profile_log(spark, sf), "log"), "view", "purchase", GAP, GAP, GAP, WINDOW, RETAINED_DAYS
     )
 
 
@@ -763,7 +764,11 @@ def _event_stream(spark, sf):
     return as_events(source, player="user_id", ts="ts", event_id="event_id", action="event_type")
 
 
-@query("stream_sessions")
+@query(
+    "stream_sessions",
+    f"""WITH {LOG}, {sessions_sql()} SELECT player, start_ts, end_ts, clicks FROM sessions
+    WHERE end_ts + {GAP} <= (SELECT max(ts) - 600 FROM log)""",
+)
 def _(spark, sf):
     return streams.drain(streams.stream_sessions(_event_stream(spark, sf), GAP), "sessions")
 
@@ -773,6 +778,10 @@ def _(spark, sf):
     return rounded(streams.drain(streams.stream_enter_ratio(_event_stream(spark, sf), "view"), "ratio"))
 
 
-@query("stream_active_blocks")
+@query(
+    "stream_active_blocks",
+    f"""WITH RECURSIVE {LOG}, {blocks_sql()} SELECT player, block, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS clicks
+    FROM full_rows GROUP BY 1, 2""",
+)
 def _(spark, sf):
     return streams.drain(streams.stream_active_blocks(_event_stream(spark, sf), BLOCK, GAP, idle="60 days"), "blocks")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models, stats
 from ..operators.players import one_hot
+from ..sources.tables import settle
 from .events import profile
 from .registry import query, rounded, table
 
@@ -192,7 +193,7 @@ def _(spark, sf):
 
 def folded(spark, sf, folds: int = 3):
     split = models.stratified_folds(lines(spark, sf), "label", ["l_orderkey", "l_linenumber"], folds, chunk=4096)
-    return models.assemble(split, FEATURES, "label", ["fold"]).cache()
+    return models.assemble(settle(split, "folds"), FEATURES, "label", ["fold"])
 
 
 @query("decision_tree")
@@ -209,7 +210,8 @@ def _(spark, sf):
 
 def profile_data(spark, sf):
     """The profile with the vip flag as label; players without a session before VIP are left out."""
-    return profile(spark, sf).na.drop("any").withColumn("vip", F.col("vip").cast("int")).cache()
+    clean = profile(spark, sf).na.drop("any")
+    return settle(clean.withColumn("vip", F.col("vip").cast("int")), "profile")
 
 
 @query("random_forest")
@@ -235,7 +237,7 @@ def _(spark, sf):
 
 @query("kmeans_sweep")
 def _(spark, sf):
-    return models.kmeans_sweep(profile(spark, sf), ["freq", "ratio"], (2, 3))
+    return models.kmeans_sweep(profile_data(spark, sf), ["freq", "ratio"], (2, 3))
 
 
 @query("kmeans_embeddings")

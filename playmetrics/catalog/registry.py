@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.timeline import Prev, RowNumber, RunSum, running
+from ..plans.timeline import LinkSum, RowNumber, RunSum, running
 from ..sources.events import as_events, day_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,8 +47,8 @@ BLOCK = 86_400
 RETAINED_DAYS = 26
 
 
-def log(spark: SparkSession, sf: str) -> DataFrame:
-    """``events`` as a game log: player, ts, event_id, action, key_index (cents), device."""
+def log(spark: SparkSession, sf: str, **extra) -> DataFrame:
+    """``events`` as a game log: player, ts, event_id, action, key_index (cents)."""
     return as_events(
         table(spark, sf, "events"),
         player="user_id",
@@ -56,31 +56,34 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
         event_id="event_id",
         action="event_type",
         key_index=F.round(F.col("value") * 100).cast("bigint"),
-        device=F.get_json_object("props", "$.k").cast("int") % 12,
+        **extra,
     )
 
 
-def full_log(spark: SparkSession, sf: str) -> DataFrame:
-    """The log with the running columns level, power and vip_level."""
-    events = log(spark, sf)
+def _scanned(events: DataFrame, *more) -> DataFrame:
+    """The log with the running columns level, power and vip_level, and any others asked for."""
     paid = F.when(F.col("action") == "purchase", F.col("key_index")).otherwise(F.lit(0))
     big = ((F.col("action") == "purchase") & (F.col("key_index") >= 15_000)).cast("int")
-    scanned = running(events, RowNumber("_rn_"), RunSum("power", paid), RunSum("_vip", big))
+    scanned = running(events, RowNumber("_rn_"), RunSum("power", paid), RunSum("_vip", big), *more)
     return scanned.select(
         *events.columns,
         (F.floor((F.col("_rn_") - 1) / 10) + 1).cast("int").alias("level"),
         "power",
         (F.col("_vip") > 0).cast("int").alias("vip_level"),
+        *[F.col(spec.name).cast("int").alias(spec.name) for spec in more],
     )
 
 
+def full_log(spark: SparkSession, sf: str, device: bool = False) -> DataFrame:
+    """The log with level, power and vip_level."""
+    extra = {"device": F.get_json_object("props", "$.k").cast("int") % 12} if device else {}
+    return _scanned(log(spark, sf, **extra))
+
+
 def profile_log(spark: SparkSession, sf: str) -> DataFrame:
     """The full log with num_days_played, the number of distinct days seen so far."""
-    events = full_log(spark, sf)
-    linked = running(events, Prev("_before", ("ts",)))
-    new_day = F.coalesce(day_of(F.col("_before.ts")) != day_of(F.col("ts")), F.lit(True)).cast("int")
-    counted = running(linked.withColumn("_new", new_day), RunSum("num_days_played", F.col("_new")))
-    return counted.select(*events.columns, F.col("num_days_played").cast("int").alias("num_days_played"))
+    new_day = lambda before, now: (day_of(before["ts"]) != day_of(now["ts"])).cast("int")
+    return _scanned(log(spark, sf), LinkSum("num_days_played", ("ts",), new_day))
 
 
 LOG = """log AS (

@@ -9,8 +9,8 @@ from ..operators import frames, stats
 from ..operators.sessions import play_span
 from ..plans.quantiles import group_stats
 from ..sources import tables as io
+from ..sources.tables import work_dir
 from ..sources.events import calendar_ranges, epoch_seconds, hour_of
-from ..streaming.streams import work_dir
 from .registry import BEGIN, DAY0, LOG, log, query, rounded, table
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.quantiles import group_stats, widen
-from ..plans.timeline import CHUNK_SECS, LastSeen, Prev, RowNumber, RunSum, position, running
+from ..plans.timeline import CHUNK_SECS, Histories, LastSeen, Prev, RowNumber, RunSum, position, running
 from .sessions import gap_sessions
 
 GAP = 300
@@ -167,7 +167,8 @@ def key_growth_by_block(
 
 
 def _linked(events: DataFrame, columns: tuple[str, ...], chunk_secs: int) -> DataFrame:
-    return with_head(running(events, Prev("before", ("ts", *columns)), chunk_secs=chunk_secs))
+    rows = events.select("player", "ts", "event_id", *columns)
+    return with_head(running(rows, Prev("before", ("ts", *columns)), chunk_secs=chunk_secs))
 
 
 def key_growth_times(
@@ -372,26 +373,23 @@ def ui_stays(
     independent segments, which are spread over the tasks and read in order with constant memory.
     """
     enters, leaves = F.col("action") == enter, F.col("action") == exits
-    linked = running(
-        events,
-        RowNumber("rn"),
-        Prev("before", ("ts",)),
-        LastSeen("entered", F.when(enters, F.col("ts")), inclusive=True, numbered=True),
-        chunk_secs=chunk_secs,
-    )
     far = F.coalesce(F.col("ts") - F.col("before.ts") > limit, F.lit(False))
     idle = F.col("entered").isNull() | (F.col("rn") - F.col("entered.rn") >= loss_window)
-    closed = idle | (~enters & (leaves | far))
-    rows = linked.select(
-        "player",
-        "ts",
-        "event_id",
-        F.coalesce("before.ts", "ts").alias("prev_ts"),
-        enters.alias("enters"),
-        leaves.alias("exits"),
-        closed.cast("int").alias("closed"),
+    closed = idle | (~F.col("enters") & (F.col("exits") | far))
+    split = (
+        Histories(
+            events.select("player", "ts", "event_id", enters.alias("enters"), leaves.alias("exits")),
+            chunk_secs=chunk_secs,
+        )
+        .add(
+            RowNumber("rn"),
+            Prev("before", ("ts",)),
+            LastSeen("entered", F.when(F.col("enters"), F.col("ts")), inclusive=True, numbered=True),
+        )
+        .let(closed=closed.cast("int"), prev_ts=F.coalesce("before.ts", "ts"))
+        .add(RunSum("segment", F.col("closed"), inclusive=False))
+        .done()
     )
-    split = running(rows, RunSum("segment", F.col("closed"), inclusive=False), chunk_secs=chunk_secs)
     ordered = (
         split.select("player", "segment", "ts", "event_id", "prev_ts", "enters", "exits")
         .repartition("player", "segment")

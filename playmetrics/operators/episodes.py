@@ -18,7 +18,9 @@ from ..plans.quantiles import group_stats, widen
 from ..plans.timeline import (
     CHUNK_SECS,
     FirstSeen,
+    Histories,
     LastSeen,
+    LinkSum,
     Prev,
     RowNumber,
     RunSum,
@@ -40,17 +42,19 @@ def repeat_runs(
     ``duration``, from the second click to the last, must be under ``duration_limit``.
     ``preceding`` is the action before the run.
     """
-    linked = running(events, Prev("before", ("action",)), chunk_secs=chunk_secs)
+    changed = lambda before, now: (before["action"] != now["action"]).cast("int")
+    placed = running(
+        events.select("player", "ts", "event_id", "action"), Prev("before", ("action",)), LinkSum("run", ("action",), changed), chunk_secs=chunk_secs
+    )
     starts = F.coalesce(F.col("before.action") != F.col("action"), F.lit(True))
-    marked = linked.withColumn("starts", starts.cast("int"))
     runs = (
-        running(marked, RunSum("run", F.col("starts")), chunk_secs=chunk_secs)
+        placed.withColumn("starts", starts)
         .groupBy("player", "run", "action")
         .agg(
             (F.count(F.lit(1)) - 1).alias("repeats"),
             F.min("ts").alias("start_ts"),
-            (F.max("ts") - F.min(F.when(F.col("starts") == 0, F.col("ts")))).alias("duration"),
-            F.max(F.when(F.col("starts") == 1, F.col("before.action"))).alias("preceding"),
+            (F.max("ts") - F.min(F.when(~F.col("starts"), F.col("ts")))).alias("duration"),
+            F.max(F.when(F.col("starts"), F.col("before.action"))).alias("preceding"),
         )
         .where((F.col("repeats") >= 1) & (F.col("duration") < duration_limit))
     )
@@ -121,7 +125,9 @@ def episode_table(
         FirstSeen(f"_in{i}", F.when(action_is("action", enter), F.col("ts")), numbered=True)
         for i, (enter, _) in enumerate(pairs)
     ]
-    rows = running(events, RowNumber("rn"), *seen, chunk_secs=chunk_secs)
+    rows = running(
+        events.select("player", "ts", "event_id", "action"), RowNumber("rn"), *seen, chunk_secs=chunk_secs
+    )
     folded = []
     for i, (_, exits) in enumerate(pairs):
         first = F.col(f"_in{i}")
@@ -158,11 +164,13 @@ def ui_stay_actions(
 
     Per action: players, total, mean and median clicks.
     """
-    first = FirstSeen("_in", F.when(action_is("action", enter), F.col("ts")), numbered=True)
-    rows = running(events, RowNumber("rn"), first, chunk_secs=chunk_secs).where(F.col("rn") > F.col("_in.rn"))
     leaves = action_is("action", exits).cast("int")
-    inside = running(
-        rows.select("player", "ts", "event_id", "action"), RunSum("exits", leaves), chunk_secs=chunk_secs
+    inside = (
+        Histories(events.select("player", "ts", "event_id", "action"), chunk_secs=chunk_secs)
+        .add(RowNumber("rn"), FirstSeen("_in", F.when(action_is("action", enter), F.col("ts")), numbered=True))
+        .where(F.col("rn") > F.col("_in.rn"))
+        .add(RunSum("exits", leaves))
+        .done()
     )
     leavers = inside.where(leaves == 1).select("player").distinct()
     clicks = (
@@ -324,7 +332,12 @@ def find_payers(
     seen = LastSeen("_kw", F.when(marked, F.col("key_index")), numbered=True)
     steps = F.col("rn") - F.col("_kw.rn")
     return (
-        running(events, RowNumber("rn"), seen, chunk_secs=chunk_secs)
+        running(
+            events.select("player", "ts", "event_id", "action", "key_index"),
+            RowNumber("rn"),
+            seen,
+            chunk_secs=chunk_secs,
+        )
         .where((steps <= step_limit + 1) & (F.col("key_index") - F.col("_kw.value") >= money_limit))
         .groupBy("player")
         .agg(F.min_by(steps, F.col("rn")).cast("bigint").alias("steps"))
@@ -346,16 +359,13 @@ def pre_conversion_actions(events: DataFrame, pay_actions: Sequence[str], chunk_
     """
     paying = action_is("action", list(pay_actions))
     money = F.col("key_index")
-    linked = running(
-        events,
-        LastSeen("_outside", F.when(~paying, money)),
-        FirstSeen("_first", money),
-        chunk_secs=chunk_secs,
-    )
     converts = paying & (money > F.coalesce("_outside", "_first"))
-    marked = linked.withColumn("_converts", converts.cast("int"))
     return (
-        running(marked, RunSum("_done", F.col("_converts")), chunk_secs=chunk_secs)
+        Histories(events.select("player", "ts", "event_id", "action", "key_index"), chunk_secs=chunk_secs)
+        .add(LastSeen("_outside", F.when(~paying, money)), FirstSeen("_first", money))
+        .let(_converts=converts.cast("int"))
+        .add(RunSum("_done", F.col("_converts")))
+        .done()
         .where((F.col("_done") == 0) & ~paying)
         .groupBy("player", "action")
         .agg(F.count(F.lit(1)).alias("clicks"))

@@ -19,7 +19,8 @@ from .stats import standardize
 def key_change_per_player_level(events: DataFrame, chunk_secs: int = CHUNK_SECS) -> DataFrame:
     """The eight change measures per (player, level)."""
     keys = ("player", "level")
-    linked = running(events, Prev("before", ("key_index", "power")), keys=keys, chunk_secs=chunk_secs)
+    rows = events.select(*keys, "ts", "event_id", "key_index", "power")
+    linked = running(rows, Prev("before", ("key_index", "power")), keys=keys, chunk_secs=chunk_secs)
     delta = F.col("key_index") - F.col("before.key_index")
     power_delta = F.col("power") - F.col("before.power")
     at = position()
@@ -107,7 +108,7 @@ def cumulative_change(
         in_range = in_range & (F.col("ts") >= begin)
     if end is not None:
         in_range = in_range & (F.col("ts") <= end)
-    ranged = events.where(in_range)
+    ranged = events.where(in_range).select(*keys, "ts", "event_id", "key_index")
     sign = 1 if growth else -1
     at = position()
     linked = running(ranged, Prev("before", ("key_index",)), keys=keys, chunk_secs=chunk_secs)

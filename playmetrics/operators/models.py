@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import chi2_p, f_p
 from ..plans.timeline import RowNumber, Total, running
+from ..sources.tables import settle
 from .frames import impute
 from .stats import column_moments, standardize
 
@@ -333,9 +334,9 @@ def classify_users(
         clean = borderline_smote(clean, features, label, order[0])
         order = [order[0], "_copy"]
         clean = clean.withColumnRenamed("copy", "_copy")
-    split = stratified_folds(clean, label, order, folds, chunk)
-    raw = assemble(split, features, label, ["fold"]).cache()
-    scaled = assemble(standardize(split, list(features)), features, label, ["fold"]).cache()
+    split = settle(stratified_folds(clean, label, order, folds, chunk), "folds")
+    raw = assemble(split, features, label, ["fold"])
+    scaled = assemble(settle(standardize(split, list(features)), "scaled"), features, label, ["fold"])
     rows = raw.count()
     runs = (
         ("decision_tree", decision_tree(), raw),
@@ -388,13 +389,13 @@ def fit_clusters(df: DataFrame, features: Sequence[str], estimator: Estimator):
 def kmeans_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int] = (2, 3), seed: int = 0) -> DataFrame:
     """K-means on z-scores for each k: inertia, and the centres in original units.
 
-    Rows ``k, cluster, size, inertia, <features>``; the passes over the data share one cache.
+    Rows ``k, cluster, size, inertia, <features>``.  The z-scores are written once for all passes.
     """
     spark = df.sparkSession
     clean = df.select(*features).na.drop("any")
     moments, _ = column_moments(clean, features)
     scale = moments.first()
-    data = assemble(standardize(clean, list(features)), features).select("features").cache()
+    data = assemble(settle(standardize(clean, list(features)), "scaled"), features).select("features")
     rows = []
     for k in ks:
         model = KMeans(k=k, seed=seed).fit(data)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.quantiles import group_stats
 from ..plans.timeline import CHUNK_SECS, position
 from .blocks import ui_time_ratio
+from .frames import top_per_group
 from .episodes import find_payers, first_pay_view_time, ui_stay_time
 from .sessions import click_frequency, click_frequency_pre_vip, favourite_slot, first_day_and_retention
 from .stats import group_rate
@@ -55,28 +56,16 @@ def separating_actions(
     counted = action_distribution(events).join(flags.where("retained"), "player")
     medians = group_stats(counted, ["vip", "action"], ["clicks"], approx=approx)
     spread = group_stats(counted, ["action"], ["clicks"], ())
-    lists = {
-        "vip": medians.where("vip").select("action", F.col("p50").alias("score")),
-        "not_vip": medians.where(~F.col("vip")).select("action", F.col("p50").alias("score")),
-        "spread": spread.select("action", F.col("std_pop").alias("score")),
-    }
-    top = {name: _ranked(scores, top_n).withColumn("list", F.lit(name)) for name, scores in lists.items()}
-    alone = [
-        top[a].join(top[b].select("action"), "action", "left_anti").withColumn("list", F.lit(f"only_{a}"))
-        for a, b in (("vip", "not_vip"), ("not_vip", "vip"))
-    ]
-    result = None
-    for part in [*top.values(), *alone]:
-        part = part.select("list", "rank", "action", "score")
-        result = part if result is None else result.unionByName(part)
-    return result
-
-
-def _ranked(scores: DataFrame, n: int) -> DataFrame:
-    """The ``n`` best by score, then name, with their rank; only these few rows are ranked."""
-    best = scores.orderBy(F.col("score").desc(), "action").limit(n)
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), "action"))
-    return best.withColumn("rank", rank)
+    side = F.when(F.col("vip"), "vip").otherwise("not_vip").alias("list")
+    scores = medians.select(side, "action", F.col("p50").alias("score")).unionByName(
+        spread.select(F.lit("spread").alias("list"), "action", F.col("std_pop").alias("score"))
+    )
+    top = top_per_group(scores, ["list"], [F.col("score").desc(), F.col("action")], top_n)
+    # At most ``3 * top_n`` rows are left here.
+    sided = F.count_if(F.col("list") != "spread").over(Window.partitionBy("action"))
+    alone = (F.col("list") != "spread") & (sided == 1)
+    lists = F.when(alone, F.array("list", F.concat(F.lit("only_"), "list"))).otherwise(F.array("list"))
+    return top.select(F.explode(lists).alias("list"), "rank", "action", "score")
 
 
 def steps_to_vip(events: DataFrame) -> DataFrame:

@@ -233,12 +233,16 @@ def standardize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     moments, chosen = column_moments(df, columns)
     return df.join(F.broadcast(moments)).select(
         *[
-            (F.try_divide(F.col(c) - F.col(f"_mean_{c}"), F.col(f"_std_{c}"))).alias(c) if c in chosen else F.col(c)
-            for c in df.columns
+            ((F.col(c) - F.col(f"_mean_{c}")) / _scale(c)).alias(c) if c in chosen else F.col(c) for c in df.columns
         ]
     )
 
 
+def _scale(c: str) -> Column:
+    """A column's standard deviation, 1 for a constant column."""
+    return F.when(F.col(f"_std_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_std_{c}"))
+
+
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -255,7 +259,7 @@ def unstandardize(df: DataFrame, original: DataFrame, columns: Sequence[str]) ->
     """Bring z-scores back to the units of ``original``."""
     moments, chosen = column_moments(original, columns)
     return df.join(F.broadcast(moments)).select(
-        *[(F.col(c) * F.col(f"_std_{c}") + F.col(f"_mean_{c}")).alias(c) if c in chosen else F.col(c) for c in df.columns]
+        *[(F.col(c) * _scale(c) + F.col(f"_mean_{c}")).alias(c) if c in chosen else F.col(c) for c in df.columns]
     )
 
 

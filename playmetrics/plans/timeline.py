@@ -5,17 +5,18 @@ bot, a shared account, a default id) may hold a third of all rows, so every orde
 is split by ``(player, time chunk)``:
 
 1. the rows are shuffled by ``(keys, chunk)`` and windows run inside a chunk;
-2. each chunk is reduced to one summary row (partial aggregation before the shuffle);
+2. each chunk is reduced to one summary row, where it lies;
 3. a window over the summaries gives each chunk what came before it.  A player has at most
    one summary per chunk of the log's time span, whatever the number of its rows;
 4. the summaries are joined back on ``(keys, chunk)``, the partitioning the rows already have.
 
-The result is the same as that of the plain window for every chunk length.
+The rows are shuffled once, also for several scans that build on each other: all of them read
+the same exchange.  The result is that of the plain window for every chunk length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,6 +55,19 @@ class RunSum:
     inclusive: bool = True
 
 
+@dataclass(frozen=True)
+class LinkSum:
+    """``name``: sum so far of ``value(previous, current)``, both structs of ``columns``.
+
+    The first row of a history has no previous row and adds ``first``.
+    """
+
+    name: str
+    columns: tuple[str, ...]
+    value: Callable[[Column, Column], Column]
+    first: int = 1
+
+
 @dataclass(frozen=True)
 class LastSeen:
     """``name``: latest non-null ``value`` before the row (or up to it).
@@ -85,7 +99,7 @@ class Total:
     how: str = "sum"
 
 
-Spec = Prev | RowNumber | RunSum | LastSeen | FirstSeen | Total
+Spec = Prev | RowNumber | RunSum | LinkSum | LastSeen | FirstSeen | Total
 _FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -96,94 +110,149 @@ def _payload(spec: LastSeen | FirstSeen) -> Column:
     return spec.value
 
 
-def running(
-    df: DataFrame,
-    *specs: Spec,
-    keys: Sequence[str] = ("player",),
-    chunk_secs: int = CHUNK_SECS,
-    order: Sequence[str] = ORDER,
-) -> DataFrame:
-    """Add one column per spec, computed over each history in ``order``."""
-    part = [*keys, "_chunk"]
-    inside = Window.partitionBy(*part).orderBy(*order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-
-    rows = df.withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(chunk_secs)))
-    numbered = any(isinstance(s, RowNumber) or getattr(s, "numbered", False) for s in specs)
-    if numbered:
-        rows = rows.withColumn("_rn", F.row_number().over(inside))
-
-    local, summary = [], [F.count(F.lit(1)).alias("_n")]
-    for s in specs:
-        part_name = f"_s_{s.name}"
-        match s:
-            case Prev():
-                image = F.struct(*s.columns)
-                local.append(F.lag(image).over(inside).alias(s.name))
-                summary.append(F.max_by(image, position(order)).alias(part_name))
-            case RowNumber():
-                local.append(F.col("_rn").cast("bigint").alias(s.name))
-            case RunSum():
-                frame = upto if s.inclusive else earlier
-                local.append(F.coalesce(F.sum(s.value).over(frame), F.lit(0)).alias(s.name))
-                summary.append(F.sum(s.value).alias(part_name))
-            case LastSeen() | FirstSeen():
-                value = _payload(s)
-                seen = F.when(value.isNotNull(), position(order))
-                if isinstance(s, LastSeen):
-                    frame = upto if s.inclusive else earlier
-                    local.append(F.last(value, ignorenulls=True).over(frame).alias(s.name))
-                    summary.append(F.max_by(value, seen).alias(part_name))
-                else:
-                    local.append(F.first(value, ignorenulls=True).over(upto).alias(s.name))
-                    summary.append(F.min_by(value, seen).alias(part_name))
-            case Total():
-                summary.append(_FOLDS[s.how](s.value).alias(part_name))
+class Histories:
+    """Rows placed by ``(keys, chunk)``, to which ordered columns are added step by step.
 
-    carry = _carry(rows.groupBy(*part).agg(*summary), specs, keys)
-    joined = rows.select("*", *local).join(carry, part)
+    Give it only the columns that are needed: all of them travel.  Rows with a null key or time
+    belong to no history and are left out.
+    """
 
-    final = []
-    for s in specs:
-        here, before = F.col(s.name), F.col(f"_c_{s.name}")
-        match s:
-            case Prev():
-                value = F.coalesce(here, before)
-            case RowNumber():
-                value = here + F.col("_base")
-            case RunSum():
-                value = here + F.coalesce(before, F.lit(0))
-            case LastSeen() | FirstSeen():
-                if s.numbered:
-                    moved = F.struct(
-                        (here["rn"] + F.col("_base")).alias("rn"), here["value"].alias("value")
+    def __init__(
+        self,
+        df: DataFrame,
+        keys: Sequence[str] = ("player",),
+        chunk_secs: int = CHUNK_SECS,
+        order: Sequence[str] = ORDER,
+    ) -> None:
+        self.keys, self.order = list(keys), list(order)
+        self.part = [*keys, "_chunk"]
+        chunk = F.floor(F.col(order[0]) / F.lit(chunk_secs))
+        placed = df.withColumn("_chunk", chunk)
+        for column in self.part:
+            placed = placed.where(F.col(column).isNotNull())
+        self.rows = placed.repartition(*self.part)
+
+    def let(self, **columns: Column) -> Histories:
+        """Add columns computed from a row alone."""
+        self.rows = self.rows.withColumns(columns)
+        return self
+
+    def where(self, condition: Column) -> Histories:
+        """Keep some rows; later scans see only these."""
+        self.rows = self.rows.where(condition)
+        return self
+
+    def done(self) -> DataFrame:
+        return self.rows.drop("_chunk")
+
+    def add(self, *specs: Spec) -> Histories:
+        """Add one column per spec, computed over each history in order."""
+        inside = Window.partitionBy(*self.part).orderBy(*self.order)
+        upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+        rows, columns = self.rows, self.rows.columns
+        if any(isinstance(s, RowNumber) or getattr(s, "numbered", False) for s in specs):
+            rows = rows.withColumn("_rn", F.row_number().over(inside))
+        for s in specs:
+            if isinstance(s, LinkSum):
+                rows = rows.withColumn(f"_l_{s.name}", F.lag(F.struct(*s.columns)).over(inside))
+
+        at = position(self.order)
+        local, summary = [], [F.count(F.lit(1)).alias("_n")]
+        for s in specs:
+            part_name = f"_s_{s.name}"
+            match s:
+                case Prev():
+                    image = F.struct(*s.columns)
+                    local.append(F.lag(image).over(inside).alias(s.name))
+                    summary.append(F.max_by(image, at).alias(part_name))
+                case RowNumber():
+                    local.append(F.col("_rn").cast("bigint").alias(s.name))
+                case RunSum():
+                    frame = upto if s.inclusive else earlier
+                    local.append(F.coalesce(F.sum(s.value).over(frame), F.lit(0)).alias(s.name))
+                    summary.append(F.sum(s.value).alias(part_name))
+                case LinkSum():
+                    image, before = F.struct(*s.columns), F.col(f"_l_{s.name}")
+                    step = F.when(before.isNotNull(), s.value(before, image)).otherwise(F.lit(0))
+                    local.append(F.sum(step).over(upto).alias(s.name))
+                    ends = F.struct(
+                        F.sum(step).alias("sum"),
+                        F.min_by(image, at).alias("first"),
+                        F.max_by(image, at).alias("last"),
                     )
-                    here = F.when(here.isNotNull(), moved)
-                value = F.coalesce(here, before) if isinstance(s, LastSeen) else F.coalesce(before, here)
-            case Total():
-                value = before
-        final.append(value.alias(s.name))
-    return joined.select(*df.columns, *final)
+                    summary.append(ends.alias(part_name))
+                case LastSeen() | FirstSeen():
+                    value = _payload(s)
+                    seen = F.when(value.isNotNull(), at)
+                    if isinstance(s, LastSeen):
+                        frame = upto if s.inclusive else earlier
+                        local.append(F.last(value, ignorenulls=True).over(frame).alias(s.name))
+                        summary.append(F.max_by(value, seen).alias(part_name))
+                    else:
+                        local.append(F.first(value, ignorenulls=True).over(upto).alias(s.name))
+                        summary.append(F.min_by(value, seen).alias(part_name))
+                case Total():
+                    summary.append(_FOLDS[s.how](s.value).alias(part_name))
+
+        # The summaries read every column of the rows, so that both branches ask for the same
+        # exchange and Spark builds it once.
+        kinds = dict(self.rows.dtypes)
+        whole = F.max(F.xxhash64(*[c for c in columns if not kinds[c].startswith("map")]))
+        chunks = rows.groupBy(*self.part).agg(*summary, whole.alias("_whole")).where(F.col("_whole").isNotNull())
+        joined = rows.select("*", *local).join(_carry(chunks, specs, self.keys), self.part)
+        self.rows = joined.select(*columns, *[_combined(s).alias(s.name) for s in specs])
+        return self
+
+
+def _combined(s: Spec) -> Column:
+    """A row's value from its own chunk and what the chunk inherits."""
+    here, before = F.col(s.name), F.col(f"_c_{s.name}")
+    match s:
+        case Prev():
+            return F.coalesce(here, before)
+        case RowNumber():
+            return here + F.col("_base")
+        case RunSum() | LinkSum():
+            return here + F.coalesce(before, F.lit(0))
+        case Total():
+            return before
+    if s.numbered:
+        here = _moved(here)
+    return F.coalesce(here, before) if isinstance(s, LastSeen) else F.coalesce(before, here)
+
+
+def _moved(value: Column) -> Column:
+    """A numbered value with its row number counted from the start of the history."""
+    shifted = F.struct((value["rn"] + F.col("_base")).alias("rn"), value["value"].alias("value"))
+    return F.when(value.isNotNull(), shifted)
 
 
 def _carry(summary: DataFrame, specs: Sequence[Spec], keys: Sequence[str]) -> DataFrame:
     """What each chunk inherits from the chunks before it; one row per chunk."""
     chunks = Window.partitionBy(*keys).orderBy("_chunk")
     before = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    upto = chunks.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = chunks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     based = summary.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    for s in specs:
+        if isinstance(s, LinkSum):
+            based = based.withColumn(f"_p_{s.name}", F.lag(F.col(f"_s_{s.name}.last")).over(chunks))
     out = []
     for s in specs:
-        value = F.col(f"_s_{s.name}") if not isinstance(s, RowNumber) else None
+        value = F.col(f"_s_{s.name}")
         if getattr(s, "numbered", False):
-            moved = F.struct((value["rn"] + F.col("_base")).alias("rn"), value["value"].alias("value"))
-            value = F.when(value.isNotNull(), moved)
+            value = _moved(value)
         match s:
             case Prev():
                 carried = F.lag(value).over(chunks)
             case RunSum():
                 carried = F.sum(value).over(before)
+            case LinkSum():
+                # The first row of a chunk is linked to the last row of the chunk before.
+                prior = F.col(f"_p_{s.name}")
+                link = F.when(prior.isNotNull(), s.value(prior, value["first"])).otherwise(F.lit(s.first))
+                carried = F.coalesce(F.sum(value["sum"]).over(before), F.lit(0)) + F.sum(link).over(upto)
             case LastSeen():
                 carried = F.last(value, ignorenulls=True).over(before)
             case FirstSeen():
@@ -194,3 +263,14 @@ def _carry(summary: DataFrame, specs: Sequence[Spec], keys: Sequence[str]) -> Da
                 continue
         out.append(carried.alias(f"_c_{s.name}"))
     return based.select(*keys, "_chunk", "_base", *out)
+
+
+def running(
+    df: DataFrame,
+    *specs: Spec,
+    keys: Sequence[str] = ("player",),
+    chunk_secs: int = CHUNK_SECS,
+    order: Sequence[str] = ORDER,
+) -> DataFrame:
+    """One scan: add one column per spec, computed over each history in ``order``."""
+    return Histories(df, keys, chunk_secs, order).add(*specs).done()

@@ -28,7 +28,10 @@ def epoch_seconds(df: DataFrame, column: str) -> Column:
     """Whole epoch seconds of a timestamp, zone-free timestamp, or epoch number column."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', `{column}`)")
+        # Read off the fields, so that the session's time zone plays no part.
+        at = F.col(column)
+        clock = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+        return F.unix_date(F.to_date(at)).cast("bigint") * DAY + clock
     if isinstance(kind, T.TimestampType):
         return F.unix_seconds(F.col(column))
     return F.floor(F.col(column)).cast("bigint")

@@ -3,12 +3,36 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Mapping, Sequence
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
+
+    Only where that is unset (a local session) a temporary folder of this machine is used.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = tempfile.mkdtemp(prefix="playmetrics-")
+    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and go on from the written copy.
+
+    For results that several later jobs read: they start from the files, also after executors
+    are lost.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_log(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A Parquet log, only the wanted columns."""
     df = spark.read.parquet(path)

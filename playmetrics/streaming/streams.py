@@ -6,28 +6,15 @@ Rows older than the watermark are dropped.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
-from pathlib import PurePosixPath
-from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.predicates import action_is
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
-
-    Only where that is unset (a local session) a temporary folder of this machine is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="playmetrics-")
-    return f"{base.rstrip('/')}/{PurePosixPath(name).name}-{uuid4().hex}"
+from ..sources.tables import work_dir
 
 
 def _timed(events: DataFrame, delay: str) -> DataFrame:
