@@ -63,9 +63,9 @@ def separating_actions(
     top = top_per_group(scores, ["list"], [F.col("score").desc(), F.col("action")], top_n)
     # At most ``3 * top_n`` rows are left here.
     sided = F.count_if(F.col("list") != "spread").over(Window.partitionBy("action"))
-    alone = (F.col("list") != "spread") & (sided == 1)
-    lists = F.when(alone, F.array("list", F.concat(F.lit("only_"), "list"))).otherwise(F.array("list"))
-    return top.select(F.explode(lists).alias("list"), "rank", "action", "score")
+    marked = top.withColumn("_alone", (F.col("list") != "spread") & (sided == 1))
+    lists = F.when(F.col("_alone"), F.array("list", F.concat(F.lit("only_"), "list"))).otherwise(F.array("list"))
+    return marked.select(F.explode(lists).alias("list"), "rank", "action", "score")
 
 
 def steps_to_vip(events: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Grouped statistics with exact quantiles for groups of any size.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one buffer.  Here a
-group's quantile is first bracketed with ``percentile_approx`` (its rank error is bounded by
-``1/accuracy``), then read off exactly among the few values inside the bracket: values below it
-are folded into one count before the shuffle, values above it are dropped, and equal values
-travel as one row with a count.  A bracket that misses its rank raises an error.
+group's quantile is first bracketed with two close ``percentile_approx`` marks.  Exact counts of
+the values below, inside and above the bracket tell which of the three parts holds the wanted
+rank (all but always the narrow middle one), and only the values of that part are sorted.  Equal
+values travel as one row with a count.  The marks decide the amount of work, never the result.
 """
 
 from __future__ import annotations
@@ -85,38 +85,33 @@ def group_stats(
         ),
     )
     ladder = pairs.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_m"))
-    inside = (
-        ladder.join(marks, group)
-        .where(F.col("value") <= F.col("_high"))
-        .withColumn("_step", F.when(F.col("value") >= F.col("_low"), F.col("value")))
-        .groupBy(*group, "_q", "_rank", "_step")
-        .agg(F.sum("_m").alias("_m"))
+    below, inside = F.col("value") < F.col("_low"), F.col("value") <= F.col("_high")
+    placed = ladder.join(marks, group).withColumn("_part", F.when(below, 0).when(inside, 1).otherwise(2))
+    in_part = lambda i: F.coalesce(F.sum(F.when(F.col("_part") == i, F.col("_m"))), F.lit(0))
+    sizes = placed.groupBy(*group, "_q").agg(
+        in_part(0).alias("_n0"), (in_part(0) + in_part(1)).alias("_n1"), F.first("_rank").alias("_r")
     )
-    ladder_order = Window.partitionBy(*group, "_q").orderBy(F.col("_step").asc_nulls_first())
-    upto = ladder_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.withColumn("_cum", F.sum("_m").over(upto))
-    lower = F.min(F.when(F.col("_cum") > F.floor("_rank"), F.col("_step")))
-    upper = F.min(F.when(F.col("_cum") > F.ceil("_rank"), F.col("_step")))
-    missed = F.max(F.col("_step").isNull() & (F.col("_cum") > F.floor("_rank")))
+    part_of = lambda r: F.when(r < F.col("_n0"), 0).when(r < F.col("_n1"), 1).otherwise(2)
+    first = part_of(F.floor("_r"))
+    chosen = sizes.select(
+        *group,
+        "_q",
+        first.alias("_from"),
+        part_of(F.ceil("_r")).alias("_to"),
+        F.when(first == 0, F.lit(0)).when(first == 1, F.col("_n0")).otherwise(F.col("_n1")).alias("_before"),
+    )
+    near = placed.join(chosen, [*group, "_q"]).where(F.col("_part").between(F.col("_from"), F.col("_to")))
+    ordered = Window.partitionBy(*group, "_q").orderBy("value")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = near.withColumn("_cum", F.sum("_m").over(upto) + F.col("_before"))
+    lower = F.min(F.when(F.col("_cum") > F.floor("_rank"), F.col("value")))
+    upper = F.min(F.when(F.col("_cum") > F.ceil("_rank"), F.col("value")))
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_rank") - F.floor("_rank"))
     exact = (
         ranked.groupBy(*group, "_q", "_rank")
-        .agg(lower.alias("_lo"), upper.alias("_hi"), missed.alias("_missed"))
-        .withColumn(
-            "_value",
-            F.when(
-                F.col("_missed") | F.col("_hi").isNull(),
-                F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
-            ).otherwise(
-                F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_rank") - F.floor("_rank"))
-            ),
-        )
+        .agg(lower.alias("_lo"), upper.alias("_hi"))
         .groupBy(*group)
-        .agg(
-            *[
-                F.max(F.when(F.col("_q") == i, F.col("_value"))).alias(quantile_name(q))
-                for i, q in enumerate(quantiles)
-            ]
-        )
+        .agg(*[F.max(F.when(F.col("_q") == i, value)).alias(quantile_name(q)) for i, q in enumerate(quantiles)])
     )
     return spread.drop("_marks").join(exact, group)
 
