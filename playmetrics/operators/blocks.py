@@ -94,10 +94,10 @@ def _per_block(
     return _full_blocks(folded, keep_short)
 
 
-def block_summary(per_player: DataFrame, value: str, approx: bool = False) -> DataFrame:
-    """Players, min, max, mean and median of ``value`` by block number."""
+def block_summary(per_player: DataFrame, value: str, approx: bool = False, counts: bool = True) -> DataFrame:
+    """Players, min, max, mean and median of ``value`` (a count, if not said) by block number."""
     return widen(
-        group_stats(per_player, ["block"], [value], approx=approx),
+        group_stats(per_player, ["block"], [value], approx=approx, counts=counts),
         ["block"],
         [
             (value, "n", "players"),
@@ -163,7 +163,7 @@ def key_growth_by_block(
 
     ``keep_short`` lets players without a full block enter block 0 with their last value.
     """
-    return block_summary(key_value_by_block(events, interval, gap, keep_short), "value", approx)
+    return block_summary(key_value_by_block(events, interval, gap, keep_short), "value", approx, counts=False)
 
 
 def _linked(events: DataFrame, columns: tuple[str, ...], chunk_secs: int) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import action_is, has_keyword
@@ -72,8 +72,9 @@ def repeat_clicks(
     """Per action over `repeat_runs`: players, mean and median repeats and duration, and the
     most common preceding action (on a tie the first by name)."""
     runs = repeat_runs(events, duration_limit, top_n, chunk_secs)
+    # Durations are whole seconds under ``duration_limit``: few different values, like counts.
     stats = widen(
-        group_stats(runs, ["action"], ["repeats", "duration"], approx=approx),
+        group_stats(runs, ["action"], ["repeats", "duration"], approx=approx, counts=True),
         ["action"],
         [
             ("repeats", "n", "players"),
@@ -172,15 +173,13 @@ def ui_stay_actions(
         .add(RunSum("exits", leaves))
         .done()
     )
-    leavers = inside.where(leaves == 1).select("player").distinct()
-    clicks = (
-        inside.where(F.col("exits") == 0)
-        .groupBy("player", "action")
-        .agg(F.count(F.lit(1)).alias("clicks"))
-        .join(leavers, "player", "left_semi")
+    counted = inside.groupBy("player", "action").agg(
+        F.count_if(F.col("exits") == 0).alias("clicks"), F.max(F.col("exits") > 0).alias("_left")
     )
+    leaver = F.max("_left").over(Window.partitionBy("player"))
+    clicks = counted.withColumn("_leaver", leaver).where(F.col("_leaver") & (F.col("clicks") > 0))
     return widen(
-        group_stats(clicks, ["action"], ["clicks"], approx=approx),
+        group_stats(clicks, ["action"], ["clicks"], approx=approx, counts=True),
         ["action"],
         [
             ("clicks", "n", "players"),

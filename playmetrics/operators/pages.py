@@ -1,7 +1,7 @@
 """Nodes of HTML pages as a table.
 
 Pages are parsed once, in the tasks that hold them, into a node table; everything else is
-filters, windows and joins on it.
+filters and windows over the nodes of one page.
 """
 
 from __future__ import annotations
@@ -131,75 +131,60 @@ def _has(tag: str | None, attrs: Mapping[str, str] | None) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def _page_window() -> Window:
-    return Window.partitionBy("page_id").orderBy("node")
+def _page():
+    return Window.partitionBy("page_id")
 
 
 def page_heading(pages: DataFrame, nodes: DataFrame | None = None, tag: str = "h1") -> DataFrame:
     """Text of the first heading inside the body of each page; null where there is none."""
     nodes = page_nodes(pages, [tag]) if nodes is None else nodes
-    body = nodes.where(_has("body", None)).groupBy("page_id").agg(
-        F.min(F.struct("node", "last")).alias("_body")
-    )
-    heads = nodes.where(_has(tag, None)).select("page_id", "node", "text")
-    first = (
-        heads.join(body, "page_id")
-        .where((F.col("node") > F.col("_body.node")) & (F.col("node") <= F.col("_body.last")))
+    heads = F.collect_list(F.when(_has(tag, None), F.struct("node", "text")))
+    found = (
+        nodes.where(_has("body", None) | _has(tag, None))
         .groupBy("page_id")
-        .agg(F.min_by("text", "node").alias("heading"))
+        .agg(F.min(F.when(_has("body", None), F.struct("node", "last"))).alias("_body"), heads.alias("_heads"))
     )
+    inside = F.filter("_heads", lambda h: (h["node"] > F.col("_body.node")) & (h["node"] <= F.col("_body.last")))
+    first = found.select("page_id", F.get(F.array_sort(inside), F.lit(0))["text"].alias("heading"))
     return pages.select("page_id").join(first, "page_id", "left")
 
 
 def find_all(nodes: DataFrame, tag: str, attrs: Mapping[str, str] | None = None) -> DataFrame:
     """Text of every matching node, numbered within its page from 0."""
-    order = F.row_number().over(_page_window()) - 1
-    return nodes.where(_has(tag, attrs)).select("page_id", order.alias("match"), "node", "text")
+    number = F.row_number().over(_page().orderBy("node")) - 1
+    return nodes.where(_has(tag, attrs)).select("page_id", number.alias("match"), "node", "text")
 
 
-def _first(nodes: DataFrame, tag: str, attrs: Mapping[str, str] | None) -> DataFrame:
-    """The first match of each page."""
-    return (
-        nodes.where(_has(tag, attrs))
-        .groupBy("page_id")
-        .agg(F.min(F.struct("node", "last", "parent", "pos", "depth")).alias("_m"))
-    )
+def _with_first(nodes: DataFrame, tag: str, attrs: Mapping[str, str] | None) -> DataFrame:
+    """Nodes of the pages with a match; ``_m`` is the first match of the page."""
+    match = F.when(_has(tag, attrs), F.struct("node", "last", "parent", "pos", "depth"))
+    return nodes.withColumn("_m", F.min(match).over(_page())).where(F.col("_m").isNotNull())
+
+
+def _below() -> Column:
+    return (F.col("node") > F.col("_m.node")) & (F.col("node") <= F.col("_m.last"))
 
 
 def children(nodes: DataFrame, tag: str, attrs: Mapping[str, str] | None = None) -> DataFrame:
     """Nodes directly below the first match."""
-    top = _first(nodes, tag, attrs)
-    return (
-        nodes.join(top, "page_id")
-        .where(F.col("parent") == F.col("_m.node"))
-        .select("page_id", "pos", "node", "tag", "text")
-    )
+    below = _with_first(nodes, tag, attrs).where(F.col("parent") == F.col("_m.node"))
+    return below.select("page_id", "pos", "node", "tag", "text")
 
 
 def descendants(nodes: DataFrame, tag: str, attrs: Mapping[str, str] | None = None) -> DataFrame:
     """All nodes below the first match, with their depth below it."""
-    top = _first(nodes, tag, attrs)
-    return (
-        nodes.join(top, "page_id")
-        .where((F.col("node") > F.col("_m.node")) & (F.col("node") <= F.col("_m.last")))
-        .select("page_id", (F.col("depth") - F.col("_m.depth")).alias("level"), "node", "tag", "text")
-    )
+    below = _with_first(nodes, tag, attrs).where(_below())
+    return below.select("page_id", (F.col("depth") - F.col("_m.depth")).alias("level"), "node", "tag", "text")
 
 
 def next_siblings(
     nodes: DataFrame, tag: str, attrs: Mapping[str, str] | None = None, child: str = "tr"
 ) -> DataFrame:
     """Siblings after the first ``child`` element below the first match (any depth)."""
-    top = _first(nodes, tag, attrs)
-    inner = (
-        nodes.where(_has(child, None))
-        .join(top, "page_id")
-        .where((F.col("node") > F.col("_m.node")) & (F.col("node") <= F.col("_m.last")))
-        .groupBy("page_id")
-        .agg(F.min(F.struct("node", "parent", "pos")).alias("_c"))
-    )
+    inner = F.when(_has(child, None) & _below(), F.struct("node", "parent", "pos"))
     return (
-        nodes.join(inner, "page_id")
+        _with_first(nodes, tag, attrs)
+        .withColumn("_c", F.min(inner).over(_page()))
         .where((F.col("parent") == F.col("_c.parent")) & (F.col("pos") > F.col("_c.pos")))
         .select("page_id", (F.col("pos") - F.col("_c.pos")).alias("step"), "node", "tag", "text")
     )
@@ -207,14 +192,12 @@ def next_siblings(
 
 def previous_sibling_of_parent(nodes: DataFrame, tag: str, attrs: Mapping[str, str] | None = None) -> DataFrame:
     """Text of the node just before the parent of the first match; null where there is none."""
-    top = _first(nodes, tag, attrs)
-    parent = (
-        nodes.select("page_id", F.col("node").alias("_p"), F.col("parent").alias("_gp"), F.col("pos").alias("_at"))
-        .join(top, "page_id")
-        .where(F.col("_p") == F.col("_m.parent"))
-        .select("page_id", "_gp", "_at")
-    )
-    before = nodes.select(
-        "page_id", F.col("parent").alias("_gp"), (F.col("pos") + 1).alias("_at"), "text"
+    above = F.when(F.col("node") == F.col("_m.parent"), F.struct("parent", "pos"))
+    before = (F.col("parent") == F.col("_p.parent")) & (F.col("pos") == F.col("_p.pos") - 1)
+    return (
+        _with_first(nodes, tag, attrs)
+        .withColumn("_p", F.min(above).over(_page()))
+        .where(F.col("_p").isNotNull())
+        .groupBy("page_id")
+        .agg(F.max(F.when(before, F.col("text"))).alias("text"))
     )
-    return parent.join(before, ["page_id", "_gp", "_at"], "left").select("page_id", "text")

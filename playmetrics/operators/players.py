@@ -54,7 +54,7 @@ def separating_actions(
     retained players), and ``only_vip`` / ``only_not_vip``: in one of the first two, not the other.
     """
     counted = action_distribution(events).join(flags.where("retained"), "player")
-    medians = group_stats(counted, ["vip", "action"], ["clicks"], approx=approx)
+    medians = group_stats(counted, ["vip", "action"], ["clicks"], approx=approx, counts=True)
     spread = group_stats(counted, ["action"], ["clicks"], ())
     side = F.when(F.col("vip"), "vip").otherwise("not_vip").alias("list")
     scores = medians.select(side, "action", F.col("p50").alias("score")).unionByName(

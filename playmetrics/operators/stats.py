@@ -71,7 +71,7 @@ def group_rate(df: DataFrame, key: str, flag: Column, min_size: int = 10) -> Dat
 def count_spread(df: DataFrame, owner: str, key: str, approx: bool = False) -> DataFrame:
     """Rows per (owner, key), then the median and population std of those counts per key."""
     counts = df.groupBy(owner, key).agg(F.count(F.lit(1)).alias("rows"))
-    stats = group_stats(counts, [key], ["rows"], approx=approx)
+    stats = group_stats(counts, [key], ["rows"], approx=approx, counts=True)
     return stats.select(
         key, F.col("n").alias("owners"), F.col("p50").alias("median_rows"), F.col("std_pop").alias("std_rows")
     )

@@ -28,12 +28,17 @@ def group_stats(
     quantiles: Sequence[float] = (0.5,),
     approx: bool = False,
     accuracy: int = ACCURACY,
+    counts: bool = False,
 ) -> DataFrame:
     """One row per group and value column.
 
     Columns: ``keys``, ``measure`` (name of the value column), ``n`` (non-null values),
     ``total``, ``min``, ``max``, ``mean``, ``std`` (sample), ``std_pop`` and ``pNN`` for each
     quantile (linear interpolation between ranks).  ``approx`` skips the exact step.
+
+    ``counts`` states that the values are numbers of rows: d different counts need at least
+    d * d / 2 rows, so a group of 10^12 rows has under 1.5 million of them and Spark's exact
+    ``percentile``, which holds one entry per different value, does it in one step.
     """
     if len(values) == 1:
         pairs = df.select(*keys, F.lit(values[0]).alias("measure"), F.col(values[0]).cast("double").alias("value"))
@@ -60,6 +65,11 @@ def group_stats(
     names = ["n", "total", "min", "max", "mean", "std", "std_pop"]
     if not quantiles:
         return pairs.groupBy(*group).agg(*basic)
+    if counts and not approx:
+        found = pairs.groupBy(*group).agg(*basic, F.percentile("value", [float(q) for q in quantiles]).alias("_found"))
+        return found.select(
+            *group, *names, *[F.col("_found")[i].alias(quantile_name(q)) for i, q in enumerate(quantiles)]
+        )
     spread = pairs.groupBy(*group).agg(
         *basic, F.percentile_approx("value", [float(t) for t in targets], accuracy).alias("_marks")
     )
@@ -70,6 +80,7 @@ def group_stats(
 
     marks = spread.select(
         *group,
+        F.struct(*names).alias("_basic"),
         F.inline(
             F.array(
                 *[
@@ -89,18 +100,20 @@ def group_stats(
     placed = ladder.join(marks, group).withColumn("_part", F.when(below, 0).when(inside, 1).otherwise(2))
     in_part = lambda i: F.coalesce(F.sum(F.when(F.col("_part") == i, F.col("_m"))), F.lit(0))
     sizes = placed.groupBy(*group, "_q").agg(
-        in_part(0).alias("_n0"), (in_part(0) + in_part(1)).alias("_n1"), F.first("_rank").alias("_r")
+        in_part(0).alias("_n0"), (in_part(0) + in_part(1)).alias("_n1"), F.first("_rank").alias("_r"),
+        F.first("_basic").alias("_basic"),
     )
     part_of = lambda r: F.when(r < F.col("_n0"), 0).when(r < F.col("_n1"), 1).otherwise(2)
     first = part_of(F.floor("_r"))
     chosen = sizes.select(
         *group,
         "_q",
+        "_basic",
         first.alias("_from"),
         part_of(F.ceil("_r")).alias("_to"),
         F.when(first == 0, F.lit(0)).when(first == 1, F.col("_n0")).otherwise(F.col("_n1")).alias("_before"),
     )
-    near = placed.join(chosen, [*group, "_q"]).where(F.col("_part").between(F.col("_from"), F.col("_to")))
+    near = placed.drop("_basic").join(chosen, [*group, "_q"]).where(F.col("_part").between(F.col("_from"), F.col("_to")))
     ordered = Window.partitionBy(*group, "_q").orderBy("value")
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = near.withColumn("_cum", F.sum("_m").over(upto) + F.col("_before"))
@@ -109,11 +122,14 @@ def group_stats(
     value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_rank") - F.floor("_rank"))
     exact = (
         ranked.groupBy(*group, "_q", "_rank")
-        .agg(lower.alias("_lo"), upper.alias("_hi"))
+        .agg(lower.alias("_lo"), upper.alias("_hi"), F.first("_basic").alias("_basic"))
         .groupBy(*group)
-        .agg(*[F.max(F.when(F.col("_q") == i, value)).alias(quantile_name(q)) for i, q in enumerate(quantiles)])
+        .agg(
+            F.first("_basic").alias("_basic"),
+            *[F.max(F.when(F.col("_q") == i, value)).alias(quantile_name(q)) for i, q in enumerate(quantiles)],
+        )
     )
-    return spread.drop("_marks").join(exact, group)
+    return exact.select(*group, "_basic.*", *[quantile_name(q) for q in quantiles])
 
 
 def widen(stats: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, str, str]]) -> DataFrame:
