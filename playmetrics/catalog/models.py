@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import models, stats
+from ..operators import balance, models, stats
 from ..operators.players import one_hot
 from ..sources.tables import settle
 from .events import profile
@@ -235,6 +235,25 @@ def _(spark, sf):
     return models.classify_users(data, ["player"], "vip", PROFILE_FEATURES, folds=2, trees=50)
 
 
+@query("borderline_smote")
+def _(spark, sf):
+    data = profile_data(spark, sf).select("player", F.col("freq"), F.col("ratio"), "vip")
+    scaled = settle(stats.standardize(data, ["freq", "ratio"]), "scaled")
+    return balance.borderline_smote(scaled, ["freq", "ratio"], "vip", "player")
+
+
+@query("border_positions")
+def _(spark, sf):
+    """Border positions of one return flag against the others, over all order lines."""
+    near = ["l_quantity", "l_tax"]
+    small = F.col("label") == 0
+    data = lines(spark, sf).groupBy(*near).agg(
+        F.count_if(small).alias("few"), F.count_if(~small).alias("many")
+    )
+    positions = settle(data.withColumn("qid", F.xxhash64(*near)), "positions")
+    return balance.border_positions(positions, near)
+
+
 @query("kmeans_sweep")
 def _(spark, sf):
     return models.kmeans_sweep(profile_data(spark, sf), ["freq", "ratio"], (2, 3))
