@@ -242,16 +242,24 @@ def _(spark, sf):
     return balance.borderline_smote(scaled, ["freq", "ratio"], "vip", "player")
 
 
-@query("border_positions")
+@query(
+    "border_positions",
+    """WITH p AS (SELECT c_acctbal / 1000 AS x, CAST(c_nationkey AS DOUBLE) AS y, count(*) FILTER (c_mktsegment = 'BUILDING') AS few,
+      count(*) FILTER (c_mktsegment <> 'BUILDING') AS many FROM customer GROUP BY 1, 2),
+    d AS (SELECT q.x AS qx, q.y AS qy, q.few AS qfew, q.many AS qmany, p.x, p.y, sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS dist,
+      p.few - (q.x = p.x AND q.y = p.y)::INT AS few, p.many FROM p q, p WHERE q.few > 0),
+    b AS (SELECT *, greatest(10 - coalesce(sum(few + many) OVER (PARTITION BY qx, qy ORDER BY dist, x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS room FROM d),
+    m AS (SELECT qx, qy, qfew, qmany, CAST(sum(least(many, greatest(room - few, 0))) AS BIGINT) AS majority FROM b GROUP BY 1, 2, 3, 4)
+    SELECT qx AS x, qy AS y, qfew AS few, qmany AS many, majority FROM m WHERE majority >= 5 AND majority < 10""",
+)
 def _(spark, sf):
-    """Border positions of one return flag against the others, over all order lines."""
-    near = ["l_quantity", "l_tax"]
-    small = F.col("label") == 0
-    data = lines(spark, sf).groupBy(*near).agg(
-        F.count_if(small).alias("few"), F.count_if(~small).alias("many")
+    small = F.col("c_mktsegment") == "BUILDING"
+    data = table(spark, sf, "customer").groupBy(
+        (F.col("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").cast("double").alias("y")
     )
-    positions = settle(data.withColumn("qid", F.xxhash64(*near)), "positions")
-    return balance.border_positions(positions, near)
+    counted = data.agg(F.count_if(small).alias("few"), F.count_if(~small).alias("many"))
+    positions = settle(counted.withColumn("qid", F.xxhash64("x", "y")), "positions")
+    return balance.border_positions(positions, ["x", "y"]).drop("qid")
 
 
 @query("kmeans_sweep")

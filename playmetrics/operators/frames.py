@@ -30,8 +30,8 @@ def without_outliers(df: DataFrame, key: str, names: Sequence) -> DataFrame:
 
 def without_maximum(df: DataFrame, column: str) -> DataFrame:
     """Drop the rows holding a column's maximum."""
-    top = df.agg(F.max(column).alias(column))
-    return df.join(F.broadcast(top), column, "left_anti")
+    below = F.col(column) < df.agg(F.max(column)).scalar()
+    return df.where(F.coalesce(below, F.lit(True)))
 
 
 def membership(df: DataFrame, other: DataFrame, key: str, name: str = "found") -> DataFrame:
@@ -87,12 +87,12 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
 def impute(df: DataFrame, column: str, strategy: str = "median") -> DataFrame:
     """Fill nulls with the column's median, mean or most common value (smallest on a tie)."""
     if strategy == "mode":
-        fill = most_common(df, [], column).select(F.col(column).alias("_fill"))
+        fill = most_common(df, [], column).select(column)
     elif strategy == "mean":
-        fill = df.agg(F.avg(column).alias("_fill"))
+        fill = df.agg(F.avg(column))
     else:
-        fill = group_stats(df.select(column), [], [column]).select(F.col("p50").alias("_fill"))
-    return df.join(F.broadcast(fill), how="left").withColumn(column, F.coalesce(column, "_fill")).drop("_fill")
+        fill = group_stats(df.select(column), [], [column]).select("p50")
+    return df.withColumn(column, F.coalesce(column, fill.scalar()))
 
 
 def by_level_full(left: DataFrame, right: DataFrame, key: str, metric: str, names: tuple[str, str]) -> DataFrame:

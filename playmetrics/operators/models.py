@@ -140,9 +140,7 @@ def anova_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFram
     Class sums come from one aggregation over values centred on the column mean.
     """
     moments, _ = column_moments(df, features)
-    centred = df.join(F.broadcast(moments)).select(
-        label, *[(F.col(c).cast("double") - F.col(f"_mean_{c}")).alias(c) for c in features]
-    )
+    centred = df.select(label, *[(F.col(c).cast("double") - moments[f"mean_{c}"]).alias(c) for c in features])
     by_class = centred.groupBy(label).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(c).alias(f"s_{c}") for c in features],
@@ -172,8 +170,8 @@ def anova_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFram
 
 def top_percent(scores: DataFrame, score: str, percent: float) -> DataFrame:
     """Features whose score lies above the ``100 - percent`` percentile of all scores."""
-    bar = scores.agg(F.percentile(score, F.lit(1 - percent / 100)).alias("_bar"))
-    return scores.join(F.broadcast(bar)).where(F.col(score) > F.col("_bar")).drop("_bar")
+    bar = scores.agg(F.percentile(score, F.lit(1 - percent / 100))).scalar()
+    return scores.where(F.col(score) > bar)
 
 
 def best_k(scores: DataFrame, score: str, k: int = 5) -> DataFrame:
@@ -215,15 +213,15 @@ def classification_report(scored: DataFrame, label: str = "label", prediction: s
         F.sum(F.when(F.col("actual"), F.col("m")).otherwise(F.lit(0))).alias("support"),
         F.sum(F.when(~F.col("actual"), F.col("m")).otherwise(F.lit(0))).alias("predicted"),
     )
-    overall = per_class.agg((F.sum("hits") / F.sum("support")).alias("accuracy"))
+    overall = per_class.agg(F.sum("hits") / F.sum("support")).scalar()
     precision, recall = F.try_divide("hits", "predicted"), F.try_divide("hits", "support")
-    return per_class.join(F.broadcast(overall)).select(
+    return per_class.select(
         "class",
         "support",
         F.coalesce(precision, F.lit(0.0)).alias("precision"),
         F.coalesce(recall, F.lit(0.0)).alias("recall"),
         F.coalesce(F.try_divide(2 * F.col("hits"), F.col("predicted") + F.col("support")), F.lit(0.0)).alias("f1"),
-        "accuracy",
+        overall.alias("accuracy"),
     )
 
 
@@ -393,14 +391,14 @@ def kmeans_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int] = (2,
     spark = df.sparkSession
     clean = df.select(*features).na.drop("any")
     moments, _ = column_moments(clean, features)
-    scale = moments.first()
+    scale = spark.range(1).select(moments.alias("m")).first()["m"]
     data = assemble(settle(standardize(clean, list(features)), "scaled"), features).select("features")
     rows = []
     for k in ks:
         model = KMeans(k=k, seed=seed).fit(data)
         sizes = model.summary.clusterSizes
         for i, centre in enumerate(model.clusterCenters()):
-            original = [float(c) * scale[f"_std_{f}"] + scale[f"_mean_{f}"] for c, f in zip(centre, features)]
+            original = [float(c) * scale[f"std_{f}"] + scale[f"mean_{f}"] for c, f in zip(centre, features)]
             rows.append((k, i, int(sizes[i]), float(model.summary.trainingCost), *original))
     names = ", ".join(f"`{f}` double" for f in features)
     return spark.createDataFrame(rows, f"k int, cluster int, size bigint, inertia double, {names}")
@@ -420,7 +418,7 @@ def silhouette(scored: DataFrame, features: Sequence[str], cluster: str) -> Data
         F.array(*[F.sum(c) for c in coords]).alias("_sums"),
     )
     # One row with all clusters: as many entries as the model has clusters.
-    packed = shapes.agg(F.collect_list(F.struct("_other", "_n", "_norms", "_sums")).alias("_shapes"))
+    packed = shapes.agg(F.collect_list(F.struct("_other", "_n", "_norms", "_sums"))).scalar()
     point = F.array(*coords)
     own = F.col(cluster)
 
@@ -433,8 +431,7 @@ def silhouette(scored: DataFrame, features: Sequence[str], cluster: str) -> Data
     a = F.try_divide(total(inside), inside["_n"] - 1)
     b = F.array_min(F.transform(others, lambda s: total(s) / s["_n"]))
     measured = (
-        scored.select(own, point.alias("_x"), norm.alias("_norm"))
-        .join(F.broadcast(packed))
+        scored.select(own, point.alias("_x"), norm.alias("_norm"), packed.alias("_shapes"))
         .select(own.alias("cluster"), a.alias("_a"), b.alias("_b"))
     )
     value = F.when(F.col("_a").isNull(), F.lit(0.0)).otherwise(

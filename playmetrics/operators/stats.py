@@ -31,11 +31,11 @@ def value_counts(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFr
 def most_common(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Most frequent value of ``column`` per group; the smallest value on a tie."""
     counted = value_counts(df, column, keys)
-    top = counted.groupBy(*keys).agg(F.max("rows").alias("_top"))
     if keys:
+        top = counted.groupBy(*keys).agg(F.max("rows").alias("_top"))
         tied = counted.join(top, list(keys)).where(F.col("rows") == F.col("_top"))
     else:
-        tied = counted.join(F.broadcast(top), F.col("rows") == F.col("_top"))
+        tied = counted.where(F.col("rows") == counted.agg(F.max("rows")).scalar())
     return tied.groupBy(*keys).agg(F.min(column).alias(column), F.max("rows").alias("rows"))
 
 
@@ -141,24 +141,16 @@ def histogram(df: DataFrame, column: str, bins: int, log: bool = False) -> DataF
     """
     value = (F.ln(column) if log else F.col(column)).cast("double")
     values = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    edges = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    place = F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)), F.lit(bins - 1))
-    counted = (
-        values.join(F.broadcast(edges))
-        .groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(edges))
-    return (
-        every.select(
-            "bin",
-            (F.col("lo") + F.col("bin") * width).alias("bin_start"),
-            (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_end"),
-        )
-        .join(counted, "bin", "left")
-        .na.fill(0, ["rows"])
+    edges = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
+    low, width = edges["lo"], (edges["hi"] - edges["lo"]) / bins
+    place = F.least(F.floor(F.try_divide(F.col("v") - low, width)), F.lit(bins - 1))
+    counted = values.groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    every = df.sparkSession.range(bins).select(
+        F.col("id").cast("int").alias("bin"),
+        (low + F.col("id") * width).alias("bin_start"),
+        (low + (F.col("id") + 1) * width).alias("bin_end"),
     )
+    return every.join(counted, "bin", "left").na.fill(0, ["rows"])
 
 
 def density_curve(df: DataFrame, column: str, key: str, points: int = 50, bins: int = 512) -> DataFrame:
@@ -176,7 +168,7 @@ def density_curve(df: DataFrame, column: str, key: str, points: int = 50, bins:
     ).where((F.col("bw") > 0))
     step = (F.col("hi") - F.col("lo")) / bins
     binned = (
-        values.join(F.broadcast(shape), key)
+        values.join(shape, key)
         .groupBy(key, "n", "lo", "hi", "bw", F.least(F.floor((F.col("v") - F.col("lo")) / step), F.lit(bins - 1)).alias("bin"))
         .agg(F.count(F.lit(1)).alias("m"))
     )
@@ -231,35 +223,39 @@ def null_summary(df: DataFrame) -> DataFrame:
 def standardize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """z-scores with the population standard deviation; all numeric columns by default."""
     moments, chosen = column_moments(df, columns)
-    return df.join(F.broadcast(moments)).select(
+    return df.select(
         *[
-            ((F.col(c) - F.col(f"_mean_{c}")) / _scale(c)).alias(c) if c in chosen else F.col(c) for c in df.columns
+            ((F.col(c) - moments[f"mean_{c}"]) / _scale(moments, c)).alias(c) if c in chosen else F.col(c)
+            for c in df.columns
         ]
     )
 
 
-def _scale(c: str) -> Column:
+def _scale(moments: Column, c: str) -> Column:
     """A column's standard deviation, 1 for a constant column."""
-    return F.when(F.col(f"_std_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_std_{c}"))
+    return F.when(moments[f"std_{c}"] == 0, F.lit(1.0)).otherwise(moments[f"std_{c}"])
 
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
-def column_moments(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """One row with ``_mean_c`` and ``_std_c`` (population) of each chosen column."""
+def column_moments(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[Column, list[str]]:
+    """``mean_c`` and ``std_c`` (population) of each chosen column, as one struct from a subquery."""
     chosen = list(columns) if columns else [c for c, kind in df.dtypes if kind in NUMERIC or kind.startswith("decimal")]
     cells = []
     for c in chosen:
-        cells += [F.avg(c).alias(f"_mean_{c}"), F.stddev_pop(c).alias(f"_std_{c}")]
-    return df.agg(*cells), chosen
+        cells += [F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}")]
+    return df.agg(F.struct(*cells)).scalar(), chosen
 
 
 def unstandardize(df: DataFrame, original: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Bring z-scores back to the units of ``original``."""
     moments, chosen = column_moments(original, columns)
-    return df.join(F.broadcast(moments)).select(
-        *[(F.col(c) * _scale(c) + F.col(f"_mean_{c}")).alias(c) if c in chosen else F.col(c) for c in df.columns]
+    return df.select(
+        *[
+            (F.col(c) * _scale(moments, c) + moments[f"mean_{c}"]).alias(c) if c in chosen else F.col(c)
+            for c in df.columns
+        ]
     )
 
 

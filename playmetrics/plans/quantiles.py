@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 20_000
+ACCURACY = 10_000
 
 
 def quantile_name(q: float) -> str:

@@ -64,12 +64,17 @@ def stream_active_blocks(
 ) -> DataFrame:
     """Full blocks of active time, each emitted at its cut: ``player, block, start_ts, end_ts, clicks``.
 
-    State per player: the block's first second, start of the current stretch, last second, time
+    Rows are counted per player and second before they are shuffled, so a batch brings a player at
+    most one record per second and input part.  State per player: the block's first second, start of the current stretch, last second, time
     before the stretch, block number and clicks.  It is dropped once the watermark is ``idle`` past
     the player's last row; the next row then starts block 0 afresh.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.groupby(["player", "ts"], as_index=False).agg(rows=("event_id", "size"))
+
     def advance(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
@@ -78,24 +83,27 @@ def stream_active_blocks(
             return
         (player,) = key
         opened, first, last, earlier, block, clicks = state.get if state.exists else (None, 0, 0, 0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        seconds = pd.concat([batch[["ts", "rows"]] for batch in batches]).groupby("ts")["rows"].sum().sort_index()
         out = []
-        for ts in rows["ts"].tolist():
+        for ts, rows in seconds.items():
             if opened is None:
                 opened, first, last = ts, ts, ts
-            if ts - last > gap:
-                earlier += last - first
-                first = ts
-            elif earlier + last - first >= interval:
-                out.append((player, block, opened, last, clicks))
-                opened, first, earlier, block, clicks = ts, ts, 0, block + 1, 0
-            last, clicks = ts, clicks + 1
+            # Within a second only the first row and the later ones can differ.
+            for n in (1, rows - 1) if rows > 1 else (1,):
+                if ts - last > gap:
+                    earlier += last - first
+                    first = ts
+                elif earlier + last - first >= interval:
+                    out.append((player, block, opened, last, clicks))
+                    opened, first, earlier, block, clicks = ts, ts, 0, block + 1, 0
+                last, clicks = ts, clicks + n
         state.update((opened, first, last, earlier, block, clicks))
-        state.setTimeoutTimestamp(max(last * 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int(last) * 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["player", "block", "start_ts", "end_ts", "clicks"])
 
+    combined = events.select("player", "ts", "event_id").mapInPandas(combine, "player bigint, ts bigint, rows bigint")
     return (
-        _timed(events, delay)
+        _timed(combined, delay)
         .groupBy("player")
         .applyInPandasWithState(
             advance,

@@ -6,7 +6,7 @@ import pytest
 from playmetrics.plans.quantiles import group_stats
 
 
-@pytest.mark.parametrize("accuracy", [50, 20_000])
+@pytest.mark.parametrize("accuracy", [50, 10_000])
 def test_exact_for_any_bracket_width(spark, accuracy):
     rng = random.Random(accuracy)
     data = {
