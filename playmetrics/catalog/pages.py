@@ -8,18 +8,36 @@ from ..operators import pages
 from .registry import query, table
 
 
+def plain(markup: str) -> str:
+    """SQL for the text of a piece of markup."""
+    text = f"regexp_replace({markup}, '<[^>]*>', '', 'g')"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{char}')"
+    return text
+
+
 def html(spark, sf):
     return table(spark, sf, "pages").select("page_id", "html")
 
 
-@query("page_heading")
+@query(
+    "page_heading",
+    f"""WITH b AS (SELECT page_id, regexp_extract(html, '<body>.*', 0, 's') AS body FROM pages)
+    SELECT page_id, CASE WHEN contains(body, '<h1>') THEN {plain("regexp_extract(body, '<h1>(.*?)</h1>', 1, 's')")} END AS heading FROM b""",
+)
 def _(spark, sf):
     return pages.page_heading(html(spark, sf))
 
 
-@query("find_all")
+@query(
+    "find_all",
+    f"""WITH t AS (SELECT page_id, regexp_extract_all(html, '<div class="ad">(.*?)</div>', 1, 's') AS found FROM pages),
+    u AS (SELECT page_id, unnest(range(len(found))) AS match, unnest(found) AS part FROM t)
+    SELECT page_id, CAST(match AS INTEGER) AS match, {plain("part")} AS text FROM u""",
+)
 def _(spark, sf):
-    return pages.find_all(pages.page_nodes(html(spark, sf), ["div"]), "div", {"class": "ad"})
+    found = pages.find_all(pages.page_nodes(html(spark, sf), ["div"]), "div", {"class": "ad"})
+    return found.select("page_id", "match", "text")
 
 
 @query("children")
@@ -32,9 +50,15 @@ def _(spark, sf):
     return pages.descendants(pages.page_nodes(html(spark, sf), []), "article")
 
 
-@query("next_siblings")
+@query(
+    "next_siblings",
+    f"""WITH t AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<ul>(.*?)</ul>', 1, 's'), '<li>(.*?)</li>', 1, 's') AS found FROM pages),
+    u AS (SELECT page_id, unnest(range(len(found))) AS step, unnest(found) AS part FROM t)
+    SELECT page_id, CAST(step AS INTEGER) AS step, 'li' AS tag, {plain("part")} AS text FROM u WHERE step > 0""",
+)
 def _(spark, sf):
-    return pages.next_siblings(pages.page_nodes(html(spark, sf), ["li"]), "ul", child="li")
+    after = pages.next_siblings(pages.page_nodes(html(spark, sf), ["li"]), "ul", child="li")
+    return after.select("page_id", "step", "tag", "text")
 
 
 @query("previous_sibling_of_parent")
@@ -42,7 +66,11 @@ def _(spark, sf):
     return pages.previous_sibling_of_parent(pages.page_nodes(html(spark, sf)), "p")
 
 
-@query("node_counts")
+@query(
+    "node_counts",
+    """WITH t AS (SELECT unnest(regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</', '<\\1></', 'gs'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages)
+    SELECT tag, count(*) AS nodes FROM t GROUP BY 1""",
+)
 def _(spark, sf):
     nodes = pages.page_nodes(html(spark, sf), [])
     return nodes.where(F.col("tag").isNotNull()).groupBy("tag").agg(F.count(F.lit(1)).alias("nodes"))

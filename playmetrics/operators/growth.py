@@ -16,9 +16,10 @@ from .blocks import change_sums, change_summary
 from .stats import standardize
 
 
-def key_change_per_player_level(events: DataFrame, chunk_secs: int = CHUNK_SECS) -> DataFrame:
+def key_change_per_player_level(
+    events: DataFrame, chunk_secs: int = CHUNK_SECS, keys: Sequence[str] = ("player", "level")
+) -> DataFrame:
     """The eight change measures per (player, level)."""
-    keys = ("player", "level")
     rows = events.select(*keys, "ts", "event_id", "key_index", "power")
     linked = running(rows, Prev("before", ("key_index", "power")), keys=keys, chunk_secs=chunk_secs)
     delta = F.col("key_index") - F.col("before.key_index")
@@ -40,19 +41,24 @@ def consume_to_keep_ratio(
     left: DataFrame, right: DataFrame, max_level: int | None = None, names: tuple[str, str] = ("left", "right"),
     chunk_secs: int = CHUNK_SECS,
 ) -> DataFrame:
-    """Median consumption over median kept value by level, two populations side by side."""
-    sides = []
-    for events, name in zip((left, right), names):
-        per_player = key_change_per_player_level(events, chunk_secs)
-        stats = widen(
-            group_stats(per_player, ["level"], ["down_volume", "closing_value"]),
-            ["level"],
-            [("down_volume", "p50", "_down"), ("closing_value", "p50", "_kept")],
-        )
-        if max_level is not None:
-            stats = stats.where(F.col("level") <= max_level)
-        sides.append(stats.select("level", F.try_divide("_down", "_kept").alias(f"ratio_{name}")))
-    return sides[0].join(sides[1], "level", "full")
+    """Median consumption over median kept value by level, two populations side by side.
+
+    Both populations go through one pass, told apart by a ``_side`` key.
+    """
+    columns = ["player", "ts", "event_id", "level", "key_index", "power"]
+    both = left.select(*columns, F.lit(0).alias("_side")).unionByName(right.select(*columns, F.lit(1).alias("_side")))
+    if max_level is not None:
+        both = both.where(F.col("level") <= max_level)
+    per_player = key_change_per_player_level(both, chunk_secs, ("_side", "player", "level"))
+    stats = widen(
+        group_stats(per_player, ["level", "_side"], ["down_volume", "closing_value"]),
+        ["level", "_side"],
+        [("down_volume", "p50", "_down"), ("closing_value", "p50", "_kept")],
+    )
+    ratio = F.try_divide("_down", "_kept")
+    return stats.groupBy("level").agg(
+        *[F.max(F.when(F.col("_side") == i, ratio)).alias(f"ratio_{name}") for i, name in enumerate(names)]
+    )
 
 
 def _day_no(first_day: int, utc_offset: int) -> Column:
