@@ -47,7 +47,7 @@ def _(spark, sf):
 @query(
     "standardize",
     "SELECT l_orderkey, l_linenumber, "
-    + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 5) AS {c}" for c in FEATURES)
+    + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 5) + 0.0 AS {c}" for c in FEATURES)
     + " FROM lineitem",
 )
 def _(spark, sf):

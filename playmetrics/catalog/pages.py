@@ -9,10 +9,10 @@ from .registry import query, table
 
 
 def plain(markup: str) -> str:
-    """SQL for the text of a piece of markup."""
+    """SQL for the text of a piece of markup; the closing semicolon of these names is optional."""
     text = f"regexp_replace({markup}, '<[^>]*>', '', 'g')"
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-        text = f"replace({text}, '{name}', '{char}')"
+    for name, char in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&nbsp;?", "\u00a0"), ("&amp;?", "&")):
+        text = f"regexp_replace({text}, '{name}', '{char}', 'g')"
     return text
 
 

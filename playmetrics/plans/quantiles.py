@@ -40,7 +40,7 @@ def group_stats(
     d * d / 2 rows, so a group of 10^12 rows has under 1.5 million of them and Spark's exact
     ``percentile``, which holds one entry per different value, does it in one step.
     """
-    if len(values) == 1:
+    if len(values) == 1 and keys:
         pairs = df.select(*keys, F.lit(values[0]).alias("measure"), F.col(values[0]).cast("double").alias("value"))
     else:
         cells = F.array(
