@@ -5,9 +5,9 @@ and keeps, in a disk-backed (RocksDB) state that never expires, one entry per di
 had it, the largest id, and the place (file and row) where that row's content lies. Rows of a batch
 are combined before they reach the state, so a digest with a third of all rows is no hot key.
 
-A digest seen more than once is a hit. For hits the full bytes are compared with the content found
-at the retained place; should texts with one digest differ, the rows of that digest are grouped by
-their whole text instead.
+A digest seen more than once is a hit. For hits the full bytes in the content store are compared;
+should texts with one digest differ, the rows of that digest are grouped by their whole text
+instead. The retained place tells the one row that stays.
 
 Defined cases: a null text counts as empty; of equal texts the row with the largest id stays (a null
 id is smaller than any other), of rows that share text and id exactly one stays; an empty table
@@ -94,18 +94,13 @@ def deduplicate(
     entries = _run(arrivals, id_type, root).transform(lambda df: settle(df, "entries"))
     store = placed(spark.read)
 
-    # Hits: compare the bytes with those at the retained place.
-    repeated = entries.where("size > 1").withColumnRenamed("digest", "found")
-    hits = store.join(repeated, F.col("digest") == F.col("found")).select("id", "digest", "text", "path", "row", "last")
-    retained = hits.where((F.col("last.path") == F.col("path")) & (F.col("last.row") == F.col("row"))).select(
-        F.col("digest").alias("found"), F.col("text").alias("content")
-    )
+    # Hits: the rows of a digest have the same bytes if their least and greatest texts are equal. Texts
+    # meet combined, one for each digest and task, so a large group of copies is not moved about.
     differing = settle(
-        hits.select("digest", "text")
-        .join(retained, F.col("digest") == F.col("found"))
-        .where(F.col("text") != F.col("content"))
-        .select("digest")
-        .distinct(),
+        store.groupBy("digest")
+        .agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
+        .where(F.col("least") != F.col("greatest"))
+        .select("digest"),
         "differing",
     )
 
