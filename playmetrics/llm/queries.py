@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, quality, sharding, simhash
+from . import exact, mixing, pieces, quality, sharding, simhash, toxicity
+from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -138,3 +140,28 @@ def op9_exact(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+@query("op10_pieces")
+def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids and round trip of every whole text, as digests."""
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = pieces.encode_documents(documents(spark, sf), model, decode=True)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every whole text, learned outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    held = held_out(F.col("doc_id"), 5)
+    found = toxicity.toxicity(documents(spark, sf), labels, ~held, ["doc_id"])
+    return found.select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
