@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, pieces, quality, sharding, simhash, toxicity
+from . import exact, mixing, pieces, pii, quality, sharding, simhash, toxicity
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,17 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Base and added spans of personal data in every whole text."""
+    docs = documents(spark, sf)
+    found = pii.find(docs, pii.fit(docs), ["doc_id"])
+    number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *[number(k) for k in pii.KINDS],
+        F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.concat("base", "added")).alias("spans"),
+    )
