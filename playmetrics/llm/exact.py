@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 from ..sources.tables import settle, work_dir
 from .common import columns_free, text_of
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Session settings while the stream runs. Without fallocate a state partition takes the disk that its
+#: entries need; with it, each one reserves 4 MB however small it is.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 PLACE = "struct<id:{id},path:string,row:bigint>"
 
 
@@ -44,8 +48,9 @@ def _run(arrivals: DataFrame, id_type: str, root: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in SETTINGS}
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         query = (
             entries.writeStream.outputMode("update")
@@ -56,7 +61,8 @@ def _run(arrivals: DataFrame, id_type: str, root: str) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     kind = f"digest binary, size bigint, last {PLACE.format(id=id_type)}"
     if not query.recentProgress or not any(p["numInputRows"] for p in query.recentProgress):
         return spark.createDataFrame([], kind)
