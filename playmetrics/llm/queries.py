@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, pieces, pii, quality, sharding, simhash, toxicity
+from . import exact, mixing, pieces, pii, quality, sharding, simhash, suffixes, toxicity
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,17 @@ def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         pii.listed(F.concat("base", "added")).alias("spans"),
     )
+
+
+@query("op5_suffixes")
+def op5_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole text without the bytes of 400-byte strings that also start elsewhere, as digests."""
+    found = suffixes.remove_repeated(documents(spark, sf), 400)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["stop"] - x["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
