@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, pieces, pii, quality, sharding, simhash, suffixes, toxicity
+from . import exact, lm, mixing, pieces, pii, quality, sharding, simhash, suffixes, toxicity
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,14 @@ def op5_suffixes(spark: SparkSession, sf: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op3_lm")
+def op3_lm(spark: SparkSession, sf: str) -> DataFrame:
+    """Base and model scores of every whole text, learned outside the held-out fold."""
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    held = held_out(F.col("doc_id"), 10)
+    found = lm.score_documents(documents(spark, sf), ~held, model)
+    return found.withColumn("held_out", held).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
