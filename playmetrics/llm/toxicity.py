@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import settle
 from .common import columns_free, text_of
 
 TERM = re.compile(r"[^\W_]+")
@@ -74,21 +75,10 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _association(toxic: np.ndarray, counts: np.ndarray, share: float, docs: int) -> np.ndarray:
-    """The log-likelihood ratio of each term against the labels."""
-    total = docs * share
-    cells = [(toxic, counts * share), (counts - toxic, counts * (1 - share))]
-    cells += [(total - toxic, (docs - counts) * share), ((docs - total) - (counts - toxic), (docs - counts) * (1 - share))]
-    return 2 * sum(np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9)), 0) for seen, due in cells)
-
-
 def train(
     terms: list[np.ndarray],
     labels: np.ndarray,
     factors: int = 8,
-    least_docs: int = 3,
-    most_terms: int = 131_072,
-    least_strength: float = 24.0,
     epochs: int = 12,
     rate: float = 0.5,
     factor_rate: float = 0.05,
@@ -97,18 +87,12 @@ def train(
     batch: int = 256,
     seed: int = 11,
 ) -> Machine:
-    """Fit on documents given as arrays of distinct term hashes."""
+    """Fit on documents given as arrays of the distinct term hashes that get weights."""
     share = float(labels.mean()) if len(labels) else 0.5
     if not 0 < share < 1:
         edge = min(max(share, 1e-3), 1 - 1e-3) if len(labels) else 0.5
         return Machine(np.zeros(0, np.int64), float(np.log(edge / (1 - edge))), np.zeros(0), np.zeros((0, factors)))
-    known, inside = np.unique(np.concatenate(terms), return_inverse=True)
-    counts = np.bincount(inside, minlength=len(known))
-    toxic = np.bincount(inside, np.repeat(labels, [len(t) for t in terms]), len(known))
-    strength = _association(toxic, counts, share, len(labels))
-    strength[counts < least_docs] = 0
-    floor = max(least_strength, np.sort(strength)[-most_terms] if len(known) > most_terms else 0.0)
-    known = known[strength >= floor]
+    known = np.unique(np.concatenate(terms))
     rng = np.random.default_rng(seed)
     model = Machine(known, float(np.log(share / (1 - share))), np.zeros(len(known)), rng.normal(0, 0.01, (len(known), factors)))
     sums = np.ones((len(known), factors + 1))
@@ -152,10 +136,32 @@ def _terms(text: str) -> set[str]:
     return words.union(*({f" {w[:n]}" for w in words if len(w) > n} for n in STEMS))
 
 
+def association(toxic: Column, docs: Column, all_toxic: int, all_docs: int) -> Column:
+    """The log-likelihood ratio of a term (in ``docs`` documents, ``toxic`` of them toxic) against the labels."""
+    share = all_toxic / all_docs
+    without = F.lit(all_docs) - docs
+    cells = [
+        (toxic, docs * share),
+        (docs - toxic, docs * (1 - share)),
+        (F.lit(all_toxic) - toxic, without * share),
+        (F.lit(all_docs - all_toxic) - (docs - toxic), without * (1 - share)),
+    ]
+    return 2 * sum((F.when(seen > 0, seen * F.log(seen / due)).otherwise(F.lit(0.0)) for seen, due in cells), F.lit(0.0))
+
+
 def sample_terms(
-    docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int, label: str, id_col: str, text_col: str
+    docs: DataFrame,
+    labels: DataFrame,
+    usable: Column,
+    sample_rows: int,
+    least_docs: int,
+    least_strength: float,
+    most_terms: int,
+    label: str,
+    id_col: str,
+    text_col: str,
 ) -> tuple[list[np.ndarray], np.ndarray]:
-    """Term hashes and labels of at most ``sample_rows`` labelled documents, those of the least id hash."""
+    """Telling term hashes and labels of at most ``sample_rows`` labelled documents, those of the least id hash."""
     chosen = (
         labels.where(usable & F.col(label).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("labelled"))
@@ -170,11 +176,34 @@ def sample_terms(
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [np.array(sorted(term_hash(t) for t in _terms(text)), np.int64) for text in batch["text"]]
-            yield pd.DataFrame({"h": xxhash_order(batch["id"]), "id": batch["id"].astype(str), "y": batch["y"], "terms": found})
+            yield pd.DataFrame({"h": xxhash_order(batch["id"]), "y": batch["y"], "terms": found})
+
+    sample = settle(texts.mapInPandas(hashed, "h bigint, y int, terms array<bigint>"), "sample")
+    all_docs, all_toxic = sample.agg(F.count("*"), F.sum("y")).first()
+    if not all_docs or not 0 < all_toxic < all_docs:
+        y = np.full(all_docs, float(bool(all_toxic)))
+        return [np.zeros(0, np.int64)] * all_docs, y
+    telling = (
+        sample.select("y", F.explode("terms").alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").alias("docs"), F.sum("y").alias("toxic"))
+        .where(F.col("docs") >= least_docs)
+        .withColumn("strength", association(F.col("toxic"), F.col("docs"), all_toxic, all_docs))
+        .where(F.col("strength") >= least_strength)
+        .orderBy(F.desc("strength"), "term")
+        .limit(most_terms)
+    )
+    known = np.sort(telling.select("term").toArrow()["term"].to_numpy())
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(terms=[np.intersect1d(t, known) for t in batch["terms"]])
 
-    got = texts.mapInPandas(hashed, "h bigint, id string, y int, terms array<bigint>").toPandas()
-    got = got.sort_values(["h", "id"], kind="stable")
-    return [np.asarray(t, np.int64) for t in got["terms"]], got["y"].to_numpy(float)
+    got = sample.mapInPandas(reduced, "h bigint, y int, terms array<bigint>").toArrow()
+    order = np.argsort(got["h"].to_numpy(), kind="stable")
+    lists = got["terms"].combine_chunks()
+    flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [flat[offsets[i] : offsets[i + 1]] for i in order], got["y"].to_numpy().astype(float)[order]
 
 
 def xxhash_order(ids: pd.Series) -> np.ndarray:
@@ -222,11 +251,14 @@ def toxicity(
     usable: Column,
     carry: list[str],
     sample_rows: int = 20_000,
+    least_docs: int = 3,
+    least_strength: float = 24.0,
+    most_terms: int = 131_072,
     label: str = "toxic",
     id_col: str = "doc_id",
     text_col: str = "text",
     **options,
 ) -> DataFrame:
     """Fit on the label rows that are ``usable``, then score every document."""
-    terms, y = sample_terms(docs, labels, usable, sample_rows, label, id_col, text_col)
+    terms, y = sample_terms(docs, labels, usable, sample_rows, least_docs, least_strength, most_terms, label, id_col, text_col)
     return score_documents(docs, train(terms, y, **options), carry, text_col)
