@@ -136,11 +136,12 @@ def assess(
     carry: Sequence[str] = ("doc_id",),
     show: Sequence[str] = (),
     sample_rows: int = 2_000,
+    numbered: str | None = None,
 ) -> DataFrame:
     """The ``carry`` columns, the measures named in ``show``, and ``kept``.
 
     Only measures that are shown or asked for by a rule are computed. Added names get leading
-    underscores where a carried column has them.
+    underscores where a carried column has them. ``numbered`` adds a row number of that name.
     """
     text, words = "__text__", "__words__"
     base = docs.select(*[F.col(f"`{c}`") for c in carry], text_of(text_col).alias(text))
@@ -162,4 +163,17 @@ def assess(
         *[F.col(f"`{c}`") for c in carry],
         *[F.col(spare[s]).alias(n) for s, n in zip(show, named, strict=True)],
         kept.alias(verdict),
+        *([F.monotonically_increasing_id().alias(numbered)] if numbered else []),
     )
+
+
+def keep(docs: DataFrame, rules: Mapping[str, str] = RULES, text_col: str = "text", sample_rows: int = 2_000) -> DataFrame:
+    """The documents that no rule rejects, with their columns.
+
+    The filter also asks for a row number: a condition on one is not moved below the measures, where
+    each mention of a measure would compute it anew.
+    """
+    (row,) = columns_free(docs, "row")
+    found = assess(docs, rules, text_col, docs.columns, (), sample_rows, numbered=row)
+    verdict = found.columns[-2]
+    return found.where(F.col(verdict) & (F.col(row) >= 0)).drop(verdict, row)

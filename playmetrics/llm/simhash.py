@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import settle
-from .common import text_of
+from .common import text_of, words_of
 from .links import components
 
 BITS = 64
@@ -127,3 +127,98 @@ def near_duplicates(
         classes.join(firsts, "root").select(F.col("fp").alias("point"), "component"), "classes"
     )
     return rows.join(named, F.col("fp") == F.col("point")).select("id", "fp", "component")
+
+
+# Near copies at a stated similarity of whole texts ----------------------------------------------
+#
+# At a shingle similarity of 0.8 the fingerprints of whole texts differ in some ten bits, which no
+# covering family can serve with selective buckets. Two such texts still share unbroken runs of some
+# forty words. So each text is also cut into segments at places that depend on the words alone, and
+# the least segment hashes make a sketch: texts that share a segment of their sketches are compared,
+# first by sketch and length, then exactly by their shingles.
+
+REACH = 4
+SKETCH = 24
+#: Members of a segment's group that all its members are compared with.
+LEADERS = 4
+#: Least shared part of two sketches for an exact comparison.
+SHARED = 0.15
+
+
+def segment_sketch(text: str) -> list[int]:
+    """The least hashes of the text's segments, as signed longs.
+
+    A segment ends where the hash of two neighbouring words is the least within ``REACH`` places.
+    """
+    words = text.encode().lower().split()
+    if not words:
+        return []
+    digest = xxhash.xxh64_intdigest
+    single = np.fromiter((digest(w) for w in words), np.uint64, len(words))
+    with np.errstate(over="ignore"):
+        pair = single * np.uint64(0x9E3779B97F4A7C15) + np.append(single[1:], np.uint64(0))
+        pair ^= pair >> np.uint64(31)
+        pair *= np.uint64(0xD6E8FEB86659FD93)
+    padded = np.concatenate((np.full(REACH, 2**64 - 1, np.uint64), pair, np.full(REACH, 2**64 - 1, np.uint64)))
+    least = padded[: len(pair)].copy()
+    for k in range(1, 2 * REACH + 1):
+        np.minimum(least, padded[k : k + len(pair)], out=least)
+    cuts = [0, *(np.flatnonzero(pair == least) + 1).tolist(), len(words)]
+    parts = {digest(b" ".join(words[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a}
+    return [h - 2**64 if h >> 63 else h for h in sorted(parts)[:SKETCH]]
+
+
+def similar_pairs(docs: DataFrame, similarity: float, size: int, id_col: str, text_col: str = "text") -> DataFrame:
+    """``u, v`` links between rows (ids unique) whose shingle sets have the similarity or more.
+
+    Within a segment's group, members are compared with up to ``LEADERS`` of them, chosen by a hash
+    of segment and id; a group of two is always compared whole.
+    """
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [segment_sketch(t) for t in batch["text"]]
+            lengths = [len(t.split()) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "sketch": found, "words": lengths})
+
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    sketches = settle(texts.mapInPandas(sketch, "id bigint, sketch array<bigint>, words bigint"), "sketches")
+    filed = sketches.select("id", "sketch", "words", F.explode("sketch").alias("key"))
+    order = [F.xxhash64("key", "id", F.lit(k)) for k in range(LEADERS)]
+    leads = [F.min_by(F.struct("id", "sketch", "words"), o).alias(f"lead{k}") for k, o in enumerate(order)]
+    groups = filed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"), *leads).where("n > 1")
+    leaders = groups.select("k", F.array(*[f"lead{k}" for k in range(LEADERS)]).alias("leads"))
+    met = filed.join(leaders, F.col("key") == F.col("k")).select("id", "sketch", "words", F.explode(F.array_distinct("leads")).alias("lead"))
+    shared = F.size(F.array_intersect("sketch", "lead.sketch"))
+    near = (
+        (F.col("id") != F.col("lead.id"))
+        & (shared >= SHARED * F.least(F.size("sketch"), F.size("lead.sketch")))
+        & (F.least("words", "lead.words") + size >= (F.greatest("words", "lead.words") + size) * (similarity - 0.1))
+    )
+    pairs = settle(
+        met.where(near).select(F.least("id", "lead.id").alias("u"), F.greatest("id", "lead.id").alias("v")).distinct(), "pairs"
+    )
+    asked = pairs.select(F.col("u").alias("a")).union(pairs.select(F.col("v").alias("a"))).distinct()
+    words = words_of(F.lower("text"))
+    count = F.greatest(F.size(words) - (size - 1), F.lit(1))
+    at = lambda i: F.slice(words, i, F.lit(size))
+    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(at(i), " "))))
+    sets = settle(texts.join(asked, F.col("id") == F.col("a")).select("a", shingles.alias("set")), "sets")
+    both = pairs.join(sets.withColumnsRenamed({"a": "u", "set": "su"}), "u").join(sets.withColumnsRenamed({"a": "v", "set": "sv"}), "v")
+    common = F.size(F.array_intersect("su", "sv"))
+    return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
+
+
+def near_copies(
+    docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``id, component`` for rows with unique long ids: the smallest id reachable over links.
+
+    Links join rows whose fingerprints differ in up to ``radius`` bits, and rows whose shingle sets
+    have ``similarity`` or more.
+    """
+    exact = near_duplicates(docs, size, radius, id_col, text_col)
+    edges = exact.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
+    linked = components(edges.unionByName(similar_pairs(docs, similarity, size, id_col, text_col)))
+    ids = docs.select(F.col(id_col).alias("id"))
+    return ids.join(linked, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
