@@ -8,10 +8,11 @@ and no driver ever holds all groups:
    balanced tree (an AA tree ordered by room). A bundle has room for a 64th of a shard.
 2. Of two bundles of one packer, one is more than half full at least, so there are at most
    2 * 64 * shards + packers bundles, whatever the data. These are packed the same way on the
-   driver, into the smallest capacity that needs no more than the wanted number of shards.
+   driver, into the smallest capacity that needs no more than the wanted number of shards; what that
+   leaves uneven (the last shard opened) is levelled by moving single bundles.
 
 A group larger than an even share cannot be kept whole with even shards: it is cut, by a hash of
-the ids, into the fewest pieces that fit one share each. There are fewer such groups than shards.
+the ids, into pieces of about a quarter of a share. There are fewer such groups than shards.
 
 Defined cases: a null text has no bytes and is grouped with the empty text; every row adds a fixed
 overhead; ties in size are broken by digest; rows that share an id keep together with their text; a
@@ -33,6 +34,7 @@ BUNDLES_A_SHARD = 64
 GROUPS_A_PACKER = 50_000
 MOST_PACKERS = 4_096
 ROWS_A_STRETCH = 50_000
+PIECES_A_SHARE = 4
 
 
 class Room:
@@ -146,6 +148,31 @@ def smallest_capacity(sizes: list[int], bins: int) -> list[int]:
     return packed
 
 
+def level(sizes: list[int], packed: list[int], bins: int) -> list[int]:
+    """Move items from the fullest possible to the emptiest bin as long as that brings the two closer."""
+    packed, totals = list(packed), [0] * bins
+    inside: list[list[int]] = [[] for _ in range(bins)]
+    for item, number in enumerate(packed):
+        totals[number] += sizes[item]
+        inside[number].append(item)
+    for _ in range(8 * len(sizes)):
+        empty = min(range(bins), key=totals.__getitem__)
+        for full in sorted(range(bins), key=totals.__getitem__, reverse=True):
+            gap = totals[full] - totals[empty]
+            fits = [i for i in inside[full] if 0 < sizes[i] < gap]
+            if fits:
+                break
+        else:
+            break
+        item = min(fits, key=lambda i: abs(gap - 2 * sizes[i]))
+        inside[full].remove(item)
+        inside[empty].append(item)
+        packed[item] = empty
+        totals[full] -= sizes[item]
+        totals[empty] += sizes[item]
+    return packed
+
+
 def _row_sizes(docs: DataFrame, id_col: str, text_col: str, overhead: int) -> DataFrame:
     text = text_of(text_col)
     return docs.select(
@@ -167,7 +194,7 @@ def shard_by_bytes(
 
     # Fewer groups than shards are above a share: their sizes sum up to the total at most.
     large = rows.groupBy("digest").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > share)
-    cuts = large.select(F.col("digest").alias("cut"), F.ceil(F.col("bytes") / share).cast("bigint").alias("pieces"))
+    cuts = large.select(F.col("digest").alias("cut"), F.ceil(PIECES_A_SHARE * F.col("bytes") / share).cast("bigint").alias("pieces"))
     piece = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("pieces")))
     rows = rows.join(F.broadcast(cuts), F.col("digest") == F.col("cut"), "left").select(
         "id", "size", "crc", "digest", piece.cast("bigint").alias("piece")
@@ -212,7 +239,8 @@ def shard_by_bytes(
     # At most 2 * 64 * shards + packers rows.
     bundles = bundled.groupBy("packer", "bundle").agg(F.sum("bytes").alias("bytes")).collect()
     bundles.sort(key=lambda b: (-b["bytes"], b["packer"], b["bundle"]))
-    bins = smallest_capacity([b["bytes"] for b in bundles], shards)
+    sizes = [b["bytes"] for b in bundles]
+    bins = level(sizes, smallest_capacity(sizes, shards), shards)
     placed = spark.createDataFrame(
         [(b["packer"], b["bundle"], n) for b, n in zip(bundles, bins, strict=True)], "packer bigint, bundle bigint, shard int"
     )
