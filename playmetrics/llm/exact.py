@@ -110,7 +110,7 @@ def deduplicate(
         "differing",
     )
 
-    size, keep, kept, code = columns_free(docs, "group_size", "keep_id", "kept", "digest")
+    size, keep, kept, code = columns_free(docs if carry else docs.select(id_col), "group_size", "keep_id", "kept", "digest")
     shown = lambda df: df.select(
         "held.*",
         F.col("last.id").alias(keep),

@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``u, v`` links to ``node, root``: each linked node with the smallest node of its component.
 
-    Links may point either way and repeat; a node linked to itself alone is left out. Each round
+    That smallest node has no row itself. Links may point either way and repeat. Each round
     writes its links to the shared folder. The number of rounds grows with the logarithm of the
     component size.
     """

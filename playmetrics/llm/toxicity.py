@@ -89,7 +89,7 @@ def train(
 ) -> Machine:
     """Fit on documents given as arrays of the distinct term hashes that get weights."""
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         edge = min(max(share, 1e-3), 1 - 1e-3) if len(labels) else 0.5
         return Machine(np.zeros(0, np.int64), float(np.log(edge / (1 - edge))), np.zeros(0), np.zeros((0, factors)))
     known = np.unique(np.concatenate(terms))
