@@ -784,4 +784,4 @@ def _(spark, sf):
     FROM full_rows GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    return streams.drain(streams.stream_active_blocks(_event_stream(spark, sf), BLOCK, GAP, idle="60 days"), "blocks")
+    return streams.drain(streams.stream_active_blocks(_event_stream(spark, sf), BLOCK, GAP), "blocks")

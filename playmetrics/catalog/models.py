@@ -191,14 +191,14 @@ def _(spark, sf):
 # Fitted models --------------------------------------------------------------------------------
 
 
-def folded(spark, sf, folds: int = 3):
+def folded(spark, sf, folds: int = 6):
     split = models.stratified_folds(lines(spark, sf), "label", ["l_orderkey", "l_linenumber"], folds, chunk=4096)
     return models.assemble(settle(split, "folds"), FEATURES, "label", ["fold"])
 
 
 @query("decision_tree")
 def _(spark, sf):
-    scored, _ = models.cross_validate(models.decision_tree(), folded(spark, sf), 3)
+    scored, _ = models.cross_validate(models.decision_tree(), folded(spark, sf), 6)
     return rounded(models.fold_scores(scored))
 
 
@@ -232,7 +232,7 @@ def _(spark, sf):
 @query("classify_users")
 def _(spark, sf):
     data = profile_data(spark, sf).select("player", *[F.col(c).cast("double").alias(c) for c in PROFILE_FEATURES], "vip")
-    return models.classify_users(data, ["player"], "vip", PROFILE_FEATURES, folds=2, trees=50)
+    return models.classify_users(data, ["player"], "vip", PROFILE_FEATURES)
 
 
 @query("borderline_smote")
@@ -262,24 +262,27 @@ def _(spark, sf):
     return balance.border_positions(positions, ["x", "y"]).drop("qid")
 
 
+DIMENSIONS = 64
+
+
 @query("kmeans_sweep")
 def _(spark, sf):
-    return models.kmeans_sweep(profile_data(spark, sf), ["freq", "ratio"], (2, 3))
+    return models.kmeans_sweep(profile_data(spark, sf), PROFILE_FEATURES, (2, 3))
 
 
 @query("kmeans_embeddings")
 def _(spark, sf):
-    vectors = table(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
+    vectors = table(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(DIMENSIONS)])
     return models.kmeans_sweep(vectors, vectors.columns, (2, 3, 4, 5))
 
 
-SILHOUETTE_COORDS = ["x0", "x1", "x2"]
+SILHOUETTE_COORDS = [f"x{i}" for i in range(DIMENSIONS)]
 
 
 @query(
     "silhouette",
-    """WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2 FROM embeddings),
-    d AS (SELECT a.vec_id, a.label, b.label AS other, sum((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 + (a.x2 - b.x2) ** 2) AS s, count(*) AS n
+    """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+    d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x) ** 2) AS s, count(*) AS n
       FROM v a, v b GROUP BY 1, 2, 3),
     m AS (SELECT vec_id, label, max(CASE WHEN other = label THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN other <> label THEN s / n END) AS b FROM d GROUP BY 1, 2),
     r AS (SELECT label, CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM m)
@@ -287,7 +290,7 @@ SILHOUETTE_COORDS = ["x0", "x1", "x2"]
     UNION ALL SELECT NULL, count(*), round(avg(s), 6) FROM r""",
 )
 def _(spark, sf):
-    vectors = table(spark, sf, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)])
+    vectors = table(spark, sf, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(DIMENSIONS)])
     return rounded(models.silhouette(vectors, SILHOUETTE_COORDS, "label"))
 
 

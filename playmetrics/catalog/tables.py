@@ -170,12 +170,11 @@ def _(spark, sf):
 
 @query(
     "b9_sentinel",
-    """SELECT p_partkey, CASE WHEN p_size = 7 THEN 2 ELSE p_size END AS p_size FROM part WHERE p_partkey <> 7""",
+    """SELECT p_partkey, CASE WHEN p_size = 7 THEN 2 ELSE p_size END AS p_size FROM part""",
 )
 def _(spark, sf):
     marked = (
         table(spark, sf, "part")
-        .where("p_partkey <> 7")
         .select("p_partkey", F.when(F.col("p_size") == 7, -999999).otherwise(F.col("p_size")).alias("p_size"))
     )
     return frames.replace_sentinel(marked, -999999, 2)
@@ -629,9 +628,9 @@ def _(spark, sf):
     return frames.top_rows(found.select("p_brand", "p_type", "p50"), [F.desc("p50"), F.col("p_brand"), F.col("p_type")], 20)
 
 
-@query("g5_sort_abs", "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY abs(s_acctbal) DESC LIMIT 25")
+@query("g5_sort_abs", "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY abs(s_acctbal) DESC, s_suppkey")
 def _(spark, sf):
-    return frames.top_rows(table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), [F.abs("s_acctbal").desc()], 25)
+    return table(spark, sf, "supplier").select("s_suppkey", "s_acctbal").orderBy(F.abs("s_acctbal").desc(), "s_suppkey")
 
 
 @query(

@@ -17,10 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.cuts import chain_of_cuts
 from ..plans.quantiles import group_stats, widen
 from ..plans.timeline import CHUNK_SECS, Histories, LastSeen, Prev, RowNumber, RunSum, position, running
 from .sessions import gap_sessions
@@ -30,26 +32,34 @@ SLOT = ["player", "ts", "head"]
 
 
 def _follow(gap: int, interval: int):
-    """Block of every (player, second), from seconds sorted by player and time."""
+    """Block of every (player, second, head), from seconds sorted by player and time.
+
+    A batch is cut at the players' borders; what a player carries into the next batch is the last
+    second, the clock since the last cut and the block number.
+    """
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        player = first = last = None
-        earlier = block = 0
+        carried = None
         for batch in batches:
-            out = []
-            for who, ts, rows in zip(batch["player"].tolist(), batch["ts"].tolist(), batch["rows"].tolist()):
-                if who != player:
-                    player, first, last, earlier, block = who, ts, ts, 0, 0
-                for head in (True, False)[: min(rows, 2)]:
-                    cut = False
-                    if ts - last > gap:
-                        earlier += last - first
-                        first = ts
-                    elif earlier + last - first >= interval:
-                        block, first, earlier, cut = block + 1, ts, 0, True
-                    last = ts
-                    out.append((who, ts, head, block, cut))
-            yield pd.DataFrame(out, columns=["player", "ts", "head", "block", "cut"])
+            twice = np.minimum(batch["rows"].to_numpy(), 2)
+            player = np.repeat(batch["player"].to_numpy(), twice)
+            ts = np.repeat(batch["ts"].to_numpy(), twice)
+            head = np.ones(len(ts), bool)
+            head[(np.cumsum(twice) - 1)[twice == 2]] = False
+            cut = np.zeros(len(ts), bool)
+            base = np.zeros(len(ts), np.int64)
+            borders = np.flatnonzero(np.diff(player, prepend=player[:1] - 1, append=player[-1:] + 1))
+            for start, stop in zip(borders[:-1], borders[1:], strict=True):
+                mine = ts[start:stop]
+                if carried is None or carried[0] != player[start]:
+                    carried = player[start], mine[0], 0, 0
+                _, last, clock, block = carried
+                places, clock = chain_of_cuts(mine, last, clock, gap, interval)
+                cut[start + places] = True
+                base[start:stop] = block - np.count_nonzero(cut[:start])
+                carried = player[start], mine[-1], clock, block + len(places)
+            number = base + np.cumsum(cut)
+            yield pd.DataFrame({"player": player, "ts": ts, "head": head, "block": number.astype(np.int32), "cut": cut})
 
     return assign
 

@@ -10,7 +10,7 @@ Feature scores, folds and reports are plain aggregations.  Classifiers and clust
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (
@@ -248,14 +248,18 @@ def logistic_l1(rows: int, c: float = 1.0) -> LogisticRegression:
     return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * rows), standardization=False, maxIter=200)
 
 
-def cross_validate(estimator: Estimator, data: DataFrame, folds: int) -> tuple[DataFrame, object]:
+def cross_validate(
+    estimator: Estimator | Callable[[int], Estimator], data: DataFrame, folds: int
+) -> tuple[DataFrame, object]:
     """Fit on all folds but one in turn; every row's out-of-fold prediction, and the last model.
 
-    ``data`` has ``features``, ``label`` and ``fold``.
+    ``data`` has ``features``, ``label`` and ``fold``.  An estimator that depends on the number of
+    training rows is given as a function of it.
     """
     scored, model = None, None
     for k in range(folds):
-        model = estimator.fit(data.where(F.col("fold") != k))
+        train = data.where(F.col("fold") != k)
+        model = (estimator if isinstance(estimator, Estimator) else estimator(train.count())).fit(train)
         part = model.transform(data.where(F.col("fold") == k)).select("fold", "label", "prediction")
         scored = part if scored is None else scored.unionByName(part)
     return scored, model
@@ -334,11 +338,10 @@ def classify_users(
     split = settle(stratified_folds(clean, label, order, folds, chunk), "folds")
     raw = assemble(split, features, label, ["fold"])
     scaled = assemble(settle(standardize(split, list(features)), "scaled"), features, label, ["fold"])
-    rows = raw.count()
     runs = (
-        ("decision_tree", decision_tree(), raw),
-        ("logistic_l1", logistic_l1(rows), scaled),
-        ("random_forest", random_forest(trees), raw),
+        ("decision_tree", lambda rows: decision_tree(), raw),
+        ("logistic_l1", logistic_l1, scaled),
+        ("random_forest", lambda rows: random_forest(trees), raw),
     )
     result = None
     for name, estimator, data in runs:

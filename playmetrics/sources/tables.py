@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session) a temporary folder of this machine is used.
+    Only where that is unset in a local session a temporary folder of this machine is used; on a
+    cluster that is an error, as no other machine would see the files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="playmetrics-")
     return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
 

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.predicates import action_is
+from ..plans.cuts import chain_of_cuts
 from ..sources.tables import work_dir
 
 
@@ -59,47 +61,42 @@ def stream_enter_ratio(
     )
 
 
-def stream_active_blocks(
-    events: DataFrame, interval: int, gap: int = 300, delay: str = "10 minutes", idle: str = "1 hour"
-) -> DataFrame:
+def stream_active_blocks(events: DataFrame, interval: int, gap: int = 300, delay: str = "10 minutes") -> DataFrame:
     """Full blocks of active time, each emitted at its cut: ``player, block, start_ts, end_ts, clicks``.
 
     Rows are counted per player and second before they are shuffled, so a batch brings a player at
-    most one record per second and input part.  State per player: the block's first second, start of the current stretch, last second, time
-    before the stretch, block number and clicks.  It is dropped once the watermark is ``idle`` past
-    the player's last row; the next row then starts block 0 afresh.
+    most one record per second and input part.  State per player, kept for ever: the block's first
+    second, the last second, the clock since the last cut, block number and clicks.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.groupby(["player", "ts"], as_index=False).agg(rows=("event_id", "size"))
 
-    def advance(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        (player,) = key
-        opened, first, last, earlier, block, clicks = state.get if state.exists else (None, 0, 0, 0, 0, 0)
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seconds = pd.concat([batch[["ts", "rows"]] for batch in batches]).groupby("ts")["rows"].sum().sort_index()
-        out = []
-        for ts, rows in seconds.items():
-            if opened is None:
-                opened, first, last = ts, ts, ts
-            # Within a second only the first row and the later ones can differ.
-            for n in (1, rows - 1) if rows > 1 else (1,):
-                if ts - last > gap:
-                    earlier += last - first
-                    first = ts
-                elif earlier + last - first >= interval:
-                    out.append((player, block, opened, last, clicks))
-                    opened, first, earlier, block, clicks = ts, ts, 0, block + 1, 0
-                last, clicks = ts, clicks + n
-        state.update((opened, first, last, earlier, block, clicks))
-        state.setTimeoutTimestamp(max(int(last) * 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["player", "block", "start_ts", "end_ts", "clicks"])
+        # Within a second only the first row and the later ones can differ.
+        twice = np.minimum(seconds.to_numpy(), 2)
+        ts = np.repeat(seconds.index.to_numpy(), twice)
+        clicks = np.ones(len(ts), np.int64)
+        clicks[(np.cumsum(twice) - 1)[twice == 2]] = seconds.to_numpy()[twice == 2] - 1
+        opened, last, clock, block, before = state.get if state.exists else (int(ts[0]), int(ts[0]), 0, 0, 0)
+        cuts, clock = chain_of_cuts(ts, last, clock, gap, interval)
+        edges = np.concatenate(([0], cuts, [len(ts)]))
+        sums = np.add.reduceat(np.append(clicks, 0), edges[:-1]) * (np.diff(edges) > 0)
+        sums[0] += before
+        ends = np.where(cuts > 0, ts[cuts - 1], last)
+        starts = np.concatenate(([opened], ts[cuts]))
+        state.update((int(starts[-1]), int(ts[-1]), clock, block + len(cuts), int(sums[-1])))
+        yield pd.DataFrame(
+            {
+                "player": np.full(len(cuts), key[0]),
+                "block": np.arange(block, block + len(cuts), dtype=np.int32),
+                "start_ts": starts[:-1],
+                "end_ts": ends,
+                "clicks": sums[:-1],
+            }
+        )
 
     combined = events.select("player", "ts", "event_id").mapInPandas(combine, "player bigint, ts bigint, rows bigint")
     return (
@@ -108,9 +105,9 @@ def stream_active_blocks(
         .applyInPandasWithState(
             advance,
             "player bigint, block int, start_ts bigint, end_ts bigint, clicks bigint",
-            "opened bigint, first bigint, last bigint, earlier bigint, block int, clicks bigint",
+            "opened bigint, last bigint, clock bigint, block int, clicks bigint",
             "append",
-            GroupStateTimeout.EventTimeTimeout,
+            GroupStateTimeout.NoTimeout,
         )
     )
 
