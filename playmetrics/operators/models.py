@@ -59,8 +59,12 @@ def stratified_folds(df: DataFrame, label: str, order: Sequence[str], k: int = 6
 
 
 def _folds(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, chunk: int) -> DataFrame:
-    placed = running(df, RowNumber("_at"), Total("_size", F.lit(1)), keys=keys, order=order, chunk_secs=chunk)
-    return placed.withColumn("fold", _contiguous(F.col("_at"), F.col("_size"), k)).drop("_at", "_size")
+    # A null class is a class of its own (a struct is never null), a null order key comes first.
+    first = F.coalesce(F.col(order[0]), F.lit(-(2**62)))
+    keyed = df.withColumn("_class", F.struct(*keys)).withColumn("_first", first)
+    specs = RowNumber("_at"), Total("_size", F.lit(1))
+    placed = running(keyed, *specs, keys=("_class",), order=("_first", *order[1:]), chunk_secs=chunk)
+    return placed.withColumn("fold", _contiguous(F.col("_at"), F.col("_size"), k)).drop("_at", "_size", "_class", "_first")
 
 
 def random_split(df: DataFrame, ids: Sequence[str], share: float = 0.7, seed: int = 0) -> tuple[DataFrame, DataFrame]:
