@@ -254,8 +254,11 @@ def fetch_slices(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return docs.join(listed, F.col("key") == F.col("k")).select("text", "cuts").mapInPandas(run, SLICES)
 
 
-def cut_slices(slices: DataFrame, block: int, length: int) -> DataFrame:
-    """Slices cut into blocks of ``block`` string offsets; ``near`` hashes the core, ``same`` the block."""
+def cut_slices(slices: DataFrame, block: int, length: int, bare: bool = False) -> DataFrame:
+    """Slices cut into blocks of ``block`` string offsets; ``near`` hashes the core, ``same`` the block.
+
+    ``bare``: without the bytes.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_64_intdigest
@@ -268,10 +271,26 @@ def cut_slices(slices: DataFrame, block: int, length: int) -> DataFrame:
                     core = r.slice[r.high - number * block : r.high + length - number * block - block + 1]
                     near = digest(b"%d,%d,%d," % (r.anchor, block, number) + core)
                     same = digest(b"%d,%d," % (low, high) + part)
-                    out.append((r.anchor, r.part, _signed(near), _signed(same), low, high, part))
+                    out.append((r.anchor, r.part, _signed(near), _signed(same), low, high, None if bare else part))
             yield pd.DataFrame(out, columns=[p.split()[0] for p in SLICES.split(", ")])
 
-    return slices.mapInPandas(run, SLICES)
+    return slices.select(*[p.split()[0] for p in SLICES.split(", ")]).mapInPandas(run, SLICES)
+
+
+def _live(slices: DataFrame, length: int) -> DataFrame:
+    """The slices that can share a string with another of their anchor, and how many they are (``slices``).
+
+    Strings are taken in blocks of a third of a string's length; two slices that share a string share the
+    core of its block. Only hashes of cores are dealt out.
+    """
+    block = max(1, length // 3)
+    cores = settle(cut_slices(slices, block, length, bare=True).select("anchor", "part", "near"), "cores")
+    met = cores.groupBy(F.col("near").alias("n")).agg(F.min("part").alias("least"), F.max("part").alias("greatest"))
+    shared = settle(met.where(F.col("least") != F.col("greatest")).select("n"), "shared")
+    live = cores.join(shared, F.col("near") == F.col("n")).select("anchor", "part").distinct()
+    sizes = live.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("slices"))
+    sized = live.join(sizes, F.col("anchor") == F.col("a")).select(F.col("anchor").alias("a"), F.col("part").alias("p"), "slices")
+    return slices.join(settle(sized, "sized"), (F.col("anchor") == F.col("a")) & (F.col("part") == F.col("p"))).drop("a", "p")
 
 
 def sort_slices(slices: DataFrame, length: int) -> DataFrame:
@@ -301,7 +320,7 @@ def sort_slices(slices: DataFrame, length: int) -> DataFrame:
         if held:
             yield done()
 
-    return slices.repartition("near").sortWithinPartitions("near", "same", "anchor", "part").mapInPandas(run, RANGES)
+    return slices.drop("slices").repartition("near").sortWithinPartitions("near", "same", "anchor", "part").mapInPandas(run, RANGES)
 
 
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
@@ -310,7 +329,7 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     anchors = found.groupBy(F.col("anchor").alias("a")).agg(
         F.count("*").alias("times"), F.min("part").alias("least"), F.max("part").alias("greatest")
     )
-    repeated = anchors.where("times > 1").select("a", (F.col("least") != F.col("greatest")).alias("mixed"))
+    repeated = settle(anchors.where("times > 1").select("a", (F.col("least") != F.col("greatest")).alias("mixed")), "anchors")
     seen = settle(found.join(repeated, F.col("anchor") == F.col("a")).drop("a"), "repeated")
     # Slices seen twice repeat as a whole.
     parts = settle(
@@ -322,34 +341,29 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     open_anchors = (
         parts.where("mixed")
         .groupBy(F.col("anchor").alias("a"))
-        .agg(F.count("*").alias("slices"), F.min("times").alias("fewest"))
+        .agg(F.min("times").alias("fewest"))
         .where("fewest = 1")
     )
     wanted = parts.join(open_anchors, F.col("anchor") == F.col("a")).select(
         "one.key", "anchor", "part", "one.place", "one.first", "one.last"
     )
-    slices = settle(fetch_slices(docs, wanted, length).dropDuplicates(["anchor", "part"]), "bytes")
+    slices = settle(fetch_slices(docs, wanted, length), "bytes")
+    slices = settle(_live(slices, length), "live")
     ranges = None
-    for block in (None, *[b for b in BLOCKS if 4 * b <= length]):
-        if block is not None:
-            slices = settle(cut_slices(slices, block, length), "blocks")
-        # Equal blocks of different slices repeat as a whole.
-        equal = slices.groupBy("near", "same").agg(F.count("*").alias("times"))
-        groups = settle(
-            equal.groupBy(F.col("near").alias("n")).agg(F.count("*").alias("slices"), F.max("times").alias("most")), "groups"
-        )
-        if block is not None:
-            twice = equal.where("times > 1").select(F.col("near").alias("n"), F.col("same").alias("s"))
-            both = (F.col("near") == F.col("n")) & (F.col("same") == F.col("s"))
-            more = slices.join(twice, both).select("anchor", "part", "low", "high")
-            ranges = ranges.unionByName(settle(more, "equal"))
-        few = groups.where((F.col("slices") > 1) & (F.col("slices") <= MOST_SLICES)).select("n")
-        many = groups.where(F.col("slices") > MOST_SLICES).select("n")
-        sorted_ = settle(sort_slices(slices.join(few, F.col("near") == F.col("n")).drop("n"), length), "sorted")
+    for block in [*[b for b in BLOCKS if 4 * b <= length], 0]:
+        sorted_ = settle(sort_slices(slices.where(F.col("slices") <= MOST_SLICES), length), "sorted")
         ranges = sorted_ if ranges is None else ranges.unionByName(sorted_)
-        if many.isEmpty():
+        many = slices.where(F.col("slices") > MOST_SLICES)
+        if not block or many.isEmpty():
             break
-        slices = slices.join(many, F.col("near") == F.col("n")).drop("n")
+        cut = settle(cut_slices(many, block, length), "blocks")
+        # Equal blocks of different slices repeat as a whole.
+        equal = cut.groupBy(F.col("near").alias("n"), F.col("same").alias("s")).agg(F.min("part").alias("least"), F.max("part").alias("greatest"))
+        twice = settle(equal.where(F.col("least") != F.col("greatest")).select("n", "s"), "equal")
+        both = (F.col("near") == F.col("n")) & (F.col("same") == F.col("s"))
+        ranges = ranges.unionByName(settle(cut.join(twice, both).select("anchor", "part", "low", "high"), "blocks-whole"))
+        groups = equal.groupBy("n").agg(F.count("*").alias("slices")).where(F.col("slices") > 1)
+        slices = settle(cut.join(settle(groups, "groups"), F.col("near") == F.col("n")).drop("n"), "live")
     here = seen.select("key", "anchor", "part", "place", "first", "last")
     all_of = here.join(whole.withColumnsRenamed({"anchor": "a", "part": "p"}), (F.col("anchor") == F.col("a")) & (F.col("part") == F.col("p")))
     some_of = here.join(ranges.withColumnsRenamed({"anchor": "a", "part": "p"}), (F.col("anchor") == F.col("a")) & (F.col("part") == F.col("p")))
