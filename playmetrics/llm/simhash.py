@@ -199,11 +199,13 @@ def similar_pairs(docs: DataFrame, similarity: float, size: int, id_col: str, te
         met.where(near).select(F.least("id", "lead.id").alias("u"), F.greatest("id", "lead.id").alias("v")).distinct(), "pairs"
     )
     asked = pairs.select(F.col("u").alias("a")).union(pairs.select(F.col("v").alias("a"))).distinct()
-    words = words_of(F.lower("text"))
+    # The words are a column of their own: inside the lambda their expression would be evaluated for each shingle.
+    words = F.col("listed")
     count = F.greatest(F.size(words) - (size - 1), F.lit(1))
     at = lambda i: F.slice(words, i, F.lit(size))
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(at(i), " "))))
-    sets = settle(texts.join(asked, F.col("id") == F.col("a")).select("a", shingles.alias("set")), "sets")
+    split = texts.join(asked, F.col("id") == F.col("a")).select("a", words_of(F.lower("text")).alias("listed"))
+    sets = settle(split.select("a", shingles.alias("set")), "sets")
     both = pairs.join(sets.withColumnsRenamed({"a": "u", "set": "su"}), "u").join(sets.withColumnsRenamed({"a": "v", "set": "sv"}), "v")
     common = F.size(F.array_intersect("su", "sv"))
     return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
