@@ -78,7 +78,7 @@ def anchor_places(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
         h *= np.uint64(MIX[2])
         h ^= h >> np.uint64(31)
     span = length - PIECE + 1
-    least, place, width = h, np.arange(len(h), dtype=np.int64), 1
+    least, place, width = h, np.arange(len(h), dtype=np.int32), 1
     while width * 2 <= span:
         left, right = least[:-width], least[width:]
         later = right < left
@@ -118,8 +118,8 @@ def slices_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return docs, h[anchors].view(np.int64), parts.view(np.int64), anchors - base, first - base, last - base
 
 
-def two_stage(data: bytes) -> np.ndarray:
-    """The suffixes of ``data`` in order, by their first ``DEPTH`` bytes at least.
+def two_stage(data: bytes, depth: int = DEPTH) -> np.ndarray:
+    """The suffixes of ``data`` in order, by their first ``depth`` bytes at least.
 
     A suffix smaller than its successor is sorted directly. The others fill the front of their first
     byte's bucket, in the order in which a scan from the left meets their successors.
@@ -133,7 +133,7 @@ def two_stage(data: bytes) -> np.ndarray:
     run_end = np.append(differs, n - 1)
     following = np.append(codes[differs + 1].astype(np.int16), -1)
     smaller = np.repeat(following > codes[run_end], np.diff(np.concatenate(([-1], run_end))))
-    direct = sorted(np.flatnonzero(smaller).tolist(), key=lambda i: data[i : i + DEPTH])
+    direct = sorted(np.flatnonzero(smaller).tolist(), key=lambda i: data[i : i + depth])
     counts = np.bincount(codes, minlength=256)
     heads = (np.cumsum(counts) - counts).tolist()
     order = [-1] * n
@@ -179,7 +179,7 @@ def common_prefixes(data: bytes, order: np.ndarray, limit: int) -> np.ndarray:
 def repeated_strings(slices: list[bytes], length: int) -> list[np.ndarray]:
     """For each slice the places at which a string starts that also starts elsewhere in the slices."""
     data = SEPARATOR.join(slices) + SEPARATOR
-    order = two_stage(data)
+    order = two_stage(data, length)
     common = common_prefixes(data, order, length)
     found = np.zeros(len(data) + 1, bool)
     hit = np.flatnonzero(common >= length)
