@@ -183,21 +183,19 @@ def similar_pairs(docs: DataFrame, similarity: float, size: int, id_col: str, te
 
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     sketches = settle(texts.mapInPandas(sketch, "id bigint, sketch array<bigint>, words bigint"), "sketches")
-    filed = sketches.select("id", "sketch", "words", F.explode("sketch").alias("key"))
-    order = [F.xxhash64("key", "id", F.lit(k)) for k in range(LEADERS)]
-    leads = [F.min_by(F.struct("id", "sketch", "words"), o).alias(f"lead{k}") for k, o in enumerate(order)]
+    filed = sketches.select("id", F.explode("sketch").alias("key"))
+    leads = [F.min_by("id", F.xxhash64("key", "id", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)]
     groups = filed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"), *leads).where("n > 1")
-    leaders = groups.select("k", F.array(*[f"lead{k}" for k in range(LEADERS)]).alias("leads"))
-    met = filed.join(leaders, F.col("key") == F.col("k")).select("id", "sketch", "words", F.explode(F.array_distinct("leads")).alias("lead"))
-    shared = F.size(F.array_intersect("sketch", "lead.sketch"))
-    near = (
-        (F.col("id") != F.col("lead.id"))
-        & (shared >= SHARED * F.least(F.size("sketch"), F.size("lead.sketch")))
-        & (F.least("words", "lead.words") + size >= (F.greatest("words", "lead.words") + size) * (similarity - 0.1))
+    leaders = groups.select("k", F.array_distinct(F.array(*[f"lead{k}" for k in range(LEADERS)])).alias("leads"))
+    met = filed.join(leaders, F.col("key") == F.col("k")).select("id", F.explode("leads").alias("lead")).where("id <> lead")
+    asked = met.select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct()
+    one, other = (
+        sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("words").alias(f"w{c}")) for c in ("u", "v")
     )
-    pairs = settle(
-        met.where(near).select(F.least("id", "lead.id").alias("u"), F.greatest("id", "lead.id").alias("v")).distinct(), "pairs"
+    near = (F.size(F.array_intersect("su", "sv")) >= SHARED * F.least(F.size("su"), F.size("sv"))) & (
+        F.least("wu", "wv") + size >= (F.greatest("wu", "wv") + size) * (similarity - 0.1)
     )
+    pairs = settle(asked.join(one, "u").join(other, "v").where(near).select("u", "v"), "pairs")
     asked = pairs.select(F.col("u").alias("a")).union(pairs.select(F.col("v").alias("a"))).distinct()
     # The words are a column of their own: inside the lambda their expression would be evaluated for each shingle.
     words = F.col("listed")
