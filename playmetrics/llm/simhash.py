@@ -19,6 +19,7 @@ ids are passed by when the smallest id is taken.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import settle
-from .common import text_of, words_of
+from .common import text_of
 from .links import components
 
 BITS = 64
@@ -132,81 +133,116 @@ def near_duplicates(
 # Near copies at a stated similarity of whole texts ----------------------------------------------
 #
 # At a shingle similarity of 0.8 the fingerprints of whole texts differ in some ten bits, which no
-# covering family can serve with selective buckets. Two such texts still share unbroken runs of some
-# forty words. So each text is also cut into segments at places that depend on the words alone, and
-# the least segment hashes make a sketch: texts that share a segment of their sketches are compared,
-# first by sketch and length, then exactly by their shingles.
+# covering family can serve with selective buckets. So each distinct shingle set is filed under its
+# first |S| - ceil(0.8 |S|) + 1 shingles in one order of all shingles: two sets that are similar enough
+# share a filed shingle, whatever the order. Shingles that are frequent in a sample come last, which
+# keeps the groups small and decides nothing else. Only links that connect matter: members of a group
+# are first compared with two of them, then all pairs that are not connected yet are compared.
+
+#: One in so many documents is counted to know the frequent shingles, and so many of these are kept.
+COUNTED, FREQUENT = 8, 1 << 20
+#: Members of a block; the pairs of a larger group are dealt out by pairs of blocks.
+BLOCK = 256
+#: Guards a rounded product of similarity and size from counting as the next whole number.
+TINY = 1e-9
+
+
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles as signed longs, in ascending order; case is kept."""
+    words = text.encode().split()
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= size:
+        return np.array([digest(joined, SEED)], np.uint64).view(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-size]))
+    spans = zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(starts)).view(np.int64))
 
-REACH = 4
-SKETCH = 24
-#: Members of a segment's group that all its members are compared with.
-LEADERS = 4
-#: Least shared part of two sketches for an exact comparison.
-SHARED = 0.15
 
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """``a, set`` of ``id, text``."""
 
-def segment_sketch(text: str) -> list[int]:
-    """The least hashes of the text's segments, as signed longs.
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"a": batch["id"], "set": [shingle_set(t, size) for t in batch["text"]]})
 
-    A segment ends where the hash of two neighbouring words is the least within ``REACH`` places.
-    """
-    words = text.encode().lower().split()
-    if not words:
-        return []
-    digest = xxhash.xxh64_intdigest
-    single = np.fromiter((digest(w) for w in words), np.uint64, len(words))
-    with np.errstate(over="ignore"):
-        pair = single * np.uint64(0x9E3779B97F4A7C15) + np.append(single[1:], np.uint64(0))
-        pair ^= pair >> np.uint64(31)
-        pair *= np.uint64(0xD6E8FEB86659FD93)
-    padded = np.concatenate((np.full(REACH, 2**64 - 1, np.uint64), pair, np.full(REACH, 2**64 - 1, np.uint64)))
-    least = padded[: len(pair)].copy()
-    for k in range(1, 2 * REACH + 1):
-        np.minimum(least, padded[k : k + len(pair)], out=least)
-    cuts = [0, *(np.flatnonzero(pair == least) + 1).tolist(), len(words)]
-    parts = {digest(b" ".join(words[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a}
-    return [h - 2**64 if h >> 63 else h for h in sorted(parts)[:SKETCH]]
+    return texts.mapInPandas(cut, "a bigint, set array<bigint>")
+
+
+def _prefixes(texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """``id, n, whole, keys``: the number of shingles, a digest of the set, and the shingles it is filed under."""
+    counted = _sets(texts.where(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0), size).select(F.explode("set").alias("key"))
+    often = counted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    often = often.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas().sort_values("key")
+    ranks = texts.sparkSession.sparkContext.broadcast((often["key"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
+
+    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, count = ranks.value
+        for batch in batches:
+            rows = []
+            for i, t in zip(batch["id"], batch["text"], strict=True):
+                found = shingle_set(t, size)
+                whole, n = xxhash.xxh3_128_digest(found.tobytes()), len(found)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    found = found[np.argsort(np.where(known[at] == found, count[at], 0), kind="stable")]
+                rows.append((i, n, whole, found[: n - math.ceil(similarity * n - TINY) + 1]))
+            yield pd.DataFrame(rows, columns=["id", "n", "whole", "keys"])
+
+    return texts.mapInPandas(file, "id bigint, n bigint, whole binary, keys array<bigint>")
 
 
 def similar_pairs(docs: DataFrame, similarity: float, size: int, id_col: str, text_col: str = "text") -> DataFrame:
     """``u, v`` links between rows (ids unique) whose shingle sets have the similarity or more.
 
-    Within a segment's group, members are compared with up to ``LEADERS`` of them, chosen by a hash
-    of segment and id; a group of two is always compared whole.
+    Not every pair is listed, but similar rows are connected through listed pairs. A group whose
+    members stay apart costs the square of its size, dealt out in blocks.
     """
-
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [segment_sketch(t) for t in batch["text"]]
-            lengths = [len(t.split()) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "sketch": found, "words": lengths})
-
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    sketches = settle(texts.mapInPandas(sketch, "id bigint, sketch array<bigint>, words bigint"), "sketches")
-    filed = sketches.select("id", F.explode("sketch").alias("key"))
-    leads = [F.min_by("id", F.xxhash64("key", "id", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)]
-    groups = filed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"), *leads).where("n > 1")
-    leaders = groups.select("k", F.array_distinct(F.array(*[f"lead{k}" for k in range(LEADERS)])).alias("leads"))
-    met = filed.join(leaders, F.col("key") == F.col("k")).select("id", F.explode("leads").alias("lead")).where("id <> lead")
-    asked = met.select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct()
-    one, other = (
-        sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("words").alias(f"w{c}")) for c in ("u", "v")
-    )
-    near = (F.size(F.array_intersect("su", "sv")) >= SHARED * F.least(F.size("su"), F.size("sv"))) & (
-        F.least("wu", "wv") + size >= (F.greatest("wu", "wv") + size) * (similarity - 0.1)
-    )
-    pairs = settle(asked.join(one, "u").join(other, "v").where(near).select("u", "v"), "pairs")
-    asked = pairs.select(F.col("u").alias("a")).union(pairs.select(F.col("v").alias("a"))).distinct()
-    # The words are a column of their own: inside the lambda their expression would be evaluated for each shingle.
-    words = F.col("listed")
-    count = F.greatest(F.size(words) - (size - 1), F.lit(1))
-    at = lambda i: F.slice(words, i, F.lit(size))
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(at(i), " "))))
-    split = texts.join(asked, F.col("id") == F.col("a")).select("a", words_of(F.lower("text")).alias("listed"))
-    sets = settle(split.select("a", shingles.alias("set")), "sets")
-    both = pairs.join(sets.withColumnsRenamed({"a": "u", "set": "su"}), "u").join(sets.withColumnsRenamed({"a": "v", "set": "sv"}), "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
+    texts = docs.select(F.col(id_col).alias("id"), F.lower(text_of(text_col)).alias("text"))
+    rows = settle(_prefixes(texts, similarity, size), "prefixes")
+    firsts = rows.groupBy("whole").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
+    same = rows.join(firsts.where("rows > 1").select("whole", "first"), "whole").where("id <> first")
+    equal = settle(same.select(F.col("id").alias("u"), F.col("first").alias("v")), "equal-sets")
+    one_each = rows.join(equal.select(F.col("u").alias("id")), "id", "left_anti")
+    filed = one_each.select("id", "n", F.posexplode("keys").alias("pos", "key"))
+    shared = filed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    filed = settle(filed.join(shared, "key"), "filed")
+
+    def could(a: str, b: str):
+        """Whether sizes allow the similarity, and the key can be the first one that both have."""
+        (na, pa), (nb, pb) = ((F.col(f"{x}.n"), F.col(f"{x}.pos")) for x in (a, b))
+        common = F.lit(similarity / (1 + similarity)) * (na + nb) - TINY
+        sizes = F.least(na, nb) >= F.lit(similarity) * F.greatest(na, nb) - TINY
+        return (F.col(f"{a}.id") != F.col(f"{b}.id")) & sizes & (F.least(na - pa, nb - pb) >= common)
+
+    def alike(met: DataFrame, name: str) -> DataFrame:
+        pairs = settle(met.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct(), f"asked-{name}")
+        asked = pairs.select(F.col("u").alias("a")).union(pairs.select(F.col("v").alias("a"))).distinct()
+        sets = settle(_sets(texts.join(asked, F.col("id") == F.col("a"), "left_semi"), size), f"sets-{name}")
+        both = pairs.join(sets.withColumnsRenamed({"a": "u", "set": "su"}), "u").join(sets.withColumnsRenamed({"a": "v", "set": "sv"}), "v")
+        common = F.size(F.array_intersect("su", "sv"))
+        return settle(both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v"), f"alike-{name}")
+
+    # The member with the fewest rarer shingles is the one that variants come from; the other is the same in many groups.
+    member, mixed = F.struct("id", "n", "pos"), F.xxhash64("id")
+    heads = F.array_distinct(F.array(F.min_by(member, F.struct("pos", mixed)), F.min_by(member, mixed)))
+    leaders = filed.groupBy("key").agg(heads.alias("heads"))
+    led = filed.select("key", member.alias("a")).join(leaders, "key").select("a", F.explode("heads").alias("b"))
+    near = alike(led.where(could("a", "b")), "led")
+
+    linked = components(near)
+    placed = filed.join(linked, F.col("id") == F.col("node"), "left").select("key", "members", member.alias("m"), F.coalesce("root", "id").alias("part"))
+    placed = settle(placed, "placed")
+    apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rest = placed.join(apart.select("key"), "key").withColumn("blocks", blocks)
+    rest = rest.withColumn("mine", F.pmod(F.xxhash64("m.id", "key"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    one = rest.select("key", F.col("m").alias("a"), F.col("part").alias("pa"), F.col("mine").alias("i"), F.explode(every).alias("j"))
+    other = rest.select("key", F.col("m").alias("b"), F.col("part").alias("pb"), F.explode(every).alias("i"), F.col("mine").alias("j"))
+    met = one.join(other, ["key", "i", "j"]).where((F.col("a.id") < F.col("b.id")) & (F.col("pa") != F.col("pb")) & could("a", "b"))
+    return equal.unionByName(near).unionByName(alike(met.select("a", "b"), "apart"))
 
 
 def near_copies(

@@ -134,3 +134,38 @@ def test_near_copies_by_shingles(spark, none):
 def test_queries_run_on_odd_rows(spark, folder, odd):
     for name in ("op6_simhash", "op9_exact"):
         assert QUERIES[name](spark, folder).count() == odd.count()
+
+
+def brute_classes(texts: dict, similarity: float = 0.8, size: int = 5) -> dict:
+    sets = {}
+    for i, t in texts.items():
+        words = t.lower().split()
+        sets[i] = {" ".join(words[k : k + size]) for k in range(max(len(words) - size + 1, 1))}
+    close = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    found = classes(close)
+    return {i: found.get(i, i) for i in sets}
+
+
+def linked_classes(spark, texts: dict) -> dict:
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    pairs = [(r.u, r.v) for r in simhash.similar_pairs(docs, 0.8, 5, "doc_id").collect()]
+    found = classes(pairs)
+    return {i: found.get(i, i) for i in texts}
+
+
+def test_similar_pairs_connect_stars_and_pairs_that_share_hot_passages(spark):
+    rng = random.Random(8)
+    base = prose(20, 240).split()
+    texts = {500: " ".join(base)}
+    for k in range(320):
+        words = list(base)
+        for at in range(rng.randrange(5), 240, 50):
+            words[at] = f"v{k}x{at}"
+        texts[k] = " ".join(words)
+    hot = [prose(30 + k, 60) for k in range(4)]
+    texts |= {600 + k: f"{prose(100 + k, 150)} {hot[k % 4]} {prose(300 + k, 20)}" for k in range(60)}
+    texts |= {700: " ".join(hot) + " one end", 701: " ".join(hot) + " another close", 702: "a b", 703: "A B"}
+    texts |= {710 + k: f"{hot[0]} {prose(400 + k, 3)}" for k in range(40)}
+    want = brute_classes(texts)
+    assert want[500] == 0 and want[701] == 700 and want[703] == 702
+    assert linked_classes(spark, texts) == want
