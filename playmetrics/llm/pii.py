@@ -3,9 +3,9 @@
 High-recall generators propose spans of four kinds; spans of different kinds may overlap. Trees score
 each candidate on its format (digits, groups, separators, check digits) and its context (neighbouring
 characters, telling words before it). Their training labels come from rules on a bounded sample of
-documents: the base patterns, and well-formed variants of them (other separators, spelled-out signs,
-local numbers). For each kind the acceptance threshold is calibrated on the part of the sample that
-the trees did not see: the lowest one whose accepted candidates reach the wanted precision. Base
+candidates, drawn for each kind from all documents: the base patterns, and well-formed variants of them (other separators, spelled-out signs,
+local numbers). For each kind the acceptance threshold is calibrated on all documents of the half that
+the trees were not drawn from: the lowest one whose accepted candidates reach the wanted precision. Base
 spans always stay; accepted candidates that overlap none of them are added, best score first.
 
 All of it is DataFrame expressions. A pattern's matches and the text between them give positions in
@@ -52,6 +52,8 @@ LOOSE = {
 HINT = {"email": "@|[\\[(]at[\\])]", "ip": "[0-9][.:][0-9]", "card": "[0-9]", "phone": "[0-9]"}
 LEAST_DIGITS = {"email": 0, "ip": 3, "card": 12, "phone": 7}
 CONTEXT = 32
+#: Candidates of one kind and label that a text gives to training.
+PER_TEXT = 4
 FEATURES = (
     "length", "digits", "letters", "at_sign", "spelled", "dots", "spaces", "hyphens", "plus", "parens", "check_digit",
     "four_bytes", "groups", "longest_group", "glued_left", "glued_right", "says_mail", "says_phone", "says_card", "says_host",
@@ -237,32 +239,35 @@ def fit(
     depth: int = 3,
     seed: int = 5,
 ) -> Scorer:
-    """Train and calibrate on at most ``sample_docs`` documents that hold a candidate.
+    """Train on a bounded sample of candidates, calibrate on the candidates of all documents.
 
-    Documents are drawn by a hash of their text; the share drawn comes from the row count.
+    A hash of its text puts a document on one side or the other. Of each text training sees up to
+    ``PER_TEXT`` candidates of a kind and label, however often the text occurs, and of each kind some
+    ``2 * sample_docs``, drawn by a hash of text and place.
     """
-    count = docs.count()
-    share = min(1.0, 40 * sample_docs / max(count, 1))
     text = text_of(text_col)
-    drawn = docs.select(text.alias("text"), F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(1_000_000)).alias("h")).where(
-        F.col("h") < int(share * 1_000_000)
-    )
-    held = drawn.select("h", F.explode(candidates(F.col("text"))).alias("x"))
+    held = docs.select(F.xxhash64(text, F.lit(seed)).alias("h"), F.posexplode(candidates(text)).alias("at", "x"))
     labelled = reduce(lambda a, k: F.when(F.col("x.kind") == k, _well_formed(k, F.col("x.value"))).otherwise(a), KINDS, F.lit(False))
-    sample = settle(
-        held.limit(8 * sample_docs).select(
-            "x.kind", features(F.col("x")).alias("values"), labelled.cast("double").alias("label"),
-            (F.col("h") % 2 == 0).alias("fitting"),
+    found = settle(
+        held.select(
+            "h", "at", "x.kind", features(F.col("x")).alias("values"), labelled.cast("double").alias("label"),
+            (F.pmod("h", F.lit(2)) == 0).alias("fitting"),
         ),
         "candidates",
     )
-    if sample.where("fitting").select("label").distinct().count() < 2:
+    few = found.where("fitting").groupBy("h", "kind", "label", F.pmod("at", F.lit(PER_TEXT)).alias("turn"))
+    few = settle(few.agg(F.min_by("values", "at").alias("values")), "few")
+    sizes = {r["kind"]: r["count"] for r in few.groupBy("kind").count().collect()}
+    share = lambda k: int(min(1.0, 2 * sample_docs / sizes[k]) * 1_000_000)
+    drawn = reduce(lambda a, k: F.when(F.col("kind") == k, F.lit(share(k))).otherwise(a), sizes, F.lit(0))
+    sample = few.where(F.pmod(F.xxhash64("h", "label", "turn"), F.lit(1_000_000)) < drawn)
+    if sample.select("label").distinct().count() < 2:
         return Scorer()
-    fitting = sample.where("fitting").select(array_to_vector("values").alias("features"), "label")
+    fitting = sample.select(array_to_vector("values").alias("features"), "label")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(fitting)
     scorer = Scorer(model)
     # Counts for each kind and hundredth of the score: a bounded table.
-    rated = sample.where("not fitting").select("kind", "label", F.floor(scorer.probability(F.col("values")) * 100).alias("bin"))
+    rated = found.where("not fitting").select("kind", "label", F.floor(scorer.probability(F.col("values")) * 100).alias("bin"))
     bins = rated.groupBy("kind", "bin").agg(F.sum("label").alias("hits"), F.count("*").alias("n")).collect()
     for kind in KINDS:
         hits = n = 0

@@ -153,6 +153,18 @@ def test_trees_add_variants_and_leave_numbers(spark):
     assert {r.doc_id: r.a for r in got.select("doc_id", pii.listed(F.col("added")).alias("a")).collect()} == {0: "email:6:29", 1: "", 2: ""}
 
 
+def test_long_and_hot_texts_do_not_fill_the_sample(spark):
+    numbers = " ".join(f"{1_000_000 + 37 * k} x" for k in range(900))
+    rows = [numbers, *[f"sum {5_550_000} y {6_660_000}"] * 300]
+    rows += [f"write m{i}[at]mail{i % 7}.example.com or t{i}@ no {7_000_000 + i} more" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").coalesce(1)
+    scorer = pii.fit(docs, sample_docs=60, trees=4)
+    assert "email" in scorer.thresholds
+    tried = ["write jo[at]mail3.example.com now", "number 135299847 is odd"]
+    got = pii.find(spark.createDataFrame(list(enumerate(tried)), "doc_id bigint, text string"), scorer, ["doc_id"])
+    assert {r.doc_id: r.a for r in got.select("doc_id", pii.listed(F.col("added")).alias("a")).collect()} == {0: "email:6:29", 1: ""}
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(3)
     for t in range(200):
