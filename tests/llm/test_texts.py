@@ -297,3 +297,16 @@ def test_queries_run_on_odd_rows(spark, folder, odd):
 def test_digests(spark, folder):
     rows = {r.doc_id: r for r in QUERIES["op10_pieces"](spark, folder).collect()}
     assert rows[1].ids_sha256 == hashlib.sha256(b"2").hexdigest() and rows[1].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_every_training_text_is_in_a_round(spark, monkeypatch):
+    model = pieces.read_model(MODEL)
+    texts = [prose(i, 20 + i % 7) for i in range(120)]
+    docs = spark.createDataFrame([(t, i * 1_000_000 // 120) for i, t in enumerate(texts)], "text string, draw bigint")
+    shared = spark.sparkContext.broadcast(model)
+    symbols = lm.Symbols(np.ones(len(model.names)), len(texts))
+    rounds, averaged = [], lm._averaged
+    monkeypatch.setattr(lm, "_averaged", lambda rows: rounds.append(sum(r.seen for r in rows.select("seen").collect())) or averaged(rows))
+    lm.train(docs, shared, symbols, first_docs=5, first_steps=1)
+    wanted = symbols.of([lm.words_of(t) for t in texts], model).totals
+    assert sum(rounds) == int(wanted.sum())
