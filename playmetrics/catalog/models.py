@@ -237,9 +237,9 @@ def _(spark, sf):
 
 @query("borderline_smote")
 def _(spark, sf):
-    data = profile_data(spark, sf).select("player", F.col("freq"), F.col("ratio"), "vip")
-    scaled = settle(stats.standardize(data, ["freq", "ratio"]), "scaled")
-    return balance.borderline_smote(scaled, ["freq", "ratio"], "vip", "player")
+    data = profile_data(spark, sf).select("player", *[F.col(c).cast("double").alias(c) for c in PROFILE_FEATURES], "vip")
+    scaled = settle(stats.standardize(data, PROFILE_FEATURES), "scaled")
+    return balance.borderline_smote(scaled, PROFILE_FEATURES, "vip", "player")
 
 
 @query(

@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from playmetrics.catalog import QUERIES
+from playmetrics.catalog.models import PROFILE_FEATURES
 from playmetrics.operators import balance
 
 FEATURES = ["x", "y"]
@@ -61,3 +63,9 @@ def test_classes_become_even(spark):
     assert all(low[0] <= r["x"] <= high[0] and low[1] <= r["y"] <= high[1] for r in data)
     again = balance.borderline_smote(df.repartition(3), FEATURES, "label", "id").collect()
     assert sorted(map(tuple, data)) == sorted(map(tuple, again))
+
+
+def test_query_balances_on_all_profile_features(spark):
+    made = QUERIES["borderline_smote"](spark, "/root/testdata/sf0.001")
+    assert made.columns == ["player", *PROFILE_FEATURES, "vip", "copy"]
+    assert made.where("copy = 0").count() > 0
