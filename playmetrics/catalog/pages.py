@@ -47,7 +47,7 @@ def _(spark, sf):
 
 @query("descendants")
 def _(spark, sf):
-    return pages.descendants(pages.page_nodes(html(spark, sf), []), "article")
+    return pages.descendants(pages.page_nodes(html(spark, sf)), "article")
 
 
 @query(

@@ -1,3 +1,4 @@
+from playmetrics.catalog import QUERIES
 from playmetrics.operators import pages as op
 
 from .conftest import table
@@ -42,3 +43,11 @@ def test_text_only_of_named_tags(spark):
     nodes = op.page_nodes(pages(spark), ["h1"])
     kept = {r["tag"] for r in nodes.where("text is not null and tag is not null").collect()}
     assert kept == {"h1"}
+
+
+def test_descendants_query_has_the_text_of_elements(spark, tmp_path):
+    spark.createDataFrame(
+        [(1, "u", "<body><article><p>one <b>two</b></p>end</article></body>")], "page_id bigint, url string, html string"
+    ).write.parquet(f"{tmp_path}/pages.parquet")
+    found = table(QUERIES["descendants"](spark, str(tmp_path)), "level", "tag", "text")
+    assert found == [(1, "p", "one two"), (1, None, "end"), (2, "b", "two"), (2, None, "one "), (3, None, "two")]
