@@ -159,7 +159,7 @@ def test_similar_pairs_connect_stars_and_pairs_that_share_hot_passages(spark):
     texts = {500: " ".join(base)}
     for k in range(320):
         words = list(base)
-        for at in range(rng.randrange(5), 240, 50):
+        for at in (rng.randrange(48 * part + 4, 48 * part + 44) for part in range(5)):
             words[at] = f"v{k}x{at}"
         texts[k] = " ".join(words)
     hot = [prose(30 + k, 60) for k in range(4)]
@@ -169,3 +169,10 @@ def test_similar_pairs_connect_stars_and_pairs_that_share_hot_passages(spark):
     want = brute_classes(texts)
     assert want[500] == 0 and want[701] == 700 and want[703] == 702
     assert linked_classes(spark, texts) == want
+
+
+def test_similar_pairs_compare_distinct_shingles_not_lengths(spark):
+    part = prose(50, 12)
+    texts = {1: f"{part} {part}", 2: " ".join([part] * 6), 3: prose(51, 70)}
+    assert brute_classes(texts) == {1: 1, 2: 1, 3: 3}
+    assert linked_classes(spark, texts) == {1: 1, 2: 1, 3: 3}
