@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lm, mixing, pieces, pii, quality, sharding, simhash, suffixes, toxicity
+from . import exact, lm, mixing, pieces, pii, quality, runs, sharding, simhash, suffixes, toxicity
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,27 @@ def op3_lm(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("held_out", held).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+def _loop(seed: int, n: int) -> tuple[int, int] | None:
+    """Which words of a text of ``n`` words are read as a loop: (first, turn), in one text of ten."""
+    g = seed // 10
+    first = g % n
+    return (first, 1 + (n - first) // (3 + g % 8)) if seed % 10 == 0 else None
+
+
+@query("op13_runs")
+def op13_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodic runs of words in every whole text; one in ten is made to loop."""
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = runs.find_runs(documents(spark, sf), ["doc_id"], seed=seed, plant=_loop)
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "start",
+        "length",
+        "period",
+        F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(runs.listed(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
