@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lm, mixing, pieces, pii, quality, runs, sharding, simhash, suffixes, toxicity
+from . import exact, lm, manifest, mixing, pieces, pii, quality, runs, sharding, simhash, slices, suffixes, toxicity
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,6 +206,86 @@ def op3_lm(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+OP11_SQL = """
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM kept q JOIN kept c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5"""
+
+
+@query("op11_topk", OP11_SQL)
+def op11_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best rows for every fiftieth vector, against all vectors."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    found = slices.top_k(rows, "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5, scale=256)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def _written(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || {column}, '-')"
+
+
+#: One level up while a group has several nodes; a node's siblings are looked up level by level.
+_TREE = """
+  SELECT grp, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS left_over FROM {0}) WHERE left_over > 1 GROUP BY grp, lvl, pos // 2"""
+_PATH = """
+  SELECT l.grp, l.pos, list(CASE WHEN s.h IS NULL THEN 'N' WHEN (l.pos >> l.at) % 2 = 1 THEN 'L' || s.h ELSE 'R' || s.h END ORDER BY l.at) AS path
+  FROM (SELECT n.grp, n.pos, unnest(range(0, h.high)) AS at FROM {0} n JOIN (SELECT grp, max(lvl) AS high FROM {0} GROUP BY grp) h USING (grp) WHERE n.lvl = 0) l
+  LEFT JOIN {0} s ON s.grp = l.grp AND s.lvl = l.at AND s.pos = xor(l.pos >> l.at, 1) GROUP BY l.grp, l.pos"""
+
+OP12_SQL = f"""
+WITH RECURSIVE digits AS (
+  SELECT *, list_reduce([4294967295] || list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, sha256(concat(head, {_written("n_chars")}, tail)) AS leaf,
+    sha256(concat(head, {_written("more")}, tail)) AS changed, xor(crc, 4294967295) % 7 = 0 AS tampered
+  FROM (SELECT *, n_chars + 1 AS more, concat({_written("doc_id")}, {_written("source")}, {_written("lang")}) AS head, {_written("text")} AS tail FROM digits)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+nodes(grp, lvl, pos, h) AS (SELECT grp, 0, pos, leaf FROM placed UNION ALL {_TREE.format("nodes")}),
+subroots AS (SELECT grp, arg_max(h, lvl) AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos FROM nodes GROUP BY grp),
+crown(grp, lvl, pos, h) AS (SELECT '', 0, pos, subroot FROM subroots UNION ALL {_TREE.format("crown")}),
+low AS ({_PATH.format("nodes")}),
+high AS ({_PATH.format("crown")}),
+full_path AS (
+  SELECT p.*, s.subroot, (SELECT arg_max(h, lvl) FROM crown) AS root, coalesce(low.path, []) || coalesce(high.path, []) AS path
+  FROM placed p JOIN subroots s USING (grp) LEFT JOIN low ON low.grp = p.grp AND low.pos = p.pos LEFT JOIN high ON high.pos = s.pos),
+folded AS (
+  SELECT *, list_reduce([CASE WHEN tampered THEN changed ELSE leaf END] || path,
+    lambda h, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || h WHEN 'R' THEN h || s[2:] ELSE h END)) AS folded_root
+  FROM full_path)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256, folded_root,
+       folded_root = root AS verified
+FROM folded"""
+
+
+@query("op12_manifest", OP12_SQL)
+def op12_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaf, roots and proof of every document; one in seven is verified after a change of n_chars."""
+    more = F.col("n_chars").cast("decimal(38,0)") + 1
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaf, other = (
+        manifest.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")) for n in (F.col("n_chars"), more)
+    )
+    found = manifest.manifest(documents(spark, sf), "doc_id", "lang", leaf, F.when(changed, other))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        manifest.proof(F.col("path")).alias("proof_sha256"),
+        F.col("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 def _loop(seed: int, n: int) -> tuple[int, int] | None:
     """Which words of a text of ``n`` words are read as a loop: (first, turn), in one text of ten."""
     g = seed // 10
