@@ -180,6 +180,22 @@ def _(spark, sf):
     return episodes.repeat_runs(log(spark, sf), LIMIT).drop("run")
 
 
+NEXT_RUNS = (
+    RUNS.replace("max(ts) - min(ts) FILTER (NOT starts) AS duration", "max(ts) AS last_ts")
+    .replace("FROM numbered GROUP BY 1, 2, 3)", """FROM numbered GROUP BY 1, 2, 3),
+    timed AS (SELECT *, coalesce(lead(start_ts) OVER (PARTITION BY player ORDER BY run), last_ts) - start_ts AS duration FROM runs)""")
+    .replace("FROM runs WHERE repeats >= 1 AND duration < 172800", "FROM timed WHERE repeats >= 1")
+)
+
+
+@query(
+    "repeat_runs_to_next",
+    f"""WITH {NEXT_RUNS} SELECT player, action, repeats, duration, preceding, start_ts, CAST(rank AS INTEGER) AS rank FROM top""",
+)
+def _(spark, sf):
+    return episodes.repeat_runs(log(spark, sf), None, to_next=True).drop("run")
+
+
 @query(
     "repeat_clicks",
     f"""WITH {RUNS}, before AS (SELECT action, preceding, count(*) AS rows, row_number() OVER (PARTITION BY action ORDER BY count(*) DESC, preceding) AS r
@@ -271,6 +287,18 @@ def _(spark, sf):
     return rounded(episodes.ui_enter_ratio(log(spark, sf), "view", BEGIN, END))
 
 
+@query(
+    "ui_enter_ratio_by_day",
+    f"""WITH {LOG}, r AS (SELECT *, CAST((ts - {BEGIN}) // 86400 AS INTEGER) AS day_no FROM log WHERE (ts - {BEGIN}) % 86400 <> 0 AND ts >= {BEGIN}),
+    c AS (SELECT day_no, count(DISTINCT player) AS active, count(DISTINCT player) FILTER (action = 'view') AS entered FROM r GROUP BY 1)
+    SELECT CAST(d.day_no AS INTEGER) AS day_no, coalesce(active, 0) AS active, coalesce(entered, 0) AS entered,
+    CASE WHEN active > 0 THEN round(entered / active, 6) ELSE -1 END AS ratio
+    FROM (SELECT unnest(range(0, {DAYS + 1})) AS day_no) d LEFT JOIN c ON c.day_no = d.day_no""",
+)
+def _(spark, sf):
+    return rounded(episodes.ui_enter_ratio_by_day(log(spark, sf), "view", DAY0, DAYS))
+
+
 PAIRS = (("view", "purchase"), ("click", "signup"), ("signup", "signup"))
 
 
@@ -414,6 +442,11 @@ def _(spark, sf):
     return rounded(blocks.key_change_by_action(log(spark, sf), BLOCK, GAP), 4)
 
 
+@query("key_change_by_action_open", _action_sql(CREDITED.replace("WHERE block < cuts AND d > 0", "WHERE d > 0")))
+def _(spark, sf):
+    return rounded(blocks.key_change_by_action(log(spark, sf), BLOCK, GAP, keep_open=True), 4)
+
+
 @query(
     "key_loss_by_action",
     _action_sql(CREDITED.replace("sum(d)", "sum(-d)").replace("d > 0", "d < 0")),
@@ -441,6 +474,16 @@ def _(spark, sf):
     return rounded(blocks.chaos_index(log(spark, sf), BLOCK, GAP))
 
 
+@query(
+    "chaos_index_all",
+    f"""WITH RECURSIVE {LOG}, {blocks_sql()}, u AS (SELECT *, row_number() OVER (PARTITION BY player, action ORDER BY seq) AS use FROM block_rows),
+    c AS (SELECT player, block, count(*) FILTER (use = 1) AS v FROM u WHERE block < greatest(cuts, 1) GROUP BY 1, 2)
+    SELECT block, {SUMMARY} FROM c GROUP BY 1""",
+)
+def _(spark, sf):
+    return rounded(blocks.chaos_index(log(spark, sf), BLOCK, GAP, keep_short=True))
+
+
 def changes_sql(key: str) -> str:
     columns = ", ".join(f"median({m}) AS {m}_median, round(avg({m}), 4) AS {m}_mean" for m in blocks.CHANGES)
     return f"SELECT {key}, count(*) AS players, {columns} FROM per_player GROUP BY 1"
@@ -491,6 +534,19 @@ def _(spark, sf):
     return rounded(blocks.ui_time_ratio(log(spark, sf), "view", "purchase", GAP, WINDOW), 9)
 
 
+@query(
+    "ui_time_ratio_pre_vip",
+    f"""WITH RECURSIVE {FULL}, {PRE_VIP}, {sessions_sql("pre_vip")},
+    {STAY_WALK.replace("FROM log)", "FROM pre_vip)")},
+    stays AS (SELECT player, count(stay) AS stays, CAST(coalesce(sum(stay), 0) AS BIGINT) AS stay_secs, median(stay) AS median_stay FROM walk GROUP BY 1),
+    active AS (SELECT player, CAST(sum(end_ts - start_ts) AS BIGINT) AS active_secs FROM sessions GROUP BY 1)
+    SELECT player, active_secs, stays, stay_secs, median_stay, round(stay_secs / (active_secs + 1), 9) AS ratio FROM active JOIN stays USING (player)""",
+)
+def _(spark, sf):
+    early = full_log(spark, sf).where("vip_level < 1")
+    return rounded(blocks.ui_time_ratio(early, "view", "purchase", GAP, WINDOW), 9)
+
+
 # Growth by level and day ----------------------------------------------------------------------
 
 BY_LEVEL = """moved AS (SELECT *, key_index - lag(key_index) OVER w AS d, power - lag(power) OVER w AS p

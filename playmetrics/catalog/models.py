@@ -29,13 +29,13 @@ def orders(spark, sf):
     """SELECT o_orderkey, o_orderstatus, CAST(ntile(6) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS INTEGER) AS fold FROM orders""",
 )
 def _(spark, sf):
-    folds = models.stratified_folds(orders(spark, sf), "o_orderstatus", ["o_orderkey"], 6, chunk=4096)
+    folds = models.stratified_folds(orders(spark, sf), "o_orderstatus", ["o_orderkey"], 6)
     return folds.select("o_orderkey", "o_orderstatus", "fold")
 
 
 @query("kfold", "SELECT o_orderkey, CAST(ntile(10) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS fold FROM orders")
 def _(spark, sf):
-    return models.kfold(orders(spark, sf), ["o_orderkey"], 10, chunk=4096).select("o_orderkey", "fold")
+    return models.kfold(orders(spark, sf), ["o_orderkey"], 10).select("o_orderkey", "fold")
 
 
 @query("random_split")
@@ -192,7 +192,7 @@ def _(spark, sf):
 
 
 def folded(spark, sf, folds: int = 6):
-    split = models.stratified_folds(lines(spark, sf), "label", ["l_orderkey", "l_linenumber"], folds, chunk=4096)
+    split = models.stratified_folds(lines(spark, sf), "label", ["l_orderkey", "l_linenumber"], folds)
     return models.assemble(settle(split, "folds"), FEATURES, "label", ["fold"])
 
 
@@ -229,16 +229,42 @@ def _(spark, sf):
     return models.ranked_weights(model.coefficients.toArray(), PROFILE_FEATURES, spark, "coefficient")
 
 
+def numeric_profile(spark, sf):
+    """Player, all features as numbers, and the vip flag."""
+    return profile_data(spark, sf).select("player", *[F.col(c).cast("double").alias(c) for c in PROFILE_FEATURES], "vip")
+
+
+def profile_folds(data):
+    return settle(models.stratified_folds(data, "vip", ["player"], 6), "folds")
+
+
+@query("random_forest_folds")
+def _(spark, sf):
+    data = models.assemble(profile_folds(numeric_profile(spark, sf)), PROFILE_FEATURES, "vip", ["fold"])
+    scored, _ = models.cross_validate(models.random_forest(250), data, 6)
+    return rounded(models.fold_confusion(scored))
+
+
+@query("logistic_l1_folds")
+def _(spark, sf):
+    scaled = stats.standardize(profile_folds(numeric_profile(spark, sf)), PROFILE_FEATURES)
+    scored, _ = models.cross_validate(models.logistic_l1, models.assemble(settle(scaled, "scaled"), PROFILE_FEATURES, "vip", ["fold"]), 6)
+    return rounded(models.fold_confusion(scored))
+
+
 @query("classify_users")
 def _(spark, sf):
-    data = profile_data(spark, sf).select("player", *[F.col(c).cast("double").alias(c) for c in PROFILE_FEATURES], "vip")
-    return models.classify_users(data, ["player"], "vip", PROFILE_FEATURES)
+    return models.classify_users(numeric_profile(spark, sf), ["player"], "vip", PROFILE_FEATURES)
+
+
+@query("classify_users_balanced")
+def _(spark, sf):
+    return models.classify_users(numeric_profile(spark, sf), ["player"], "vip", PROFILE_FEATURES, balance=True)
 
 
 @query("borderline_smote")
 def _(spark, sf):
-    data = profile_data(spark, sf).select("player", *[F.col(c).cast("double").alias(c) for c in PROFILE_FEATURES], "vip")
-    scaled = settle(stats.standardize(data, PROFILE_FEATURES), "scaled")
+    scaled = settle(stats.standardize(numeric_profile(spark, sf), PROFILE_FEATURES), "scaled")
     return balance.borderline_smote(scaled, PROFILE_FEATURES, "vip", "player")
 
 

@@ -15,65 +15,27 @@ Everything else about a row (deltas, previous actions, clicks) is summed per
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.cuts import chain_of_cuts
+from ..plans.cuts import clock_relay, stay_relay
 from ..plans.quantiles import group_stats, widen
-from ..plans.timeline import CHUNK_SECS, Histories, LastSeen, Prev, RowNumber, RunSum, position, running
+from ..plans.stretches import GRAIN, follow
+from ..plans.timeline import Prev, position, running
 from .sessions import gap_sessions
 
 GAP = 300
 SLOT = ["player", "ts", "head"]
 
 
-def _follow(gap: int, interval: int):
-    """Block of every (player, second, head), from seconds sorted by player and time.
-
-    A batch is cut at the players' borders; what a player carries into the next batch is the last
-    second, the clock since the last cut and the block number.
-    """
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carried = None
-        for batch in batches:
-            twice = np.minimum(batch["rows"].to_numpy(), 2)
-            player = np.repeat(batch["player"].to_numpy(), twice)
-            ts = np.repeat(batch["ts"].to_numpy(), twice)
-            head = np.ones(len(ts), bool)
-            head[(np.cumsum(twice) - 1)[twice == 2]] = False
-            cut = np.zeros(len(ts), bool)
-            base = np.zeros(len(ts), np.int64)
-            borders = np.flatnonzero(np.diff(player, prepend=player[:1] - 1, append=player[-1:] + 1))
-            for start, stop in zip(borders[:-1], borders[1:], strict=True):
-                mine = ts[start:stop]
-                if carried is None or carried[0] != player[start]:
-                    carried = player[start], mine[0], 0, 0
-                _, last, clock, block = carried
-                places, clock = chain_of_cuts(mine, last, clock, gap, interval)
-                cut[start + places] = True
-                base[start:stop] = block - np.count_nonzero(cut[:start])
-                carried = player[start], mine[-1], clock, block + len(places)
-            number = base + np.cumsum(cut)
-            yield pd.DataFrame({"player": player, "ts": ts, "head": head, "block": number.astype(np.int32), "cut": cut})
-
-    return assign
-
-
-def block_map(events: DataFrame, interval: int, gap: int = GAP) -> DataFrame:
+def block_map(events: DataFrame, interval: int, gap: int = GAP, grain: int = GRAIN) -> DataFrame:
     """Block of every (player, second, head); ``head`` marks the first row of the second.
 
-    Each player's seconds are read in order, as a stream with constant memory.
+    A player with more than ``grain`` rows is followed in stretches by several tasks.
     """
     seconds = events.groupBy("player", "ts").agg(F.count(F.lit(1)).alias("rows"))
-    ordered = seconds.repartition("player").sortWithinPartitions("player", "ts")
-    return ordered.mapInPandas(
-        _follow(gap, interval), "player bigint, ts bigint, head boolean, block int, cut boolean"
-    )
+    made = "ts bigint, head boolean, block int, cut boolean"
+    return follow(seconds, clock_relay(gap, interval), made, ["player"], ["ts"], grain, events.select("player"))
 
 
 def with_head(rows: DataFrame, prev: str = "before") -> DataFrame:
@@ -93,11 +55,12 @@ def _full_blocks(folded: DataFrame, keep_short: bool = False) -> DataFrame:
 
 
 def _per_block(
-    slots: DataFrame, events: DataFrame, interval: int, gap: int, sums: dict[str, Column], keep_short: bool = False
+    slots: DataFrame, events: DataFrame, interval: int, gap: int, sums: dict[str, Column], keep_short: bool = False,
+    grain: int = GRAIN,
 ) -> DataFrame:
     """Attach blocks to per-slot records and fold them per (player, block); full blocks only."""
     folded = (
-        slots.join(block_map(events, interval, gap), SLOT)
+        slots.join(block_map(events, interval, gap, grain), SLOT)
         .groupBy("player", "block")
         .agg(*[value.alias(name) for name, value in sums.items()])
     )
@@ -119,7 +82,7 @@ def block_summary(per_player: DataFrame, value: str, approx: bool = False, count
     )
 
 
-def active_blocks(events: DataFrame, interval: int, gap: int = GAP) -> DataFrame:
+def active_blocks(events: DataFrame, interval: int, gap: int = GAP, grain: int = GRAIN) -> DataFrame:
     """Full blocks of each player: number, first second, last second, clicks."""
     slots = _click_slots(events)
     return _per_block(
@@ -128,6 +91,7 @@ def active_blocks(events: DataFrame, interval: int, gap: int = GAP) -> DataFrame
         interval,
         gap,
         {"start_ts": F.min("ts"), "end_ts": F.max("ts"), "clicks": F.sum("clicks")},
+        grain=grain,
     )
 
 
@@ -141,9 +105,11 @@ def _click_slots(events: DataFrame) -> DataFrame:
     return seconds.select("player", "ts", F.inline(both)).where(F.col("clicks") > 0)
 
 
-def clicks_by_block(events: DataFrame, interval: int, gap: int = GAP, approx: bool = False) -> DataFrame:
+def clicks_by_block(
+    events: DataFrame, interval: int, gap: int = GAP, approx: bool = False, grain: int = GRAIN
+) -> DataFrame:
     """Rows in each block, summarised over players."""
-    return block_summary(active_blocks(events, interval, gap), "clicks", approx)
+    return block_summary(active_blocks(events, interval, gap, grain), "clicks", approx)
 
 
 def _value_slots(events: DataFrame) -> DataFrame:
@@ -160,54 +126,59 @@ def _value_slots(events: DataFrame) -> DataFrame:
     return seconds.select("player", "ts", "rows", F.inline(both)).where("head or rows > 1")
 
 
-def key_value_by_block(events: DataFrame, interval: int, gap: int = GAP, keep_short: bool = False) -> DataFrame:
+def key_value_by_block(
+    events: DataFrame, interval: int, gap: int = GAP, keep_short: bool = False, grain: int = GRAIN
+) -> DataFrame:
     """Index value of a player just before each cut."""
     last = F.max_by("value", F.struct(F.col("ts"), ~F.col("head")))
-    return _per_block(_value_slots(events), events, interval, gap, {"value": last}, keep_short)
+    return _per_block(_value_slots(events), events, interval, gap, {"value": last}, keep_short, grain)
 
 
 def key_growth_by_block(
-    events: DataFrame, interval: int, gap: int = GAP, keep_short: bool = False, approx: bool = False
+    events: DataFrame, interval: int, gap: int = GAP, keep_short: bool = False, approx: bool = False, grain: int = GRAIN
 ) -> DataFrame:
     """Index value just before each cut, summarised by block.
 
     ``keep_short`` lets players without a full block enter block 0 with their last value.
     """
-    return block_summary(key_value_by_block(events, interval, gap, keep_short), "value", approx, counts=False)
+    return block_summary(key_value_by_block(events, interval, gap, keep_short, grain), "value", approx, counts=False)
 
 
-def _linked(events: DataFrame, columns: tuple[str, ...], chunk_secs: int) -> DataFrame:
+def _linked(events: DataFrame, columns: tuple[str, ...], grain: int) -> DataFrame:
     rows = events.select("player", "ts", "event_id", *columns)
-    return with_head(running(rows, Prev("before", ("ts", *columns)), chunk_secs=chunk_secs))
+    return with_head(running(rows, Prev("before", ("ts", *columns)), grain=grain))
 
 
 def key_growth_times(
-    events: DataFrame, interval: int, gap: int = GAP, chunk_secs: int = CHUNK_SECS, approx: bool = False
+    events: DataFrame, interval: int, gap: int = GAP, grain: int = GRAIN, approx: bool = False
 ) -> DataFrame:
     """Number of index increases in each block, summarised over players."""
     grows = F.count_if(F.col("key_index") > F.col("before.key_index"))
-    slots = _linked(events, ("key_index",), chunk_secs).groupBy(*SLOT).agg(grows.alias("times"))
-    per_player = _per_block(slots, events, interval, gap, {"times": F.sum("times")})
+    slots = _linked(events, ("key_index",), grain).groupBy(*SLOT).agg(grows.alias("times"))
+    per_player = _per_block(slots, events, interval, gap, {"times": F.sum("times")}, grain=grain)
     return block_summary(per_player, "times", approx)
 
 
 def key_change_per_player(
-    events: DataFrame, interval: int, gap: int = GAP, growth: bool = True, chunk_secs: int = CHUNK_SECS
+    events: DataFrame, interval: int, gap: int = GAP, growth: bool = True, grain: int = GRAIN, keep_open: bool = False
 ) -> DataFrame:
-    """Index change of each player credited to the action before it, per block and action."""
+    """Index change of each player credited to the action before it, per block and action.
+
+    ``keep_open`` also counts each player's last block, which no cut has closed.
+    """
     sign = 1 if growth else -1
     delta = (F.col("key_index") - F.col("before.key_index")) * sign
     slots = (
-        _linked(events, ("key_index", "action"), chunk_secs)
+        _linked(events, ("key_index", "action"), grain)
         .groupBy(*SLOT, F.col("before.action").alias("action"))
         .agg(F.sum(F.when(delta > 0, delta)).alias("change"), F.count_if(delta > 0).alias("times"))
     )
     folded = (
-        slots.join(block_map(events, interval, gap), SLOT)
+        slots.join(block_map(events, interval, gap, grain), SLOT)
         .groupBy("player", "block", "action")
         .agg(F.sum("change").alias("change"), F.sum("times").alias("times"))
     )
-    return _full_blocks(folded).where(F.col("times") > 0)
+    return (folded if keep_open else _full_blocks(folded)).where(F.col("times") > 0)
 
 
 def key_change_by_action(
@@ -215,11 +186,12 @@ def key_change_by_action(
     interval: int,
     gap: int = GAP,
     growth: bool = True,
-    chunk_secs: int = CHUNK_SECS,
+    grain: int = GRAIN,
     approx: bool = False,
+    keep_open: bool = False,
 ) -> DataFrame:
     """Per (block, action): players and max, min, median, mean of change and of occurrences."""
-    per_player = key_change_per_player(events, interval, gap, growth, chunk_secs)
+    per_player = key_change_per_player(events, interval, gap, growth, grain, keep_open)
     wanted = [("change", "n", "players"), ("change", "total", "total_change")]
     for m in ("change", "times"):
         wanted += [(m, s, f"{label}_{m}") for s, label in (("max", "max"), ("min", "min"), ("p50", "median"), ("mean", "mean"))]
@@ -227,17 +199,22 @@ def key_change_by_action(
 
 
 def key_change_one_player(
-    events: DataFrame, player: int, interval: int, gap: int = GAP, growth: bool = True, chunk_secs: int = CHUNK_SECS
+    events: DataFrame, player: int, interval: int, gap: int = GAP, growth: bool = True, grain: int = GRAIN
 ) -> DataFrame:
     """`key_change_by_action` for one player: change and times per block and action, and the
     increases in the whole block."""
-    mine = key_change_per_player(events.where(F.col("player") == player), interval, gap, growth, chunk_secs)
+    mine = key_change_per_player(events.where(F.col("player") == player), interval, gap, growth, grain)
     totals = mine.groupBy("block").agg(F.sum("times").alias("block_times"))
     return mine.join(totals, "block")
 
 
-def chaos_index(events: DataFrame, interval: int, gap: int = GAP, approx: bool = False) -> DataFrame:
-    """Actions new to the player in each block, summarised over players."""
+def chaos_index(
+    events: DataFrame, interval: int, gap: int = GAP, approx: bool = False, keep_short: bool = False, grain: int = GRAIN
+) -> DataFrame:
+    """Actions new to the player in each block, summarised over players.
+
+    ``keep_short`` lets players without a full block enter block 0 with all their actions.
+    """
     firsts = events.groupBy("player", "action").agg(F.min(position()).alias("at"))
     novel = firsts.select("player", F.col("at.ts").alias("ts"), F.col("at.event_id").alias("event_id"))
     heads = events.groupBy("player", "ts").agg(F.min("event_id").alias("first_id"))
@@ -247,7 +224,8 @@ def chaos_index(events: DataFrame, interval: int, gap: int = GAP, approx: bool =
         .agg(F.count(F.lit(1)).alias("novel"))
     )
     every = _click_slots(events).join(found, SLOT, "left").na.fill(0, ["novel"])
-    return block_summary(_per_block(every, events, interval, gap, {"novel": F.sum("novel")}), "novel", approx)
+    per_player = _per_block(every, events, interval, gap, {"novel": F.sum("novel")}, keep_short, grain)
+    return block_summary(per_player, "novel", approx)
 
 
 CHANGES = (
@@ -284,7 +262,7 @@ def change_summary(per_player: DataFrame, key: str, approx: bool = False) -> Dat
 
 
 def key_change_per_player_block(
-    events: DataFrame, interval: int, gap: int = GAP, chunk_secs: int = CHUNK_SECS
+    events: DataFrame, interval: int, gap: int = GAP, grain: int = GRAIN
 ) -> DataFrame:
     """The eight change measures per player and full block.
 
@@ -294,7 +272,7 @@ def key_change_per_player_block(
     power_delta = F.col("power") - F.col("before.power")
     last = F.struct("ts", "event_id", "key_index", "power")
     slots = (
-        _linked(events, ("key_index", "power"), chunk_secs)
+        _linked(events, ("key_index", "power"), grain)
         .groupBy(*SLOT)
         .agg(
             *change_sums(delta, power_delta),
@@ -317,7 +295,7 @@ def key_change_per_player_block(
         for m, v in off.items()
     }
     sums["last"] = F.max("last")
-    per_player = _per_block(slots, events, interval, gap, sums)
+    per_player = _per_block(slots, events, interval, gap, sums, grain=grain)
     return per_player.select(
         "player",
         "block",
@@ -328,39 +306,10 @@ def key_change_per_player_block(
 
 
 def key_change_by_time(
-    events: DataFrame, interval: int, gap: int = GAP, chunk_secs: int = CHUNK_SECS, approx: bool = False
+    events: DataFrame, interval: int, gap: int = GAP, grain: int = GRAIN, approx: bool = False
 ) -> DataFrame:
     """The eight change measures by block: players, median and mean."""
-    return change_summary(key_change_per_player_block(events, interval, gap, chunk_secs), "block", approx)
-
-
-def _stays(limit: int, loss_window: int):
-    """Screen stays of rows sorted by player, segment and time."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = None
-        entered, steps = None, 0
-        for batch in batches:
-            out = []
-            columns = (batch[c].tolist() for c in ("player", "segment", "ts", "prev_ts", "enters", "exits"))
-            for who, segment, ts, prev, enters, exits in zip(*columns):
-                if (who, segment) != place:
-                    place, entered = (who, segment), None
-                if entered is None:
-                    if enters:
-                        entered, steps = ts, 0
-                    continue
-                steps += 1
-                if exits:
-                    if ts - prev <= limit:
-                        out.append((who, entered, ts - entered))
-                    entered = None
-                elif steps >= loss_window or ts - prev > limit:
-                    out.append((who, entered, prev - entered))
-                    entered = None
-            yield pd.DataFrame(out, columns=["player", "enter_ts", "stay"])
-
-    return walk
+    return change_summary(key_change_per_player_block(events, interval, gap, grain), "block", approx)
 
 
 def ui_stays(
@@ -369,7 +318,7 @@ def ui_stays(
     exits: str,
     limit: int = 600,
     loss_window: int = 20,
-    chunk_secs: int = CHUNK_SECS,
+    grain: int = GRAIN,
 ) -> DataFrame:
     """Repeated stays in a screen: one row per stay, ``player, enter_ts, stay``.
 
@@ -377,35 +326,11 @@ def ui_stays(
     ``loss_window`` rows on, or follows a gap over ``limit``.  An exit counts up to its own
     time (not at all after a gap over ``limit``), the others up to the row before; the closing
     row never opens the next stay.
-
-    After some rows no stay can be open: an exit, a non-enter row after a long gap, or a row
-    with no enter among the last ``loss_window`` rows.  Histories are cut behind such rows into
-    independent segments, which are spread over the tasks and read in order with constant memory.
     """
-    enters, leaves = F.col("action") == enter, F.col("action") == exits
-    far = F.coalesce(F.col("ts") - F.col("before.ts") > limit, F.lit(False))
-    idle = F.col("entered").isNull() | (F.col("rn") - F.col("entered.rn") >= loss_window)
-    closed = idle | (~F.col("enters") & (F.col("exits") | far))
-    split = (
-        Histories(
-            events.select("player", "ts", "event_id", enters.alias("enters"), leaves.alias("exits")),
-            chunk_secs=chunk_secs,
-        )
-        .add(
-            RowNumber("rn"),
-            Prev("before", ("ts",)),
-            LastSeen("entered", F.when(F.col("enters"), F.col("ts")), inclusive=True, numbered=True),
-        )
-        .let(closed=closed.cast("int"), prev_ts=F.coalesce("before.ts", "ts"))
-        .add(RunSum("segment", F.col("closed"), inclusive=False))
-        .done()
-    )
-    ordered = (
-        split.select("player", "segment", "ts", "event_id", "prev_ts", "enters", "exits")
-        .repartition("player", "segment")
-        .sortWithinPartitions("player", "segment", "ts", "event_id")
-    )
-    return ordered.mapInPandas(_stays(limit, loss_window), "player bigint, enter_ts bigint, stay bigint")
+    is_action = lambda name: F.coalesce(F.col("action") == name, F.lit(False))
+    rows = events.select("player", "ts", "event_id", is_action(enter).alias("enters"), is_action(exits).alias("exits"))
+    made = "enter_ts bigint, stay bigint"
+    return follow(rows, stay_relay(limit, loss_window), made, ["player"], ["ts", "event_id"], grain)
 
 
 def ui_time_ratio(
@@ -414,11 +339,11 @@ def ui_time_ratio(
     exits: str,
     limit: int = 600,
     loss_window: int = 20,
-    chunk_secs: int = CHUNK_SECS,
+    grain: int = GRAIN,
 ) -> DataFrame:
     """Stay in a screen over (active seconds + 1), per player; also stays, median stay and both sums."""
     stays = (
-        ui_stays(events, enter, exits, limit, loss_window, chunk_secs)
+        ui_stays(events, enter, exits, limit, loss_window, grain)
         .groupBy("player")
         .agg(
             F.count(F.lit(1)).alias("stays"),

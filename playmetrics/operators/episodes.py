@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import action_is, has_keyword
 from ..plans.quantiles import group_stats, widen
 from ..plans.timeline import (
-    CHUNK_SECS,
+    GRAIN,
     FirstSeen,
     Histories,
     LastSeen,
@@ -34,30 +34,36 @@ Actions = str | Sequence[str]
 
 
 def repeat_runs(
-    events: DataFrame, duration_limit: int = 600, top_n: int = 3, chunk_secs: int = CHUNK_SECS
+    events: DataFrame, duration_limit: int | None = 600, top_n: int = 3, grain: int = GRAIN, to_next: bool = False
 ) -> DataFrame:
     """Each player's longest run per action, the ``top_n`` of them.
 
     A run is a stretch of rows with one action.  ``repeats`` is its length less one; its
-    ``duration``, from the second click to the last, must be under ``duration_limit``.
-    ``preceding`` is the action before the run.
+    ``duration``, from the second click to the last, must be under ``duration_limit`` (None: any).
+    ``preceding`` is the action before the run.  With ``to_next`` the duration goes from the first click to
+    the next action, for a player's last run to its last click.
     """
     changed = lambda before, now: (before["action"] != now["action"]).cast("int")
     placed = running(
-        events.select("player", "ts", "event_id", "action"), Prev("before", ("action",)), LinkSum("run", ("action",), changed), chunk_secs=chunk_secs
+        events.select("player", "ts", "event_id", "action"), Prev("before", ("action",)), LinkSum("run", ("action",), changed), grain=grain
     )
     starts = F.coalesce(F.col("before.action") != F.col("action"), F.lit(True))
-    runs = (
-        placed.withColumn("starts", starts)
-        .groupBy("player", "run", "action")
-        .agg(
-            (F.count(F.lit(1)) - 1).alias("repeats"),
-            F.min("ts").alias("start_ts"),
-            (F.max("ts") - F.min(F.when(~F.col("starts"), F.col("ts")))).alias("duration"),
-            F.max(F.when(F.col("starts"), F.col("before.action"))).alias("preceding"),
-        )
-        .where((F.col("repeats") >= 1) & (F.col("duration") < duration_limit))
+    placed = placed.withColumn("starts", starts)
+    runs = placed.groupBy("player", "run", "action").agg(
+        (F.count(F.lit(1)) - 1).alias("repeats"),
+        F.min("ts").alias("start_ts"),
+        F.max("ts").alias("last_ts"),
+        (F.max("ts") - F.min(F.when(~F.col("starts"), F.col("ts")))).alias("duration"),
+        F.max(F.when(F.col("starts"), F.col("before.action"))).alias("preceding"),
     )
+    if to_next:
+        # The first row of a run ends the run before.
+        nexts = placed.where("starts").select("player", (F.col("run") - 1).alias("run"), F.col("ts").alias("next_ts"))
+        until = F.coalesce("next_ts", "last_ts") - F.col("start_ts")
+        runs = runs.join(nexts, ["player", "run"], "left").withColumn("duration", until)
+    runs = runs.where(F.col("repeats") >= 1)
+    if duration_limit is not None:
+        runs = runs.where(F.col("duration") < duration_limit)
     better = F.struct("repeats", (-F.col("run")).alias("early"))
     best = runs.groupBy("player", "action").agg(
         F.max_by(F.struct("repeats", "duration", "preceding", "start_ts", "run"), better).alias("best")
@@ -67,11 +73,11 @@ def repeat_runs(
 
 
 def repeat_clicks(
-    events: DataFrame, duration_limit: int = 600, top_n: int = 3, chunk_secs: int = CHUNK_SECS, approx: bool = False
+    events: DataFrame, duration_limit: int = 600, top_n: int = 3, grain: int = GRAIN, approx: bool = False
 ) -> DataFrame:
     """Per action over `repeat_runs`: players, mean and median repeats and duration, and the
     most common preceding action (on a tie the first by name)."""
-    runs = repeat_runs(events, duration_limit, top_n, chunk_secs)
+    runs = repeat_runs(events, duration_limit, top_n, grain)
     # Durations are whole seconds under ``duration_limit``: few different values, like counts.
     stats = widen(
         group_stats(runs, ["action"], ["repeats", "duration"], approx=approx, counts=True),
@@ -94,14 +100,14 @@ def first_episode(
     exits: Actions,
     loss_window: int | None = 20,
     stay_limit: int | None = 1500,
-    chunk_secs: int = CHUNK_SECS,
+    grain: int = GRAIN,
 ) -> DataFrame:
     """One row per player: how the first episode ended.
 
     Columns: ``ending`` (exit, window, timeout, unfinished, none), ``enter_ts``, ``end_ts``,
     ``stay_clicks`` (rows strictly inside).  ``None`` switches a limit off.
     """
-    return episode_table(events, [(enter, exits)], loss_window, stay_limit, chunk_secs).drop("pair")
+    return episode_table(events, [(enter, exits)], loss_window, stay_limit, grain).drop("pair")
 
 
 def _end_kind(is_exit: Column, k: Column, el: Column, loss_window, stay_limit) -> Column:
@@ -119,7 +125,7 @@ def episode_table(
     pairs: Sequence[tuple[Actions, Actions]],
     loss_window: int | None = 20,
     stay_limit: int | None = 1500,
-    chunk_secs: int = CHUNK_SECS,
+    grain: int = GRAIN,
 ) -> DataFrame:
     """`first_episode` for every (enter, exit) pair in one pass over the rows, with ``pair`` no."""
     seen = [
@@ -127,7 +133,7 @@ def episode_table(
         for i, (enter, _) in enumerate(pairs)
     ]
     rows = running(
-        events.select("player", "ts", "event_id", "action"), RowNumber("rn"), *seen, chunk_secs=chunk_secs
+        events.select("player", "ts", "event_id", "action"), RowNumber("rn"), *seen, grain=grain
     )
     folded = []
     for i, (_, exits) in enumerate(pairs):
@@ -159,7 +165,7 @@ def episode_table(
 
 
 def ui_stay_actions(
-    events: DataFrame, enter: Actions, exits: Actions, chunk_secs: int = CHUNK_SECS, approx: bool = False
+    events: DataFrame, enter: Actions, exits: Actions, grain: int = GRAIN, approx: bool = False
 ) -> DataFrame:
     """Actions between a player's first enter and the next exit, for players who do exit.
 
@@ -167,7 +173,7 @@ def ui_stay_actions(
     """
     leaves = action_is("action", exits).cast("int")
     inside = (
-        Histories(events.select("player", "ts", "event_id", "action"), chunk_secs=chunk_secs)
+        Histories(events.select("player", "ts", "event_id", "action"), grain=grain)
         .add(RowNumber("rn"), FirstSeen("_in", F.when(action_is("action", enter), F.col("ts")), numbered=True))
         .where(F.col("rn") > F.col("_in.rn"))
         .add(RunSum("exits", leaves))
@@ -207,10 +213,10 @@ def ui_loss(
     exits: Actions,
     loss_window: int | None = 20,
     stay_limit: int | None = 1500,
-    chunk_secs: int = CHUNK_SECS,
+    grain: int = GRAIN,
 ) -> DataFrame:
     """Share of entering players who do not exit, mean clicks inside, players with more than 3."""
-    return first_episode(events, enter, exits, loss_window, stay_limit, chunk_secs).agg(*_loss_columns())
+    return first_episode(events, enter, exits, loss_window, stay_limit, grain).agg(*_loss_columns())
 
 
 def _stay_secs() -> Column:
@@ -224,21 +230,21 @@ def ui_stay_time(
     exits: Actions,
     loss_window: int | None = 20,
     stay_limit: int | None = 1500,
-    chunk_secs: int = CHUNK_SECS,
+    grain: int = GRAIN,
 ) -> DataFrame:
     """Seconds in the screen per player; 0 unless the episode ended by exit or click window."""
-    episodes = first_episode(events, enter, exits, loss_window, stay_limit, chunk_secs)
+    episodes = first_episode(events, enter, exits, loss_window, stay_limit, grain)
     return episodes.select("player", "ending", _stay_secs().alias("stay_secs"))
 
 
 def ui_stay_time_means(
-    events: DataFrame, enter: Actions, exits: Actions, loss_window: int | None = 20, chunk_secs: int = CHUNK_SECS
+    events: DataFrame, enter: Actions, exits: Actions, loss_window: int | None = 20, grain: int = GRAIN
 ) -> DataFrame:
     """Two means of the stay: over normal exits, and over all entries.
 
     Here there is no time limit and an unfinished episode ends at the player's last row.
     """
-    episodes = first_episode(events, enter, exits, loss_window, None, chunk_secs)
+    episodes = first_episode(events, enter, exits, loss_window, None, grain)
     stay = F.coalesce("end_ts", "last_ts") - F.col("enter_ts")
     return episodes.agg(
         F.avg(F.when(F.col("ending") == "exit", stay)).alias("mean_exit_secs"),
@@ -252,6 +258,25 @@ def ui_enter_ratio(events: DataFrame, enter: Actions, begin: int, end: int) -> D
     return _enter_counts(rows, [enter]).select("active", F.col("entered0").alias("entered"), _ratio(0))
 
 
+def ui_enter_ratio_by_day(
+    events: DataFrame, enter: Actions, first_day: int, days: int, utc_offset: int = 0
+) -> DataFrame:
+    """`ui_enter_ratio` of every day from ``first_day`` to ``days`` later, in one pass: ``day_no, active, entered, ratio``.
+
+    Days without a player have a row of zeros with ratio -1.  A row on the first second of a day is in no day.
+    """
+    since = F.col("ts") - (first_day * 86_400 - utc_offset)
+    daily = events.where(since % 86_400 != 0).withColumn("day_no", F.floor(since / 86_400).cast("int"))
+    flags = daily.where(F.col("day_no").between(0, days)).groupBy("day_no", "player").agg(
+        F.max(action_is("action", enter).cast("int")).alias("entered")
+    )
+    counted = flags.groupBy("day_no").agg(F.count(F.lit(1)).alias("active"), F.sum("entered").alias("entered"))
+    every = events.sparkSession.range(days + 1).select(F.col("id").cast("int").alias("day_no"))
+    filled = every.join(counted, "day_no", "left").na.fill(0, ["active", "entered"])
+    ratio = F.coalesce(F.try_divide("entered", "active"), F.lit(-1.0))
+    return filled.withColumn("ratio", ratio)
+
+
 def _enter_counts(rows: DataFrame, enters: Sequence[Actions]) -> DataFrame:
     flags = [F.max(action_is("action", e).cast("int")).alias(f"e{i}") for i, e in enumerate(enters)]
     return (
@@ -277,13 +302,13 @@ def ui_report(
     end: int,
     loss_window: int | None = 20,
     stay_limit: int | None = 1500,
-    chunk_secs: int = CHUNK_SECS,
+    grain: int = GRAIN,
 ) -> DataFrame:
     """Loss, mean stay and enter ratio for a list of (enter, exit) pairs: one row per pair.
 
     All pairs share one ordered pass over the rows.
     """
-    episodes = episode_table(events, pairs, loss_window, stay_limit, chunk_secs)
+    episodes = episode_table(events, pairs, loss_window, stay_limit, grain)
     loss = episodes.groupBy("pair").agg(*_loss_columns(), F.avg(_stay_secs()).alias("mean_stay_secs"))
     rows = events.where((F.col("ts") > begin) & (F.col("ts") < end))
     counts = _enter_counts(rows, [enter for enter, _ in pairs])
@@ -320,7 +345,7 @@ def find_payers(
     money_limit: int = 100,
     step_limit: int = 5,
     how: str = "substring",
-    chunk_secs: int = CHUNK_SECS,
+    grain: int = GRAIN,
 ) -> DataFrame:
     """Players whose money rises by ``money_limit`` soon after a payment action.
 
@@ -335,7 +360,7 @@ def find_payers(
             events.select("player", "ts", "event_id", "action", "key_index"),
             RowNumber("rn"),
             seen,
-            chunk_secs=chunk_secs,
+            grain=grain,
         )
         .where((steps <= step_limit + 1) & (F.col("key_index") - F.col("_kw.value") >= money_limit))
         .groupBy("player")
@@ -349,7 +374,7 @@ def first_pay_view_time(events: DataFrame, keywords: Sequence[str]) -> DataFrame
     return events.groupBy("player").agg(F.coalesce(viewed - F.min("ts"), F.lit(0)).alias("secs"))
 
 
-def pre_conversion_actions(events: DataFrame, pay_actions: Sequence[str], chunk_secs: int = CHUNK_SECS) -> DataFrame:
+def pre_conversion_actions(events: DataFrame, pay_actions: Sequence[str], grain: int = GRAIN) -> DataFrame:
     """Clicks per (player, action) before conversion.
 
     Conversion is a payment action at which money exceeds its value at the latest row outside
@@ -360,7 +385,7 @@ def pre_conversion_actions(events: DataFrame, pay_actions: Sequence[str], chunk_
     money = F.col("key_index")
     converts = paying & (money > F.coalesce("_outside", "_first"))
     return (
-        Histories(events.select("player", "ts", "event_id", "action", "key_index"), chunk_secs=chunk_secs)
+        Histories(events.select("player", "ts", "event_id", "action", "key_index"), grain=grain)
         .add(LastSeen("_outside", F.when(~paying, money)), FirstSeen("_first", money))
         .let(_converts=converts.cast("int"))
         .add(RunSum("_done", F.col("_converts")))

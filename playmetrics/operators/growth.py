@@ -10,18 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.quantiles import group_stats, widen
-from ..plans.timeline import CHUNK_SECS, Prev, RowNumber, Total, position, running
+from ..plans.timeline import GRAIN, Prev, RowNumber, Total, position, running
 from ..sources.events import day_of
 from .blocks import change_sums, change_summary
 from .stats import standardize
 
 
 def key_change_per_player_level(
-    events: DataFrame, chunk_secs: int = CHUNK_SECS, keys: Sequence[str] = ("player", "level")
+    events: DataFrame, grain: int = GRAIN, keys: Sequence[str] = ("player", "level")
 ) -> DataFrame:
     """The eight change measures per (player, level)."""
     rows = events.select(*keys, "ts", "event_id", "key_index", "power")
-    linked = running(rows, Prev("before", ("key_index", "power")), keys=keys, chunk_secs=chunk_secs)
+    linked = running(rows, Prev("before", ("key_index", "power")), keys=keys, grain=grain)
     delta = F.col("key_index") - F.col("before.key_index")
     power_delta = F.col("power") - F.col("before.power")
     at = position()
@@ -32,14 +32,14 @@ def key_change_per_player_level(
     )
 
 
-def key_change_by_level(events: DataFrame, chunk_secs: int = CHUNK_SECS, approx: bool = False) -> DataFrame:
+def key_change_by_level(events: DataFrame, grain: int = GRAIN, approx: bool = False) -> DataFrame:
     """The eight change measures by level: players, median and mean."""
-    return change_summary(key_change_per_player_level(events, chunk_secs), "level", approx)
+    return change_summary(key_change_per_player_level(events, grain), "level", approx)
 
 
 def consume_to_keep_ratio(
     left: DataFrame, right: DataFrame, max_level: int | None = None, names: tuple[str, str] = ("left", "right"),
-    chunk_secs: int = CHUNK_SECS,
+    grain: int = GRAIN,
 ) -> DataFrame:
     """Median consumption over median kept value by level, two populations side by side.
 
@@ -49,7 +49,7 @@ def consume_to_keep_ratio(
     both = left.select(*columns, F.lit(0).alias("_side")).unionByName(right.select(*columns, F.lit(1).alias("_side")))
     if max_level is not None:
         both = both.where(F.col("level") <= max_level)
-    per_player = key_change_per_player_level(both, chunk_secs, ("_side", "player", "level"))
+    per_player = key_change_per_player_level(both, grain, ("_side", "player", "level"))
     stats = widen(
         group_stats(per_player, ["level", "_side"], ["down_volume", "closing_value"]),
         ["level", "_side"],
@@ -100,7 +100,7 @@ def cumulative_change(
     growth: bool = True,
     baseline: str = "first",
     keys: Sequence[str] = ("player",),
-    chunk_secs: int = CHUNK_SECS,
+    grain: int = GRAIN,
 ) -> DataFrame:
     """Sum of rises (or falls) of the index in ``[begin, end]`` per player, 0 if none.
 
@@ -117,7 +117,7 @@ def cumulative_change(
     ranged = events.where(in_range).select(*keys, "ts", "event_id", "key_index")
     sign = 1 if growth else -1
     at = position()
-    linked = running(ranged, Prev("before", ("key_index",)), keys=keys, chunk_secs=chunk_secs)
+    linked = running(ranged, Prev("before", ("key_index",)), keys=keys, grain=grain)
     step = (F.col("key_index") - F.col("before.key_index")) * sign
     inner = linked.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(step > 0, step)), F.lit(0)).alias("_inner"),
@@ -160,7 +160,7 @@ def days_wide(per_day: DataFrame, events: DataFrame, value: str, days: int) -> D
 
 
 def change_by_day(
-    events: DataFrame, first_day: int, days: int, growth: bool = True, utc_offset: int = 0, chunk_secs: int = CHUNK_SECS
+    events: DataFrame, first_day: int, days: int, growth: bool = True, utc_offset: int = 0, grain: int = GRAIN
 ) -> DataFrame:
     """`cumulative_change` of each day, long form ``player, day_no, change``.
 
@@ -169,7 +169,7 @@ def change_by_day(
     daily = events.withColumn("day_no", _day_no(first_day, utc_offset))
     begin = first_day * 86_400 - utc_offset
     return cumulative_change(
-        daily, begin, begin + (days + 1) * 86_400 - 1, growth, keys=("player", "day_no"), chunk_secs=chunk_secs
+        daily, begin, begin + (days + 1) * 86_400 - 1, growth, keys=("player", "day_no"), grain=grain
     ).where(F.col("day_no").isNotNull())
 
 
@@ -215,7 +215,7 @@ def _solver(degree: int):
 
 
 def poly_trend(
-    events: DataFrame, value: str = "key_index", degree: int = 4, scaled: bool = False, chunk_secs: int = CHUNK_SECS
+    events: DataFrame, value: str = "key_index", degree: int = 4, scaled: bool = False, grain: int = GRAIN
 ) -> DataFrame:
     """Least-squares polynomial of a value over a player's row positions 0, 1, ....
 
@@ -227,7 +227,7 @@ def poly_trend(
         events.select("player", "ts", "event_id", value),
         RowNumber("rn"),
         Total("rows", F.lit(1)),
-        chunk_secs=chunk_secs,
+        grain=grain,
     )
     half = F.greatest((F.col("rows") - 1) / 2.0, F.lit(0.5))
     x = (F.col("rn") - 1) / half - 1.0

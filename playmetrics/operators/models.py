@@ -20,20 +20,18 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_p, f_p
-from ..plans.timeline import RowNumber, Total, running
+from ..plans.ranks import running_total
 from ..sources.tables import settle
 from .balance import borderline_smote
 from .frames import impute
 from .stats import column_moments, standardize
 
-FOLD_CHUNK = 1_000_000
-
 
 # Folds ---------------------------------------------------------------------------------------
 
@@ -48,23 +46,20 @@ def _contiguous(rn: Column, n: Column, k: int) -> Column:
     ).cast("int")
 
 
-def kfold(df: DataFrame, order: Sequence[str], k: int = 10, chunk: int = FOLD_CHUNK) -> DataFrame:
-    """Contiguous folds in ``order`` (a whole-number column first); adds ``fold``."""
-    return _folds(df.withColumn("_all", F.lit(0)), ("_all",), order, k, chunk).drop("_all")
-
-
-def stratified_folds(df: DataFrame, label: str, order: Sequence[str], k: int = 6, chunk: int = FOLD_CHUNK) -> DataFrame:
-    """Folds that are contiguous within each class; adds ``fold``."""
-    return _folds(df, (label,), order, k, chunk)
+def kfold(df: DataFrame, order: Sequence[str], k: int = 10) -> DataFrame:
+    """Contiguous folds in ``order``; adds ``fold``."""
+    placed = running_total(df, order, F.lit(1), "_at")
+    return placed.withColumn("fold", _contiguous(F.col("_at") + 1, F.lit(df.count()), k)).drop("_at")
 
 
-def _folds(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, chunk: int) -> DataFrame:
-    # A null class is a class of its own (a struct is never null), a null order key comes first.
-    first = F.coalesce(F.col(order[0]), F.lit(-(2**62)))
-    keyed = df.withColumn("_class", F.struct(*keys)).withColumn("_first", first)
-    specs = RowNumber("_at"), Total("_size", F.lit(1))
-    placed = running(keyed, *specs, keys=("_class",), order=("_first", *order[1:]), chunk_secs=chunk)
-    return placed.withColumn("fold", _contiguous(F.col("_at"), F.col("_size"), k)).drop("_at", "_size", "_class", "_first")
+def stratified_folds(df: DataFrame, label: str, order: Sequence[str], k: int = 6) -> DataFrame:
+    """Folds that are contiguous within each class; adds ``fold``. Null is a class of its own."""
+    # Ranks in (class, order) over all rows, less the rows of the classes before.
+    placed = settle(running_total(df, [label, *order], F.lit(1), "_at"), "ranked")
+    classes = placed.groupBy(F.col(label).alias("_class")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    found = placed.join(classes, F.col(label).eqNullSafe(F.col("_class")))
+    fold = _contiguous(F.col("_at") - F.col("_first") + 1, F.col("_size"), k)
+    return found.withColumn("fold", fold).drop("_at", "_first", "_size", "_class")
 
 
 def random_split(df: DataFrame, ids: Sequence[str], share: float = 0.7, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -78,19 +73,17 @@ def random_split(df: DataFrame, ids: Sequence[str], share: float = 0.7, seed: in
 
 
 def encode_categories(df: DataFrame, median: Sequence[str] = (), mode: Sequence[str] = ()) -> DataFrame:
-    """Impute the named columns, then replace every text column by its rank in sorted order."""
+    """Impute the named columns, then replace every text column by its value's rank in sorted order, null last."""
     for c in median:
         df = impute(df, c, "median")
     for c in mode:
         df = impute(df, c, "mode")
-    texts = [c for c, kind in df.dtypes if kind == "string"]
-    if not texts:
-        return df
-    coder = StringIndexer(
-        inputCols=texts, outputCols=[f"_{c}" for c in texts], stringOrderType="alphabetAsc", handleInvalid="keep"
-    ).fit(df)
-    coded = coder.transform(df)
-    return coded.select(*[F.col(f"_{c}").cast("int").alias(c) if c in texts else F.col(c) for c in df.columns])
+    for c in [c for c, kind in df.dtypes if kind == "string"]:
+        values = df.select(F.col(c).isNull().alias("_none"), F.col(c).alias("_value")).distinct()
+        codes = running_total(values, ["_none", "_value"], F.lit(1), "_code")
+        coded = df.join(codes, F.col(c).eqNullSafe(F.col("_value")))
+        df = coded.select(*[F.col("_code").cast("int").alias(c) if x == c else F.col(x) for x in df.columns])
+    return df
 
 
 # Feature scores ------------------------------------------------------------------------------
@@ -275,6 +268,16 @@ def fold_scores(scored: DataFrame) -> DataFrame:
     return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.avg(hit).alias("accuracy"))
 
 
+def fold_confusion(scored: DataFrame) -> DataFrame:
+    """Confusion matrix of each fold: ``fold, label, prediction, rows, share`` of the label, and ``accuracy`` of the fold."""
+    counted = scored.groupBy("fold", "label", "prediction").agg(F.count(F.lit(1)).alias("rows"))
+    hits = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("rows")).otherwise(F.lit(0)))
+    fold, row = Window.partitionBy("fold"), Window.partitionBy("fold", "label")
+    return counted.select(
+        "*", (F.col("rows") / F.sum("rows").over(row)).alias("share"), (hits.over(fold) / F.sum("rows").over(fold)).alias("accuracy")
+    )
+
+
 def tree_table(model, features: Sequence[str], spark) -> DataFrame:
     """Nodes of a fitted tree: ``node, parent, depth, feature, threshold, impurity, rows, counts, prediction``.
 
@@ -327,7 +330,6 @@ def classify_users(
     folds: int = 6,
     trees: int = 250,
     balance: bool = False,
-    chunk: int = FOLD_CHUNK,
 ) -> DataFrame:
     """Drop rows with nulls, scale, cross-validate a tree, an L1 logistic model and a forest.
 
@@ -339,7 +341,7 @@ def classify_users(
         clean = borderline_smote(clean, features, label, order[0])
         order = [order[0], "_copy"]
         clean = clean.withColumnRenamed("copy", "_copy")
-    split = settle(stratified_folds(clean, label, order, folds, chunk), "folds")
+    split = settle(stratified_folds(clean, label, order, folds), "folds")
     raw = assemble(split, features, label, ["fold"])
     scaled = assemble(settle(standardize(split, list(features)), "scaled"), features, label, ["fold"])
     runs = (
@@ -391,12 +393,13 @@ def fit_clusters(df: DataFrame, features: Sequence[str], estimator: Estimator):
 
 
 def kmeans_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int] = (2, 3), seed: int = 0) -> DataFrame:
-    """K-means on z-scores for each k: inertia, and the centres in original units.
+    """K-means on z-scores for each k: inertia, silhouettes, and the centres in original units.
 
-    Rows ``k, cluster, size, inertia, <features>``.  The z-scores are written once for all passes.
+    Rows ``k, cluster, size, inertia, silhouette`` (of the cluster), ``mean_silhouette`` (of all rows),
+    ``<features>``.  Flags count as 0 and 1.  The z-scores are written once for all passes.
     """
     spark = df.sparkSession
-    clean = df.select(*features).na.drop("any")
+    clean = df.select(*[F.col(f).cast("double").alias(f) for f in features]).na.drop("any")
     moments, _ = column_moments(clean, features)
     scale = spark.range(1).select(moments.alias("m")).first()["m"]
     data = assemble(settle(standardize(clean, list(features)), "scaled"), features).select("features")
@@ -404,11 +407,16 @@ def kmeans_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int] = (2,
     for k in ks:
         model = KMeans(k=k, seed=seed).fit(data)
         sizes = model.summary.clusterSizes
+        # One row per cluster and one for all.
+        found = silhouette(vector_columns(model.transform(data), features), features, "prediction").collect()
+        shape = {r["cluster"]: r["silhouette"] for r in found}
         for i, centre in enumerate(model.clusterCenters()):
             original = [float(c) * scale[f"std_{f}"] + scale[f"mean_{f}"] for c, f in zip(centre, features)]
-            rows.append((k, i, int(sizes[i]), float(model.summary.trainingCost), *original))
+            rows.append((k, i, int(sizes[i]), float(model.summary.trainingCost), shape.get(i), shape.get(None), *original))
     names = ", ".join(f"`{f}` double" for f in features)
-    return spark.createDataFrame(rows, f"k int, cluster int, size bigint, inertia double, {names}")
+    return spark.createDataFrame(
+        rows, f"k int, cluster int, size bigint, inertia double, silhouette double, mean_silhouette double, {names}"
+    )
 
 
 def silhouette(scored: DataFrame, features: Sequence[str], cluster: str) -> DataFrame:

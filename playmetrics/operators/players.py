@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.quantiles import group_stats
-from ..plans.timeline import CHUNK_SECS, position
+from ..plans.timeline import GRAIN, position
 from .blocks import ui_time_ratio
 from .frames import top_per_group
 from .episodes import find_payers, first_pay_view_time, ui_stay_time
@@ -134,13 +134,13 @@ def user_profile(
     stay_gap: int = 600,
     loss_window: int = 20,
     min_days: int = 1,
-    chunk_secs: int = CHUNK_SECS,
+    grain: int = GRAIN,
 ) -> DataFrame:
     """One row per player: pre-VIP click frequency, VIP flag, favourite slot as 0/1 columns,
     share of time in a screen, retained flag."""
     freq = click_frequency_pre_vip(events, gap)
     slots = favourite_slot(events, slot_gap, pre_vip=True).select("player", "slot")
-    ratio = ui_time_ratio(events, enter, exits, stay_gap, loss_window, chunk_secs).select("player", "ratio")
+    ratio = ui_time_ratio(events, enter, exits, stay_gap, loss_window, grain).select("player", "ratio")
     flags = vip_and_retained_flags(events, min_days)
     joined = freq.join(flags, "player").join(ratio, "player", "left").join(slots, "player", "left")
     return one_hot(joined, "slot", SLOTS)
@@ -159,12 +159,12 @@ def user_profile_long(
     stay_limit: int = 1500,
     money_limit: int = 100,
     step_limit: int = 5,
-    chunk_secs: int = CHUNK_SECS,
+    grain: int = GRAIN,
 ) -> DataFrame:
     """The older profile: click frequency, first-day time, retention, first payment view, screen
     stay, payer flag."""
-    payers = find_payers(events, keywords, money_limit, step_limit, chunk_secs=chunk_secs)
-    stay = ui_stay_time(events, enter, exits, loss_window, stay_limit, chunk_secs).select("player", "stay_secs")
+    payers = find_payers(events, keywords, money_limit, step_limit, grain=grain)
+    stay = ui_stay_time(events, enter, exits, loss_window, stay_limit, grain).select("player", "stay_secs")
     return (
         click_frequency(events, gap, min_length)
         .join(first_day_and_retention(events, first_day, days, gap), "player")

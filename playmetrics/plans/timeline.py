@@ -1,17 +1,15 @@
 """Ordered per-player scans that survive very long histories.
 
-A plain ``Window.partitionBy("player")`` puts a whole history into one task.  One player (a
-bot, a shared account, a default id) may hold a third of all rows, so every ordered scan here
-is split by ``(player, time chunk)``:
-
-1. the rows are shuffled by ``(keys, chunk)`` and windows run inside a chunk;
-2. each chunk is reduced to one summary row, where it lies;
-3. a window over the summaries gives each chunk what came before it.  A player has at most
-   one summary per chunk of the log's time span, whatever the number of its rows;
-4. the summaries are joined back on ``(keys, chunk)``, the partitioning the rows already have.
-
-The rows are shuffled once, also for several scans that build on each other: all of them read
-the same exchange.  The result is that of the plain window for every chunk length.
+Short histories are plain windows by their keys: one shuffle, shared by all scans that build on each other.
+A history with more rows than ``grain`` (a bot, a shared account, a default id may hold a third of
+all rows) would be one task's work, so it is cut by rows into stretches (`stretches.split`):
+
+1. windows run inside a stretch;
+2. each stretch is reduced to one summary row, where it lies;
+3. a window over the summaries, one per ``grain`` rows, gives each stretch what came before it;
+4. the summaries are joined back on ``(keys, stretch)``, the partitioning the rows already have.
+
+The result is that of the plain window for every grain.
 """
 
 from __future__ import annotations
@@ -19,11 +17,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .stretches import GRAIN, STRETCH, renamed, same, split
+
 ORDER = ("ts", "event_id")
-CHUNK_SECS = 3600
 
 
 def position(order: Sequence[str] = ORDER) -> Column:
@@ -111,102 +110,143 @@ def _payload(spec: LastSeen | FirstSeen) -> Column:
 
 
 class Histories:
-    """Rows placed by ``(keys, chunk)``, to which ordered columns are added step by step.
+    """Rows of histories, to which ordered columns are added step by step.
 
-    Give it only the columns that are needed: all of them travel.  Rows with a null key or time
-    belong to no history and are left out.
+    Give it only the columns that are needed: all of them travel.  A null key is a key of its own, a
+    null in the order comes first.
     """
 
     def __init__(
         self,
         df: DataFrame,
         keys: Sequence[str] = ("player",),
-        chunk_secs: int = CHUNK_SECS,
+        grain: int = GRAIN,
         order: Sequence[str] = ORDER,
     ) -> None:
         self.keys, self.order = list(keys), list(order)
-        self.part = [*keys, "_chunk"]
-        chunk = F.floor(F.col(order[0]) / F.lit(chunk_secs))
-        placed = df.withColumn("_chunk", chunk)
-        for column in self.part:
-            placed = placed.where(F.col(column).isNotNull())
-        self.rows = placed.repartition(*self.part)
+        short, long = split(df, self.keys, self.order, grain)
+        self.short, self.long = short, None if long is None else long.repartition(*self.keys, STRETCH)
 
     def let(self, **columns: Column) -> Histories:
         """Add columns computed from a row alone."""
-        self.rows = self.rows.withColumns(columns)
-        return self
+        return self._each(lambda rows: rows.withColumns(columns))
 
     def where(self, condition: Column) -> Histories:
         """Keep some rows; later scans see only these."""
-        self.rows = self.rows.where(condition)
+        return self._each(lambda rows: rows.where(condition))
+
+    def _each(self, change: Callable[[DataFrame], DataFrame]) -> Histories:
+        self.short = change(self.short)
+        self.long = None if self.long is None else change(self.long)
         return self
 
     def done(self) -> DataFrame:
-        return self.rows.drop("_chunk")
+        return self.short if self.long is None else self.short.unionByName(self.long.drop(STRETCH))
 
     def add(self, *specs: Spec) -> Histories:
         """Add one column per spec, computed over each history in order."""
-        inside = Window.partitionBy(*self.part).orderBy(*self.order)
-        upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-        rows, columns = self.rows, self.rows.columns
-        if any(isinstance(s, RowNumber) or getattr(s, "numbered", False) for s in specs):
-            rows = rows.withColumn("_rn", F.row_number().over(inside))
-        for s in specs:
-            if isinstance(s, LinkSum):
-                rows = rows.withColumn(f"_l_{s.name}", F.lag(F.struct(*s.columns)).over(inside))
-
-        at = position(self.order)
-        local, summary = [], [F.count(F.lit(1)).alias("_n")]
-        for s in specs:
-            part_name = f"_s_{s.name}"
-            match s:
-                case Prev():
-                    image = F.struct(*s.columns)
-                    local.append(F.lag(image).over(inside).alias(s.name))
-                    summary.append(F.max_by(image, at).alias(part_name))
-                case RowNumber():
-                    local.append(F.col("_rn").cast("bigint").alias(s.name))
-                case RunSum():
-                    frame = upto if s.inclusive else earlier
-                    local.append(F.coalesce(F.sum(s.value).over(frame), F.lit(0)).alias(s.name))
-                    summary.append(F.sum(s.value).alias(part_name))
-                case LinkSum():
-                    image, before = F.struct(*s.columns), F.col(f"_l_{s.name}")
-                    step = F.when(before.isNotNull(), s.value(before, image)).otherwise(F.lit(0))
-                    local.append(F.sum(step).over(upto).alias(s.name))
-                    ends = F.struct(
-                        F.sum(step).alias("sum"),
-                        F.min_by(image, at).alias("first"),
-                        F.max_by(image, at).alias("last"),
-                    )
-                    summary.append(ends.alias(part_name))
-                case LastSeen() | FirstSeen():
-                    value = _payload(s)
-                    seen = F.when(value.isNotNull(), at)
-                    if isinstance(s, LastSeen):
-                        frame = upto if s.inclusive else earlier
-                        local.append(F.last(value, ignorenulls=True).over(frame).alias(s.name))
-                        summary.append(F.max_by(value, seen).alias(part_name))
-                    else:
-                        local.append(F.first(value, ignorenulls=True).over(upto).alias(s.name))
-                        summary.append(F.min_by(value, seen).alias(part_name))
-                case Total():
-                    summary.append(_FOLDS[s.how](s.value).alias(part_name))
-
-        # The summaries read every column of the rows, so that both branches ask for the same
-        # exchange and Spark builds it once.
-        kinds = dict(self.rows.dtypes)
-        whole = F.max(F.xxhash64(*[c for c in columns if not kinds[c].startswith("map")]))
-        chunks = rows.groupBy(*self.part).agg(*summary, whole.alias("_whole")).where(F.col("_whole").isNotNull())
-        joined = rows.select("*", *local).join(_carry(chunks, specs, self.keys), self.part)
-        self.rows = joined.select(*columns, *[_combined(s).alias(s.name) for s in specs])
+        self.short = _whole(self.short, specs, self.keys, self.order)
+        self.long = None if self.long is None else _in_stretches(self.long, specs, self.keys, self.order)
         return self
 
 
+def _numbered(rows: DataFrame, specs: Sequence[Spec], inside: WindowSpec) -> DataFrame:
+    """With the helper columns of the specs: row number, and the row before of linked sums."""
+    if any(isinstance(s, RowNumber) or getattr(s, "numbered", False) for s in specs):
+        rows = rows.withColumn("_rn", F.row_number().over(inside))
+    for s in specs:
+        if isinstance(s, LinkSum):
+            rows = rows.withColumn(f"_l_{s.name}", F.lag(F.struct(*s.columns)).over(inside))
+    return rows
+
+
+def _whole(rows: DataFrame, specs: Sequence[Spec], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Histories that one task can hold: plain windows."""
+    columns, parts = rows.columns, Window.partitionBy(*keys)
+    inside = parts.orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    out = []
+    for s in specs:
+        match s:
+            case Prev():
+                value = F.lag(F.struct(*s.columns)).over(inside)
+            case RowNumber():
+                value = F.col("_rn").cast("bigint")
+            case RunSum():
+                value = F.coalesce(F.sum(s.value).over(upto if s.inclusive else earlier), F.lit(0))
+            case LinkSum():
+                before = F.col(f"_l_{s.name}")
+                step = F.when(before.isNotNull(), s.value(before, F.struct(*s.columns))).otherwise(F.lit(s.first))
+                value = F.sum(step).over(upto)
+            case LastSeen():
+                value = F.last(_payload(s), ignorenulls=True).over(upto if s.inclusive else earlier)
+            case FirstSeen():
+                value = F.first(_payload(s), ignorenulls=True).over(upto)
+            case Total():
+                value = _FOLDS[s.how](s.value).over(parts)
+        out.append(value.alias(s.name))
+    return _numbered(rows, specs, inside).select(*columns, *out)
+
+
+def _in_stretches(rows: DataFrame, specs: Sequence[Spec], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Histories in stretches: inside each, then with what it inherits."""
+    part, columns = [*keys, STRETCH], rows.columns
+    inside = Window.partitionBy(*part).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    kinds = dict(rows.dtypes)
+    rows = _numbered(rows, specs, inside)
+    at = position(order)
+    local, summary = [], [F.count(F.lit(1)).alias("_n")]
+    for s in specs:
+        part_name = f"_s_{s.name}"
+        match s:
+            case Prev():
+                image = F.struct(*s.columns)
+                local.append(F.lag(image).over(inside).alias(s.name))
+                summary.append(F.max_by(image, at).alias(part_name))
+            case RowNumber():
+                local.append(F.col("_rn").cast("bigint").alias(s.name))
+            case RunSum():
+                frame = upto if s.inclusive else earlier
+                local.append(F.coalesce(F.sum(s.value).over(frame), F.lit(0)).alias(s.name))
+                summary.append(F.sum(s.value).alias(part_name))
+            case LinkSum():
+                image, before = F.struct(*s.columns), F.col(f"_l_{s.name}")
+                step = F.when(before.isNotNull(), s.value(before, image)).otherwise(F.lit(0))
+                local.append(F.sum(step).over(upto).alias(s.name))
+                ends = F.struct(
+                    F.sum(step).alias("sum"),
+                    F.min_by(image, at).alias("first"),
+                    F.max_by(image, at).alias("last"),
+                )
+                summary.append(ends.alias(part_name))
+            case LastSeen() | FirstSeen():
+                value = _payload(s)
+                seen = F.when(value.isNotNull(), at)
+                if isinstance(s, LastSeen):
+                    frame = upto if s.inclusive else earlier
+                    local.append(F.last(value, ignorenulls=True).over(frame).alias(s.name))
+                    summary.append(F.max_by(value, seen).alias(part_name))
+                else:
+                    local.append(F.first(value, ignorenulls=True).over(upto).alias(s.name))
+                    summary.append(F.min_by(value, seen).alias(part_name))
+            case Total():
+                summary.append(_FOLDS[s.how](s.value).alias(part_name))
+
+    # The summaries read every column of the rows, so that both branches ask for the same
+    # exchange and Spark builds it once.
+    whole = F.max(F.xxhash64(*[c for c in columns if not kinds[c].startswith("map")]))
+    stretches = rows.groupBy(*part).agg(*summary, whole.alias("_whole")).where(F.col("_whole").isNotNull())
+    given = renamed(_carry(stretches, specs, keys), part)
+    ready = rows.select("*", *local)
+    joined = ready.join(given, same(ready, given, part))
+    return joined.select(*columns, *[_combined(s).alias(s.name) for s in specs])
+
+
 def _combined(s: Spec) -> Column:
-    """A row's value from its own chunk and what the chunk inherits."""
+    """A row's value from its own stretch and what the stretch inherits."""
     here, before = F.col(s.name), F.col(f"_c_{s.name}")
     match s:
         case Prev():
@@ -229,15 +269,15 @@ def _moved(value: Column) -> Column:
 
 
 def _carry(summary: DataFrame, specs: Sequence[Spec], keys: Sequence[str]) -> DataFrame:
-    """What each chunk inherits from the chunks before it; one row per chunk."""
-    chunks = Window.partitionBy(*keys).orderBy("_chunk")
-    before = chunks.rowsBetween(Window.unboundedPreceding, -1)
-    upto = chunks.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = chunks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """What each stretch inherits from the stretches before it; one row per stretch."""
+    stretches = Window.partitionBy(*keys).orderBy(STRETCH)
+    before = stretches.rowsBetween(Window.unboundedPreceding, -1)
+    upto = stretches.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = stretches.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     based = summary.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     for s in specs:
         if isinstance(s, LinkSum):
-            based = based.withColumn(f"_p_{s.name}", F.lag(F.col(f"_s_{s.name}.last")).over(chunks))
+            based = based.withColumn(f"_p_{s.name}", F.lag(F.col(f"_s_{s.name}.last")).over(stretches))
     out = []
     for s in specs:
         value = F.col(f"_s_{s.name}")
@@ -245,11 +285,11 @@ def _carry(summary: DataFrame, specs: Sequence[Spec], keys: Sequence[str]) -> Da
             value = _moved(value)
         match s:
             case Prev():
-                carried = F.lag(value).over(chunks)
+                carried = F.lag(value).over(stretches)
             case RunSum():
                 carried = F.sum(value).over(before)
             case LinkSum():
-                # The first row of a chunk is linked to the last row of the chunk before.
+                # The first row of a stretch is linked to the last row of the one before.
                 prior = F.col(f"_p_{s.name}")
                 link = F.when(prior.isNotNull(), s.value(prior, value["first"])).otherwise(F.lit(s.first))
                 carried = F.coalesce(F.sum(value["sum"]).over(before), F.lit(0)) + F.sum(link).over(upto)
@@ -262,15 +302,15 @@ def _carry(summary: DataFrame, specs: Sequence[Spec], keys: Sequence[str]) -> Da
             case _:
                 continue
         out.append(carried.alias(f"_c_{s.name}"))
-    return based.select(*keys, "_chunk", "_base", *out)
+    return based.select(*keys, STRETCH, "_base", *out)
 
 
 def running(
     df: DataFrame,
     *specs: Spec,
     keys: Sequence[str] = ("player",),
-    chunk_secs: int = CHUNK_SECS,
+    grain: int = GRAIN,
     order: Sequence[str] = ORDER,
 ) -> DataFrame:
     """One scan: add one column per spec, computed over each history in ``order``."""
-    return Histories(df, keys, chunk_secs, order).add(*specs).done()
+    return Histories(df, keys, grain, order).add(*specs).done()

@@ -11,7 +11,7 @@ from . import twins
 from .conftest import by_player, make, random_rows, table
 
 SEEDS = [11, 12]
-CHUNKS = [6, 100_000]
+CHUNKS = [24, 100_000]
 
 
 @pytest.mark.parametrize("seed", SEEDS)
@@ -85,9 +85,9 @@ def test_blocks(spark, seed, chunk):
     full = list(twins.full_blocks(rows, gap, interval))
     assert len(full) > 10
     wanted = sorted((p, b, g[0][0]["ts"], g[-1][0]["ts"], len(g)) for p, b, g in full)
-    assert table(blocks.active_blocks(events, interval, gap)) == wanted
+    assert table(blocks.active_blocks(events, interval, gap, chunk)) == wanted
     values = sorted((p, b, g[-1][0]["key_index"]) for p, b, g in full)
-    assert table(blocks.key_value_by_block(events, interval, gap)) == values
+    assert table(blocks.key_value_by_block(events, interval, gap, grain=chunk)) == values
 
     previous = {}
     for history in by_player(rows).values():
@@ -105,7 +105,7 @@ def test_blocks(spark, seed, chunk):
                 cell = credited[(p, b, previous[row["event_id"]]["action"])]
                 cell[0] += delta(row)
                 cell[1] += 1
-    found = blocks.key_change_per_player(events, interval, gap, chunk_secs=chunk)
+    found = blocks.key_change_per_player(events, interval, gap, grain=chunk)
     assert table(found, "player", "block", "action", "change", "times") == sorted((*k, *v) for k, v in credited.items())
 
     measures = []
@@ -130,7 +130,7 @@ def test_blocks(spark, seed, chunk):
         novel[b].append(len(new))
     for found, per_block in (
         (blocks.key_growth_times(events, interval, gap, chunk), times),
-        (blocks.chaos_index(events, interval, gap), novel),
+        (blocks.chaos_index(events, interval, gap, grain=chunk), novel),
     ):
         wanted = sorted((b, len(v), min(v), max(v), round(mean(v), 9), median(v)) for b, v in per_block.items())
         assert table(found) == wanted
@@ -154,6 +154,17 @@ def test_short_players_can_be_kept(spark):
     events = make(spark, rows)
     assert table(blocks.key_value_by_block(events, 10, 10)) == [(1, 0, 12)]
     assert table(blocks.key_value_by_block(events, 10, 10, keep_short=True)) == [(1, 0, 12), (2, 0, 99)]
+    found = blocks.chaos_index(events, 10, 10, keep_short=True)
+    assert table(found, "block", "players", "max_value") == [(0, 2, 1)]
+
+
+def test_the_open_block_can_be_kept(spark):
+    rows = [dict(player=1, ts=t, key_index=t) for t in (0, 6, 12, 18, 19)]
+    events = make(spark, rows)
+    closed = blocks.key_change_per_player(events, 10, 10)
+    assert table(closed, "block", "change", "times") == [(0, 12, 2)]
+    found = blocks.key_change_per_player(events, 10, 10, keep_open=True)
+    assert table(found, "block", "change", "times") == [(0, 12, 2), (1, 7, 2)]
 
 
 @pytest.mark.parametrize("seed", SEEDS)
@@ -237,13 +248,27 @@ def test_long_run_is_left_out(spark):
     assert table(episodes.repeat_runs(make(spark, rows)), "player", "repeats", "duration") == [(2, 2, 599)]
 
 
+def test_runs_up_to_the_next_action(spark):
+    clicks = [(0, "a"), (5, "a"), (9, "b"), (20, "a"), (30, "a"), (40, "a")]
+    events = make(spark, [dict(player=1, ts=t, action=a) for t, a in clicks[:4]] + [dict(player=2, ts=t, action=a) for t, a in clicks])
+    found = table(episodes.repeat_runs(events, None, to_next=True), "player", "repeats", "duration", "preceding")
+    # Player 1's run ends at the next action; player 2's longest is the last one and ends at its last click.
+    assert found == [(1, 1, 9, None), (2, 2, 20, "b")]
+
+
+def test_enter_ratio_of_each_day(spark):
+    rows = [dict(player=p, ts=t, action=a) for p, t, a in ((1, 1, "in"), (2, 2, "a"), (2, 86_400, "in"), (3, 2 * 86_400 + 1, "in"))]
+    found = table(episodes.ui_enter_ratio_by_day(make(spark, rows), "in", 0, 2))
+    assert found == [(0, 2, 1, 0.5), (1, 0, 0, -1.0), (2, 1, 1, 1.0)]
+
+
 @pytest.mark.parametrize("seed", SEEDS)
 @pytest.mark.parametrize("chunk", CHUNKS)
 def test_payers_conversion_and_stays(spark, seed, chunk):
     rows = random_rows(seed, players=7)
     events, histories = make(spark, rows), by_player(rows)
     wanted = {p: twins.payers(h, "pay", 4, 3) for p, h in histories.items()}
-    found = dict(table(episodes.find_payers(events, ["pay"], 4, 3, chunk_secs=chunk)))
+    found = dict(table(episodes.find_payers(events, ["pay"], 4, 3, grain=chunk)))
     assert found == {p: s for p, s in wanted.items() if s is not None}
     wanted = sorted((p, a, n) for p, h in histories.items() for a, n in twins.before_conversion(h, {"pay"}).items())
     assert table(episodes.pre_conversion_actions(events, ["pay"], chunk)) == wanted
@@ -292,7 +317,7 @@ def test_growth(spark, seed, chunk):
                             total += max((r["key_index"] - last) * (1 if rise else -1), 0)
                             last = r["key_index"]
                     wanted.append((p, total))
-                found = growth.cumulative_change(events, lo, hi, rise, baseline, chunk_secs=chunk)
+                found = growth.cumulative_change(events, lo, hi, rise, baseline, grain=chunk)
                 assert table(found) == sorted(wanted)
 
 
@@ -314,7 +339,7 @@ def test_poly_trend_fits_a_polynomial(spark):
     rows = [dict(player=1, ts=i, key_index=2 * i**3 - i + 4) for i in range(40)]
     rows += [dict(player=2, ts=i, key_index=7) for i in range(3)]
     for chunk in (3, 1000):
-        found = {r["player"]: r for r in growth.poly_trend(make(spark, rows), chunk_secs=chunk).collect()}
+        found = {r["player"]: r for r in growth.poly_trend(make(spark, rows), grain=chunk).collect()}
         assert [found[1][f"poly_{k}"] for k in (4, 3, 2, 1, 0)] == pytest.approx([0, 2, 0, -1, 4], abs=1e-4)
         x = 1
         assert sum(found[2][f"poly_{k}"] * x**k for k in range(5)) == pytest.approx(7)

@@ -78,17 +78,35 @@ def features(spark, n=240):
 
 def test_folds_are_even_and_stratified(spark):
     df = features(spark, 101)
-    for chunk in (7, 1000):
-        kept = models.stratified_folds(df, "label", ["id"], 6, chunk)
+    # Whole numbers that lie far apart, and text, as the order.
+    for order in ("id", "wide", "name"):
+        ordered = df.withColumn("wide", F.col("id") * 10**15).withColumn("name", F.format_string("n%05d", "id"))
+        kept = models.stratified_folds(ordered, "label", [order], 6)
         sizes = kept.groupBy("label", "fold").count().collect()
         assert len(sizes) == 12 and {r["count"] for r in sizes} <= {8, 9}
-        parts = [r["fold"] for r in models.kfold(df, ["id"], 10, chunk).orderBy("id").collect()]
+        parts = [r["fold"] for r in models.kfold(ordered, [order], 10).orderBy("id").collect()]
         assert parts == [int(i) for i in np.repeat(range(10), [11] + [10] * 9)]
     train, test = models.random_split(df, ["id"])
     again, _ = models.random_split(df.repartition(5), ["id"])
     assert train.count() + test.count() == 101 and table(train) == table(again)
 
 
+def test_clusters_of_flags_with_silhouettes(spark):
+    df = features(spark).withColumn("flag", F.col("label") == 1)
+    found = models.kmeans_sweep(df, ["flag", "x"], (2, 3)).collect()
+    assert [(r["k"], r["cluster"]) for r in found] == [(2, 0), (2, 1), (3, 0), (3, 1), (3, 2)]
+    for r in found:
+        assert r["size"] > 0 and -1 <= r["silhouette"] <= 1
+        mine = [x for x in found if x["k"] == r["k"]]
+        assert r["mean_silhouette"] == pytest.approx(sum(x["size"] * x["silhouette"] for x in mine) / 240)
+    assert sorted(round(r["flag"]) for r in found[:2]) == [0, 1]
+
+
+def test_categories_are_ranked_with_nulls_last(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["b", None, "a", "b", "c", None])], "id int, t string")
+    assert table(models.encode_categories(df)) == [(0, 1), (1, 3), (2, 0), (3, 1), (4, 2), (5, 3)]
+
+
 def test_scores_against_numpy(spark):
     df = features(spark)
     data = {c: np.array([r[c] for r in df.orderBy("id").collect()]) for c in ("label", "x", "noise")}
@@ -112,7 +130,16 @@ def test_scores_against_numpy(spark):
 
 def test_models_on_planted_data(spark):
     df = features(spark)
-    report = models.classify_users(df, ["id"], "label", ["x", "noise"], folds=2, trees=10, chunk=50)
+    report = models.classify_users(df, ["id"], "label", ["x", "noise"], folds=2, trees=10)
+    balanced = models.classify_users(df, ["id"], "label", ["x", "noise"], folds=2, trees=10, balance=True).collect()
+    assert len(balanced) == 6 and all(r["accuracy"] > 0.7 for r in balanced)
+    folded = models.assemble(models.stratified_folds(df, "label", ["id"], 3), ["x", "noise"], "label", ["fold"])
+    confusion = models.fold_confusion(models.cross_validate(models.decision_tree(), folded, 3)[0]).collect()
+    assert sum(r["rows"] for r in confusion) == 240 and {r["fold"] for r in confusion} == {0, 1, 2}
+    for r in confusion:
+        mine = [x for x in confusion if x["fold"] == r["fold"]]
+        right = sum(x["rows"] for x in mine if x["label"] == x["prediction"])
+        assert r["accuracy"] == pytest.approx(right / sum(x["rows"] for x in mine))
     rows = report.collect()
     assert len(rows) == 6 and all(r["accuracy"] > 0.75 for r in rows)
     model = models.decision_tree().fit(models.assemble(df, ["x", "noise"], "label"))

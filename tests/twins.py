@@ -69,22 +69,19 @@ def episode(history, enter, leave, window, limit):
 
 
 def stays(history, enter, leave, limit, window):
-    found, entered, steps, previous = [], None, 0, None
-    for row in history:
-        step = 0 if previous is None else row["ts"] - previous
-        if entered is None:
-            if row["action"] == enter:
-                entered, steps = row["ts"], 0
-        else:
-            steps += 1
-            if row["action"] == leave:
-                if step <= limit:
-                    found.append(row["ts"] - entered)
-                entered = None
-            elif steps >= window or step > limit:
-                found.append(previous - entered)
-                entered = None
-        previous = row["ts"]
+    ts, actions = [r["ts"] for r in history], [r["action"] for r in history]
+    found, at = [], 0
+    while enter in actions[at:]:
+        start = actions.index(enter, at)
+        ends = (j for j in range(start + 1, len(ts)) if actions[j] == leave or ts[j] - ts[j - 1] > limit or j - start == window)
+        end = next(ends, None)
+        if end is None:
+            break
+        if actions[end] != leave:
+            found.append(ts[end - 1] - ts[start])
+        elif ts[end] - ts[end - 1] <= limit:
+            found.append(ts[end] - ts[start])
+        at = end + 1
     return found
 
 
