@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import settle
 from .common import text_of
 from .links import components
+from .places import PATH, ROW, with_places, without
 
 BITS = 64
 SEED = 42
@@ -56,18 +57,19 @@ def fingerprint(text: str, size: int) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp``: the fingerprint of every row as a signed long with the same bits."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fingerprints(
+    docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``id, fp`` and the ``carry`` columns: the fingerprint of every row as a signed long with the same bits."""
+    given = docs.select(F.col(id_col).alias("id"), *carry, text_of(text_col).alias("text"))
+    kinds = dict(given.dtypes)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = np.array([fingerprint(t, size) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"id": batch["id"], "fp": found.view(np.int64)})
+            yield batch[["id", *carry]].assign(fp=found.view(np.int64))
 
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInPandas(
-        score, f"id {kind}, fp bigint"
-    )
+    return given.mapInPandas(score, f"id {kinds['id']}, {''.join(f'{c} {kinds[c]}, ' for c in carry)}fp bigint")
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -113,23 +115,42 @@ def links_within(points: DataFrame, radius: int) -> DataFrame:
     return met.select(F.array_min("met").alias("u"), F.explode("met").alias("v")).where("u <> v").distinct()
 
 
+def _classes(rows: DataFrame, radius: int) -> DataFrame:
+    """``point, root``: the smallest fingerprint that each fingerprint of ``rows`` reaches over links."""
+    points = settle(rows.select("fp").distinct(), "points")
+    linked = components(links_within(points, radius))
+    found = points.join(linked, points["fp"] == linked["node"], "left")
+    return settle(found.select(F.col("fp").alias("point"), F.coalesce("root", "fp").alias("root")), "classes")
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``id, fp, component``: each row's fingerprint and the smallest id reachable over links."""
     rows = settle(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    points = settle(rows.groupBy("fp").agg(F.min("id").alias("first")), "points")
-    linked = components(links_within(points, radius))
-    classes = points.join(linked, points["fp"] == linked["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    firsts = classes.groupBy("root").agg(F.min("first").alias("component"))
-    named = settle(
-        classes.join(firsts, "root").select(F.col("fp").alias("point"), "component"), "classes"
-    )
+    classes = _classes(rows, radius)
+    least = rows.groupBy("fp").agg(F.min("id").alias("first"))
+    firsts = least.join(classes, F.col("fp") == F.col("point")).groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component"))
+    named = settle(classes.join(firsts, F.col("root") == F.col("r")).select("point", "component"), "components")
     return rows.join(named, F.col("fp") == F.col("point")).select("id", "fp", "component")
 
 
+def one_of_each(docs: DataFrame, size: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the row with the smallest id, with all its columns; a null id comes last.
+
+    Of several rows with that id one stays. Only rows that go, and a few others, are moved to be told apart.
+    """
+    held = with_places(docs)
+    rows = settle(fingerprints(held, size, id_col, text_col, (PATH, ROW)), "fingerprints")
+    classes = _classes(rows, radius)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", PATH, ROW)
+    # Reduced by fingerprint first: a group of copies is one row when it meets its class.
+    least = rows.groupBy("fp").agg(F.min(order).alias("first"))
+    firsts = least.join(classes, F.col("fp") == F.col("point")).groupBy("root").agg(F.min("first").alias("first"))
+    stay = firsts.select(F.col(f"first.{PATH}").alias(PATH), F.col(f"first.{ROW}").alias(ROW))
+    return without(held, settle(rows.select(PATH, ROW).join(stay, [PATH, ROW], "left_anti"), "dropped"))
+
+
 # Near copies at a stated similarity of whole texts ----------------------------------------------
 #
 # At a shingle similarity of 0.8 the fingerprints of whole texts differ in some ten bits, which no

@@ -44,6 +44,35 @@ def test_exact_carries_clashing_columns_and_empty_tables(odd, none):
     assert exact.deduplicate(none).count() == 0
 
 
+def test_two_deliveries_through_one_store_equal_one(spark, odd, tmp_path):
+    rows = odd.collect()
+    order = lambda df: sorted(map(str, df.select("doc_id", "keep_id", "group_size", "kept", "digest").collect()))
+    want = order(exact.deduplicate(odd))
+    store = str(tmp_path / "store")
+    first = spark.createDataFrame(rows[:9], odd.schema)
+    assert order(exact.deduplicate(first, store=store)) == order(exact.deduplicate(first))
+    # Each call starts the stream anew from the state that the one before left in the folder.
+    second = spark.createDataFrame(rows[9:], odd.schema)
+    assert order(exact.deduplicate(second, store=store)) == want
+    nothing = spark.createDataFrame([], odd.schema)
+    assert order(exact.deduplicate(nothing, store=store)) == want
+
+
+def test_rows_that_stay(spark, odd, none, tmp_path):
+    path = str(tmp_path / "docs")
+    odd.write.parquet(path)
+    weak = lambda text: F.unhex(F.lpad(F.hex(F.pmod(F.crc32(text.cast("binary")), F.lit(3))), 2, "0"))
+    last = {}
+    for r in odd.collect():
+        last[r.text or ""] = max(last.get(r.text or "", -1), -1 if r.doc_id is None else r.doc_id)
+    for docs in (odd, spark.read.parquet(path)):
+        for digest in (exact.sha256, weak):
+            got = exact.distinct_rows(docs, digest=digest)
+            assert got.columns == odd.columns
+            assert sorted((r.text or "", -1 if r.doc_id is None else r.doc_id) for r in got.collect()) == sorted(last.items())
+    assert exact.distinct_rows(none).count() == 0
+
+
 def slow_fingerprint(text: str, size: int) -> int:
     import xxhash
 
@@ -76,6 +105,34 @@ def test_fingerprints_and_components(odd):
     assert sorted((str(r.id), r.fp % 2**64, str(r.component)) for r in got) == want
 
 
+def test_one_row_of_each_component(spark, none, tmp_path):
+    rng, rows = random.Random(7), []
+    for k in range(12):
+        base = prose(60 + k, 120).split()
+        for _ in range(rng.randrange(1, 5)):
+            words = list(base)
+            if rng.random() < 0.6:
+                words[rng.randrange(120)] = "changed"
+            rows.append((rng.choice([None, 3, 8, len(rows) + 20]), " ".join(words), "x"))
+    rows += [(None, None, "y"), (4, "", "y"), (4, "", "y")]
+    prints = [slow_fingerprint(t or "", 3) for _, t, _ in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    root = classes(pairs)
+    least = defaultdict(list)
+    for i, (doc_id, _, _) in enumerate(rows):
+        least[root.get(i, i)].append((doc_id is None, doc_id or 0))
+    want = sorted(min(ids) for ids in least.values())
+    assert len(want) < len(rows) - 10
+    schema, path = "doc_id bigint, text string, _place_row string", str(tmp_path / "docs")
+    spark.createDataFrame(rows, schema).repartition(3).drop("_place_row").write.parquet(path)
+    for docs in (spark.createDataFrame(rows, schema).drop("_place_row").repartition(3), spark.read.parquet(path)):
+        got = simhash.one_of_each(docs, 3, 2).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == want
+        kept = {root.get(i, i) for r in got for i, row in enumerate(rows) if row[:2] == (r.doc_id, r.text)}
+        assert len(kept) == len(want)
+    assert simhash.one_of_each(none).count() == 0
+
+
 def test_links_within_a_radius_miss_nothing(spark):
     rng = random.Random(4)
     points = {rng.getrandbits(64) for _ in range(60)}
