@@ -13,12 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playmetrics.llm import exact, mixing, pieces, quality, simhash
-from playmetrics.llm.common import columns_free
 from playmetrics.llm.queries import MIX_EXPONENT, MIX_SEED, MIX_TOTAL
 from playmetrics.sources.tables import settle
 
-#: Words in a shingle, and the share of common shingles from which documents count as near copies.
-SHINGLE, SIMILARITY = 5, 0.8
+#: Words in a shingle, and the bits in which fingerprints of near copies may differ.
+SHINGLE, RADIUS = 3, 2
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,20 +27,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id."""
-    found = exact.deduplicate(docs, carry=True)
-    return found.where(F.col(found.columns[-2])).select(*docs_columns(docs))
+    return exact.distinct_rows(docs)
 
 
 def keep_one_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the row with the smallest id (a null id comes last); one row stays
+    """Of documents linked by fingerprints the row with the smallest id (a null id comes last); one row stays
     where several share it."""
-    row, here = columns_free(docs, "row", "here")
-    rows = settle(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    classes = simhash.near_copies(rows, SIMILARITY, SHINGLE, id_col=row)
-    named = rows.select(F.col("doc_id"), F.col(row).alias(here)).join(classes, F.col(here) == F.col("id"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col(here).alias("r"))
-    first = named.groupBy("component").agg(F.min(order)["r"].alias(here))
-    return rows.join(first.select(here), F.col(row) == F.col(here), "left_semi").select(*docs_columns(docs))
+    return simhash.one_of_each(docs, SHINGLE, RADIUS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +49,6 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
-def docs_columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 STAGES = [
     ("quality", keep_quality),
     ("exact", keep_distinct),
