@@ -1,17 +1,18 @@
-"""Nodes of HTML pages as a table.
+"""Nodes of HTML pages.
 
-Pages are parsed once, in the tasks that hold them, into a node table; everything else is
-filters and windows over the nodes of one page.
+A page is parsed once, in the task that holds it, into one row: its text and an array of nodes.
+Each node carries interval labels, the last node below it and where its text starts and stops in the page's
+text, so children, descendants and siblings are conditions on one array and a node's text is cut out of the
+page's after the choice.  Nothing is shuffled, and a text is held once, not once per level.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Elements that never have content.
@@ -19,11 +20,15 @@ VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 
-OUT_ROWS = 20_000
+#: Nodes that are handed over together.
+OUT_NODES = 20_000
 
-NODE_SCHEMA = (
-    "page_id bigint, node int, parent int, pos int, depth int, last int, tag string, "
-    "attrs map<string,string>, text string"
+NODE = (
+    "struct<node:int,parent:int,pos:int,depth:int,last:int,start:int,stop:int,tag:string,attrs:map<string,string>>"
+)
+ARROW_NODE = pa.struct(
+    [(name, pa.int32()) for name in ("node", "parent", "pos", "depth", "last", "start", "stop")]
+    + [("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))]
 )
 
 
@@ -36,94 +41,106 @@ class _Nodes(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
+        self.rows: list[dict] = []
         self.open: list[int] = []
         self.children: dict[int, int] = {}
+        self.texts: list[str] = []
+        self.size = 0
 
-    def _add(self, tag: str | None, attrs: dict | None, text: str | None) -> int:
+    def _add(self, tag: str | None, attrs: dict | None) -> int:
         node = len(self.rows)
         parent = self.open[-1] if self.open else -1
         pos = self.children.get(parent, 0)
         self.children[parent] = pos + 1
-        self.rows.append([node, parent, pos, len(self.open), node, tag, attrs, text])
+        named = None if attrs is None else list(attrs.items())
+        self.rows.append(
+            dict(node=node, parent=parent, pos=pos, depth=len(self.open), last=node, start=self.size, stop=self.size, tag=tag, attrs=named)
+        )
         return node
 
     def handle_starttag(self, tag, attrs):
-        node = self._add(tag, {k: v or "" for k, v in reversed(attrs)}, None)
+        node = self._add(tag, {k: v or "" for k, v in reversed(attrs)})
         if tag not in VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self._add(tag, {k: v or "" for k, v in reversed(attrs)}, None)
+        self._add(tag, {k: v or "" for k, v in reversed(attrs)})
 
     def handle_endtag(self, tag):
         for at in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[at]][5] == tag:
+            if self.rows[self.open[at]]["tag"] == tag:
                 self._close(at)
                 return
 
     def handle_data(self, data):
         before = self.rows[-1] if self.rows else None
         inside = self.open[-1] if self.open else -1
-        if before and before[5] is None and before[1] == inside and before[0] == len(self.rows) - 1:
-            before[7] += data
-        else:
-            self._add(None, None, data)
+        if not (before and before["tag"] is None and before["parent"] == inside):
+            self._add(None, None)
+        self.texts.append(data)
+        self.size += len(data)
+        self.rows[-1]["stop"] = self.size
 
     def _close(self, at: int) -> None:
         last = len(self.rows) - 1
         for node in self.open[at:]:
-            self.rows[node][4] = last
+            self.rows[node]["last"], self.rows[node]["stop"] = last, self.size
         del self.open[at:]
 
-    def finish(self, text_of: frozenset[str] | None) -> list[list]:
-        """All nodes; elements (of the wanted tags) get the text below them, in order."""
+    def finish(self) -> list[dict]:
         self.close()
         self._close(0)
-        texts = [(row[0], row[7]) for row in self.rows if row[5] is None]
-        starts = [node for node, _ in texts]
-        for row in self.rows:
-            if row[5] is not None and (text_of is None or row[5] in text_of):
-                a, b = bisect_left(starts, row[0]), bisect_right(starts, row[4])
-                row[7] = "".join(text for _, text in texts[a:b])
         return self.rows
 
 
-def page_nodes(pages: DataFrame, text_of: Sequence[str] | None = None) -> DataFrame:
-    """Node table of ``pages(page_id, html)``.
-
-    Every element carries the whole text below it, which repeats text once per level; name the
-    tags whose text is needed in ``text_of`` to leave it out of the others.
+def page_trees(pages: DataFrame) -> DataFrame:
+    """``page_id, plain, nodes`` of ``pages(page_id, html)``, one row per page; a null page has no nodes.
 
-    ``node`` numbers nodes in document order, ``last`` is the last node below, ``pos`` the
-    position among the parent's children, ``parent`` -1 at the top.  Text nodes have no tag.
+    ``plain`` is the text of all text nodes in order.  ``node`` numbers nodes in document order, ``last`` is
+    the last node below, ``pos`` the position among the parent's children, ``parent`` -1 at the top,
+    ``start`` and ``stop`` the node's text in ``plain``.  Text nodes have no tag.
     """
 
-    columns = ["page_id", "node", "parent", "pos", "depth", "last", "tag", "attrs", "text"]
-    wanted = None if text_of is None else frozenset(text_of)
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page, html in zip(batch["page_id"].tolist(), batch["html"].tolist()):
-                if html is not None:
-                    parser = _Nodes()
-                    parser.feed(html)
-                    out.extend((page, *row) for row in parser.finish(wanted))
-                if len(out) >= OUT_ROWS:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-        if out:
-            yield pd.DataFrame(out, columns=columns)
+            pending, size = [], 0
+
+            def out():
+                ids, plain, nodes = zip(*pending, strict=True)
+                columns = [pa.array(ids, pa.int64()), pa.array(plain, pa.string()), pa.array(nodes, pa.list_(ARROW_NODE))]
+                return pa.RecordBatch.from_arrays(columns, ["page_id", "plain", "nodes"])
+
+            for page, html in zip(batch["page_id"].to_pylist(), batch["html"].to_pylist(), strict=True):
+                parser = _Nodes()
+                parser.feed(html or "")
+                pending.append((page, "".join(parser.texts) if html is not None else None, parser.finish()))
+                size += len(parser.rows)
+                if size >= OUT_NODES:
+                    yield out()
+                    pending, size = [], 0
+            if pending:
+                yield out()
+
+    given = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html")
+    return given.mapInArrow(parse, f"page_id bigint, plain string, nodes array<{NODE}>")
+
+
+def _text(node: Column) -> Column:
+    return F.substring("plain", node["start"] + 1, node["stop"] - node["start"])
 
-    return pages.select("page_id", "html").mapInPandas(parse, NODE_SCHEMA)
 
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """The nodes of `page_trees` as rows, with their text."""
+    trees = page_trees(pages)
+    found = trees.select("page_id", "plain", F.explode("nodes").alias("n"))
+    return found.select("page_id", "n.node", "n.parent", "n.pos", "n.depth", "n.last", "n.tag", "n.attrs", _text(F.col("n")).alias("text"))
 
-def _has(tag: str | None, attrs: Mapping[str, str] | None) -> Column:
+
+def _has(node: Column, tag: str | None, attrs: Mapping[str, str] | None = None) -> Column:
     """Tag name and attribute values; a class matches any word of the attribute."""
-    test = F.col("tag") == tag if tag else F.col("tag").isNotNull()
+    test = node["tag"] == tag if tag else node["tag"].isNotNull()
     for name, value in (attrs or {}).items():
-        held = F.element_at("attrs", F.lit(name))
+        held = F.element_at(node["attrs"], F.lit(name))
         if name == "class":
             test = test & (F.array_contains(F.split(held, r"\s+"), value) | (held == value))
         else:
@@ -131,73 +148,63 @@ def _has(tag: str | None, attrs: Mapping[str, str] | None) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def _page():
-    return Window.partitionBy("page_id")
+def _first(tag: str | None, attrs: Mapping[str, str] | None = None, nodes: str | Column = "nodes") -> Column:
+    return F.get(F.filter(nodes, lambda n: _has(n, tag, attrs)), F.lit(0))
 
 
-def page_heading(pages: DataFrame, nodes: DataFrame | None = None, tag: str = "h1") -> DataFrame:
-    """Text of the first heading inside the body of each page; null where there is none."""
-    nodes = page_nodes(pages, [tag]) if nodes is None else nodes
-    heads = F.collect_list(F.when(_has(tag, None), F.struct("node", "text")))
-    found = (
-        nodes.where(_has("body", None) | _has(tag, None))
-        .groupBy("page_id")
-        .agg(F.min(F.when(_has("body", None), F.struct("node", "last"))).alias("_body"), heads.alias("_heads"))
-    )
-    inside = F.filter("_heads", lambda h: (h["node"] > F.col("_body.node")) & (h["node"] <= F.col("_body.last")))
-    first = found.select("page_id", F.get(F.array_sort(inside), F.lit(0))["text"].alias("heading"))
-    return pages.select("page_id").join(first, "page_id", "left")
+def _below(node: Column, top: Column) -> Column:
+    return (node["node"] > top["node"]) & (node["node"] <= top["last"])
 
 
-def find_all(nodes: DataFrame, tag: str, attrs: Mapping[str, str] | None = None) -> DataFrame:
-    """Text of every matching node, numbered within its page from 0."""
-    number = F.row_number().over(_page().orderBy("node")) - 1
-    return nodes.where(_has(tag, attrs)).select("page_id", number.alias("match"), "node", "text")
+def page_heading(trees: DataFrame, tag: str = "h1") -> DataFrame:
+    """Text of the first heading inside the body of each page; null where there is none."""
+    heads = F.filter("nodes", lambda n: _has(n, tag) & _below(n, F.col("_body")))
+    first = trees.withColumn("_body", _first("body")).withColumn("_head", F.get(heads, F.lit(0)))
+    return first.select("page_id", _text(F.col("_head")).alias("heading"))
 
 
-def _with_first(nodes: DataFrame, tag: str, attrs: Mapping[str, str] | None) -> DataFrame:
-    """Nodes of the pages with a match; ``_m`` is the first match of the page."""
-    match = F.when(_has(tag, attrs), F.struct("node", "last", "parent", "pos", "depth"))
-    return nodes.withColumn("_m", F.min(match).over(_page())).where(F.col("_m").isNotNull())
+def find_all(trees: DataFrame, tag: str, attrs: Mapping[str, str] | None = None) -> DataFrame:
+    """Text of every matching node, numbered within its page from 0."""
+    matches = F.filter("nodes", lambda n: _has(n, tag, attrs))
+    found = trees.select("page_id", "plain", F.posexplode(matches).alias("match", "n"))
+    return found.select("page_id", "match", "n.node", _text(F.col("n")).alias("text"))
 
 
-def _below() -> Column:
-    return (F.col("node") > F.col("_m.node")) & (F.col("node") <= F.col("_m.last"))
+def _with_first(trees: DataFrame, tag: str, attrs: Mapping[str, str] | None) -> DataFrame:
+    """Pages with a match; ``_m`` is the first match of the page."""
+    return trees.withColumn("_m", _first(tag, attrs)).where(F.col("_m").isNotNull())
 
 
-def children(nodes: DataFrame, tag: str, attrs: Mapping[str, str] | None = None) -> DataFrame:
+def children(trees: DataFrame, tag: str, attrs: Mapping[str, str] | None = None) -> DataFrame:
     """Nodes directly below the first match."""
-    below = _with_first(nodes, tag, attrs).where(F.col("parent") == F.col("_m.node"))
-    return below.select("page_id", "pos", "node", "tag", "text")
+    mine = F.filter("nodes", lambda n: n["parent"] == F.col("_m.node"))
+    below = _with_first(trees, tag, attrs).select("page_id", "plain", F.explode(mine).alias("n"))
+    return below.select("page_id", "n.pos", "n.node", "n.tag", _text(F.col("n")).alias("text"))
 
 
-def descendants(nodes: DataFrame, tag: str, attrs: Mapping[str, str] | None = None) -> DataFrame:
+def descendants(trees: DataFrame, tag: str, attrs: Mapping[str, str] | None = None) -> DataFrame:
     """All nodes below the first match, with their depth below it."""
-    below = _with_first(nodes, tag, attrs).where(_below())
-    return below.select("page_id", (F.col("depth") - F.col("_m.depth")).alias("level"), "node", "tag", "text")
+    mine = F.filter("nodes", lambda n: _below(n, F.col("_m")))
+    below = _with_first(trees, tag, attrs).select("page_id", "plain", "_m", F.explode(mine).alias("n"))
+    return below.select(
+        "page_id", (F.col("n.depth") - F.col("_m.depth")).alias("level"), "n.node", "n.tag", _text(F.col("n")).alias("text")
+    )
 
 
 def next_siblings(
-    nodes: DataFrame, tag: str, attrs: Mapping[str, str] | None = None, child: str = "tr"
+    trees: DataFrame, tag: str, attrs: Mapping[str, str] | None = None, child: str = "tr"
 ) -> DataFrame:
     """Siblings after the first ``child`` element below the first match (any depth)."""
-    inner = F.when(_has(child, None) & _below(), F.struct("node", "parent", "pos"))
-    return (
-        _with_first(nodes, tag, attrs)
-        .withColumn("_c", F.min(inner).over(_page()))
-        .where((F.col("parent") == F.col("_c.parent")) & (F.col("pos") > F.col("_c.pos")))
-        .select("page_id", (F.col("pos") - F.col("_c.pos")).alias("step"), "node", "tag", "text")
+    inner = F.get(F.filter("nodes", lambda n: _has(n, child) & _below(n, F.col("_m"))), F.lit(0))
+    later = F.filter("nodes", lambda n: (n["parent"] == F.col("_c.parent")) & (n["pos"] > F.col("_c.pos")))
+    found = _with_first(trees, tag, attrs).withColumn("_c", inner).select("page_id", "plain", "_c", F.explode(later).alias("n"))
+    return found.select(
+        "page_id", (F.col("n.pos") - F.col("_c.pos")).alias("step"), "n.node", "n.tag", _text(F.col("n")).alias("text")
     )
 
 
-def previous_sibling_of_parent(nodes: DataFrame, tag: str, attrs: Mapping[str, str] | None = None) -> DataFrame:
+def previous_sibling_of_parent(trees: DataFrame, tag: str, attrs: Mapping[str, str] | None = None) -> DataFrame:
     """Text of the node just before the parent of the first match; null where there is none."""
-    above = F.when(F.col("node") == F.col("_m.parent"), F.struct("parent", "pos"))
-    before = (F.col("parent") == F.col("_p.parent")) & (F.col("pos") == F.col("_p.pos") - 1)
-    return (
-        _with_first(nodes, tag, attrs)
-        .withColumn("_p", F.min(above).over(_page()))
-        .where(F.col("_p").isNotNull())
-        .groupBy("page_id")
-        .agg(F.max(F.when(before, F.col("text"))).alias("text"))
-    )
+    found = _with_first(trees, tag, attrs).withColumn("_p", F.get("nodes", F.col("_m.parent"))).where(F.col("_p").isNotNull())
+    before = F.filter("nodes", lambda n: (n["parent"] == F.col("_p.parent")) & (n["pos"] == F.col("_p.pos") - 1))
+    return found.withColumn("_b", F.get(before, F.lit(0))).select("page_id", _text(F.col("_b")).alias("text"))

@@ -15,19 +15,19 @@ def pages(spark):
 
 
 def test_heading(spark):
-    found = dict(table(op.page_heading(pages(spark))))
+    found = dict(table(op.page_heading(op.page_trees(pages(spark)))))
     assert found == {1: "Big news & more", 2: None, 3: None, 4: None, 5: None}
 
 
 def test_find_all_by_class_and_id(spark):
-    nodes = op.page_nodes(pages(spark))
+    nodes = op.page_trees(pages(spark))
     assert table(op.find_all(nodes, "span", {"class": "green"}), "page_id", "match", "text") == [(1, 0, "one"), (1, 1, "two")]
     assert len(table(op.find_all(nodes, "table", {"id": "gifts"}))) == 1
     assert table(op.find_all(nodes, "p"), "page_id", "text") == [(1, "twotailthree"), (2, "x"), (5, "loose text")]
 
 
 def test_children_descendants_siblings(spark):
-    nodes = op.page_nodes(pages(spark))
+    nodes = op.page_trees(pages(spark))
     rows = table(op.children(nodes, "table", {"id": "gifts"}), "pos", "tag", "text")
     assert rows == [(0, "tr", "Item"), (1, "tr", "Vase$5"), (2, "tr", "Jar")]
     below = table(op.descendants(nodes, "table", {"id": "gifts"}), "level", "tag")
@@ -39,10 +39,22 @@ def test_children_descendants_siblings(spark):
     assert table(op.previous_sibling_of_parent(nodes, "th")) == [(1, None)]
 
 
-def test_text_only_of_named_tags(spark):
-    nodes = op.page_nodes(pages(spark), ["h1"])
-    kept = {r["tag"] for r in nodes.where("text is not null and tag is not null").collect()}
-    assert kept == {"h1"}
+def test_nodes_as_rows(spark):
+    rows = table(op.page_nodes(pages(spark)).where("page_id = 5"), "node", "parent", "depth", "last", "tag", "text")
+    assert rows == [(0, -1, 0, 1, "p", "loose text"), (1, 0, 1, 1, None, "loose text")]
+
+
+def test_relations_need_no_shuffle(spark):
+    nodes = op.page_trees(pages(spark))
+    for found in (op.page_heading(nodes), op.find_all(nodes, "p"), op.children(nodes, "tr"), op.descendants(nodes, "p"),
+                  op.next_siblings(nodes, "table"), op.previous_sibling_of_parent(nodes, "p")):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_deep_page_holds_its_text_once(spark):
+    deep = spark.createDataFrame([(1, "<div>" * 3000 + "word " * 2000 + "</div>" * 3000)], "page_id bigint, html string")
+    found = op.descendants(op.page_trees(deep), "div").where("level > 2990").collect()
+    assert len(found) == 10 and all(len(r["text"]) == 10_000 for r in found)
 
 
 def test_descendants_query_has_the_text_of_elements(spark, tmp_path):

@@ -37,3 +37,24 @@ def test_nulls_and_whole_table(spark):
     assert (row["n"], row["p50"]) == (2, 2.0)
     approx = group_stats(df, [], ["v"], approx=True).collect()[0]
     assert approx["p50"] in (1.0, 3.0)
+
+
+def test_three_exchanges_and_no_window_over_all_values(spark, tmp_path):
+    rng = random.Random(2)
+    path = str(tmp_path / "values")
+    spark.createDataFrame([(rng.random(), rng.random()) for _ in range(3000)], "v double, w double").write.parquet(path)
+    df = group_stats(spark.read.parquet(path), [], ["v", "w"], (0.25, 0.5))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("Exchange" in line and "Broadcast" not in line for line in plan.splitlines()) <= 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_small_groups_with_null_keys(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, 1, 2, 3, 4]), rng.choice([None, 1.0, 2.0, 5.0])) for _ in range(40)]
+    found = {r["g"]: r for r in group_stats(spark.createDataFrame(rows, "g int, v double"), ["g"], ["v"], (0.1, 0.25, 0.75)).collect()}
+    for g in {g for g, v in rows if v is not None}:
+        mine = [v for h, v in rows if h == g and v is not None]
+        for q, name in ((0.1, "p10"), (0.25, "p25"), (0.75, "p75")):
+            assert found[g][name] == pytest.approx(np.quantile(mine, q), abs=1e-12)
