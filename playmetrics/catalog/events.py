@@ -647,14 +647,37 @@ def _(spark, sf):
     return growth.first_last_diff(full_log(spark, sf), ["key_index", "power"])
 
 
-@query("poly_trend")
+def _poly_sql(final: str) -> str:
+    """The fit by the polynomials that are orthogonal over n even positions, p[k+1] = x p[k] - b[k] p[k-1]."""
+    return f"""WITH {LOG}, placed AS (SELECT player, key_index AS y, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY player) AS n
+      FROM log WINDOW w AS (PARTITION BY player ORDER BY ts, event_id)),
+    b AS (SELECT *, place - (n - 1) / 2 AS x, (n * n - 1) / 12 AS b1, 4 * (n * n - 4) / 60 AS b2, 9 * (n * n - 9) / 140 AS b3, 16 * (n * n - 16) / 252 AS b4 FROM placed),
+    p AS (SELECT *, x * x - b1 AS p2, x * x * x - (b1 + b2) * x AS p3, x * x * x * x - (b1 + b2 + b3) * x * x + b1 * b3 AS p4 FROM b),
+    c AS (SELECT player, n, any_value(b1) AS b1, any_value(b2) AS b2, any_value(b3) AS b3, sum(y) / n AS c0, CASE WHEN n > 1 THEN sum(y * x) / (n * any_value(b1)) ELSE 0 END AS c1,
+      CASE WHEN n > 2 THEN sum(y * p2) / (n * any_value(b1 * b2)) ELSE 0 END AS c2, CASE WHEN n > 3 THEN sum(y * p3) / (n * any_value(b1 * b2 * b3)) ELSE 0 END AS c3,
+      CASE WHEN n > 4 THEN sum(y * p4) / (n * any_value(b1 * b2 * b3 * b4)) ELSE 0 END AS c4 FROM p GROUP BY 1, 2),
+    m AS (SELECT player, (n - 1) / 2 AS m, c4 AS q4, c3 AS q3, c2 - c4 * (b1 + b2 + b3) AS q2, c1 - c3 * (b1 + b2) AS q1, c0 - c2 * b1 + c4 * b1 * b3 AS q0 FROM c),
+    fits AS (SELECT player, q4 AS poly_4, q3 - 4 * m * q4 AS poly_3, q2 - 3 * m * q3 + 6 * m * m * q4 AS poly_2,
+      q1 - 2 * m * q2 + 3 * m * m * q3 - 4 * m * m * m * q4 AS poly_1, q0 - m * q1 + m * m * q2 - m * m * m * q3 + m * m * m * m * q4 AS poly_0 FROM m)
+    {final}"""
+
+
+#: Decimals that the sums determine, whatever their order.
+POLY_PLACES = {"poly_4": 9, "poly_3": 7, "poly_2": 5, "poly_1": 4, "poly_0": 3}
+
+
+@query("poly_trend", _poly_sql(f"SELECT player, {', '.join(f'round({c}, {d}) AS {c}' for c, d in POLY_PLACES.items())} FROM fits"))
 def _(spark, sf):
-    return growth.poly_trend(log(spark, sf))
+    fits = growth.poly_trend(log(spark, sf))
+    return fits.select("player", *[F.round(c, d).alias(c) for c, d in POLY_PLACES.items()])
 
 
-@query("poly_trend_scaled")
+@query(
+    "poly_trend_scaled",
+    _poly_sql(f"SELECT player, {', '.join(f'round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}' for c in POLY_PLACES)} FROM fits"),
+)
 def _(spark, sf):
-    return growth.poly_trend(log(spark, sf), scaled=True)
+    return rounded(growth.poly_trend(log(spark, sf), scaled=True))
 
 
 def _ratio_side(side: int) -> str:

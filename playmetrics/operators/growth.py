@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
+from math import comb
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,26 +191,13 @@ def first_last_diff(events: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _solver(degree: int):
-    """Least squares from power sums on x in [-1, 1], coefficients moved to row positions."""
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = degree + 1
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                powers = np.array([getattr(row, f"x{i}") for i in range(2 * degree + 1)])
-                right = np.array([getattr(row, f"y{i}") for i in range(size)])
-                gram = powers[np.add.outer(np.arange(size), np.arange(size))]
-                fitted = np.linalg.lstsq(gram, right, rcond=None)[0]
-                scaled = np.poly1d(fitted[::-1])
-                half = max((row.rows - 1) / 2.0, 0.5)
-                moved = scaled(np.poly1d([1.0 / half, -1.0])).coeffs
-                padded = np.concatenate([np.zeros(size - len(moved)), moved])
-                out.append((row.player, *padded.tolist()))
-            yield pd.DataFrame(out, columns=["player", *[f"poly_{degree - i}" for i in range(size)]])
-
-    return solve
+def _shifted(scaled: list[Column], half: Column) -> list[Column]:
+    """Coefficients in ``position / half - 1`` (constant first) as coefficients in the position."""
+    out = []
+    for k in range(len(scaled)):
+        terms = [scaled[j] * F.lit(comb(j, k) * (-1.0) ** (j - k)) for j in range(k, len(scaled))]
+        out.append(sum(terms[1:], terms[0]) / F.pow(half, F.lit(float(k))))
+    return out
 
 
 def poly_trend(
@@ -219,9 +205,11 @@ def poly_trend(
 ) -> DataFrame:
     """Least-squares polynomial of a value over a player's row positions 0, 1, ....
 
-    Columns ``poly_<degree>`` .. ``poly_0``.  Spark sums the powers per player; only those sums
-    reach Python.  Players with fewer than ``degree + 1`` rows get the minimum-norm fit in the
-    scaled position.  ``scaled`` turns each coefficient into a z-score over players.
+    Columns ``poly_<degree>`` .. ``poly_0``.  Positions are evenly spaced, so the polynomials that are
+    orthogonal over them follow from their number alone: on x in [-1, 1], p[k+1] = x p[k] - b[k] p[k-1].
+    The fit is one sum of value times p[k] per player and k, over the known norm of p[k]; no system is
+    solved.  Players with fewer than ``degree + 1`` rows get the fit of the highest degree that their rows
+    determine.  ``scaled`` turns each coefficient into a z-score over players.
     """
     rows = running(
         events.select("player", "ts", "event_id", value),
@@ -229,16 +217,36 @@ def poly_trend(
         Total("rows", F.lit(1)),
         grain=grain,
     )
-    half = F.greatest((F.col("rows") - 1) / 2.0, F.lit(0.5))
-    x = (F.col("rn") - 1) / half - 1.0
-    y = F.col(value).cast("double")
-    sums = rows.groupBy("player").agg(
-        F.max("rows").alias("rows"),
-        *[F.sum(F.pow(x, F.lit(float(i)))).alias(f"x{i}") for i in range(2 * degree + 1)],
-        *[F.sum(F.pow(x, F.lit(float(i))) * y).alias(f"y{i}") for i in range(degree + 1)],
-    )
+    n, half = F.col("rows").cast("double"), F.col("_half")
+    # b[k] = k^2 (n^2 - k^2) / (4 (4 k^2 - 1)), in units of half the span.
+    ratio = lambda k: F.lit(k * k / (4.0 * (4 * k * k - 1))) * (n * n - k * k) / (half * half)
+    b, p = [F.col(f"_b{k}") for k in range(degree + 1)], [F.col(f"_p{k}") for k in range(degree + 1)]
+    named = rows.select("player", "rows", "rn", F.col(value).cast("double").alias("_y"), F.greatest((n - 1) / 2.0, F.lit(0.5)).alias("_half"))
+    named = named.withColumns({"_x": (F.col("rn") - 1 - (n - 1) / 2.0) / half, "_p0": F.lit(1.0)} | {f"_b{k}": ratio(k) for k in range(1, degree + 1)})
+    for k in range(1, degree + 1):
+        named = named.withColumn(f"_p{k}", F.col("_x") * p[k - 1] - b[k - 1] * p[k - 2] if k > 1 else F.col("_x"))
+    known = [f"_b{k}" for k in range(1, degree + 1)]
+    sums = named.groupBy("player", "rows", "_half", *known).agg(*[F.sum(F.col("_y") * p[k]).alias(f"_s{k}") for k in range(degree + 1)])
+    norm, weights = n, {}
+    for k in range(degree + 1):
+        norm = norm * b[k] if k else norm
+        weights[f"_w{k}"] = F.when(n > k, F.col(f"_s{k}") / norm).otherwise(F.lit(0.0))
+    # Each orthogonal polynomial written out in powers of x, then their weighted sum.
+    powers = [[F.lit(1.0)]]
+    for k in range(1, degree + 1):
+        raised = [F.lit(0.0), *powers[k - 1]]
+        powers.append([c - b[k - 1] * powers[k - 2][i] if k > 1 and i < k - 1 else c for i, c in enumerate(raised)])
+    fit = {
+        f"_f{i}": sum((F.col(f"_w{k}") * powers[k][i] for k in range(i + 1, degree + 1)), F.col(f"_w{i}") * powers[i][i])
+        for i in range(degree + 1)
+    }
+    fitted = sums.withColumns(weights).withColumns(fit)
     names = [f"poly_{degree - i}" for i in range(degree + 1)]
-    fits = sums.mapInPandas(_solver(degree), "player bigint, " + ", ".join(f"{n} double" for n in names))
-    if scaled:
-        return standardize(fits, names)
-    return fits
+    scaled_fit = [F.col(f"_f{i}") for i in range(degree + 1)]
+    # x is 0 in the middle; a single row is its own middle, at position 0.
+    moved = _shifted(scaled_fit, half)
+    single = F.col("rows") == 1
+    fits = fitted.select(
+        "player", *[F.when(single, scaled_fit[k]).otherwise(moved[k]).alias(f"poly_{k}") for k in range(degree, -1, -1)]
+    )
+    return standardize(fits, names) if scaled else fits

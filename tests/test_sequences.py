@@ -1,8 +1,10 @@
 """Sequence operators against the plain loops, on random logs and on hand-made edge rows."""
 
+import random
 from collections import Counter, defaultdict
 from statistics import mean, median
 
+import numpy as np
 import pytest
 
 from playmetrics.operators import blocks, episodes, growth, players, sessions
@@ -335,14 +337,17 @@ def test_days(spark):
     assert table(growth.nth_active_day(changes, events, "change", 3)) == [(1, 5, 15, 35), (2, 0, 0, 0), (3, 3, 0, 0)]
 
 
-def test_poly_trend_fits_a_polynomial(spark):
-    rows = [dict(player=1, ts=i, key_index=2 * i**3 - i + 4) for i in range(40)]
-    rows += [dict(player=2, ts=i, key_index=7) for i in range(3)]
-    for chunk in (3, 1000):
-        found = {r["player"]: r for r in growth.poly_trend(make(spark, rows), grain=chunk).collect()}
-        assert [found[1][f"poly_{k}"] for k in (4, 3, 2, 1, 0)] == pytest.approx([0, 2, 0, -1, 4], abs=1e-4)
-        x = 1
-        assert sum(found[2][f"poly_{k}"] * x**k for k in range(5)) == pytest.approx(7)
+def test_poly_trend_equals_a_least_squares_fit(spark):
+    rng = random.Random(6)
+    values = {1: [2 * i**3 - i + 4 for i in range(40)], 2: [rng.randrange(900) for _ in range(57)], 3: [rng.randrange(9) for _ in range(6)]}
+    values |= {4: [5, 9, 1], 5: [7, 3], 6: [8], 7: [4, 0, 2, 2]}
+    rows = [dict(player=p, ts=i, key_index=v) for p, mine in values.items() for i, v in enumerate(mine)]
+    for grain in (20, 1000):
+        found = {r["player"]: r for r in growth.poly_trend(make(spark, rows), grain=grain).collect()}
+        for p, mine in values.items():
+            degree = min(4, len(mine) - 1)
+            wanted = [0] * (4 - degree) + np.polyfit(range(len(mine)), mine, degree).tolist()
+            assert [found[p][f"poly_{k}"] for k in (4, 3, 2, 1, 0)] == pytest.approx(wanted, rel=1e-6, abs=1e-5)
 
 
 def test_players(spark):
