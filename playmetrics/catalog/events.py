@@ -852,7 +852,12 @@ def _(spark, sf):
     return streams.drain(streams.stream_sessions(_event_stream(spark, sf), GAP), "sessions")
 
 
-@query("stream_enter_ratio")
+@query(
+    "stream_enter_ratio",
+    f"""WITH {LOG} SELECT ts - ts % 86400 AS begin, count(DISTINCT player) AS active, count(DISTINCT player) FILTER (action = 'view') AS entered,
+    round(count(DISTINCT player) FILTER (action = 'view') / count(DISTINCT player), 6) AS ratio FROM log
+    WHERE ts - ts % 86400 + 86400 <= (SELECT max(ts) - 600 FROM log) GROUP BY 1""",
+)
 def _(spark, sf):
     return rounded(streams.drain(streams.stream_enter_ratio(_event_stream(spark, sf), "view"), "ratio"))
 

@@ -39,3 +39,17 @@ def test_enter_ratio(spark, tmp_path):
     stream = files(spark, tmp_path, closing(rows))
     found = streams.drain(streams.stream_enter_ratio(stream, "in"), "ratio")
     assert table(found)[0] == (0, 8, 4, 0.5)
+
+
+def test_enter_ratio_counts_players_once_and_drops_late_rows(spark, tmp_path):
+    day = 86_400
+    first = [dict(player=p % 5, ts=p * 60, event_id=p, action="in" if p % 5 == 3 else "a") for p in range(40)]
+    second = [dict(player=p, ts=day + 900 + p, event_id=100 + p, action="in") for p in range(3)]
+    # Comes two batches after the watermark has passed the first day.
+    between = [dict(player=1, ts=day + 1000, event_id=150, action="a")]
+    late = [dict(player=77, ts=50, event_id=200, action="in")]
+    for rows in (first, second, between, late, closing([])):
+        make(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    found = streams.drain(streams.stream_enter_ratio(stream, "in"), "ratio")
+    assert table(found) == [(0, 5, 1, 0.2), (day, 3, 3, 1.0)]
