@@ -29,10 +29,14 @@ from .common import columns_free, text_of
 from .places import PATH, ROW, sieve, sifted, with_places, without
 
 #: Session settings while the stream runs. Without fallocate a state partition takes the disk that its
-#: entries need; with it, each one reserves 4 MB however small it is.
+#: entries need; with it, each one reserves 4 MB however small it is. All state partitions of an executor share
+#: one bounded cache; else each holds write buffers of its own, which stay until it is unloaded.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
 }
 PLACE = "struct<id:{id},path:string,row:bigint>"
 
