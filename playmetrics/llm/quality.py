@@ -20,6 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import settle
 from .common import columns_free, text_of, words_of
 
 #: Characters of code, tables and markup.
@@ -93,20 +94,19 @@ RULES: dict[str, str] = {
 }
 
 
-def rule_order(
-    measured: DataFrame, rules: Mapping[str, str], sample_rows: int = 2_000, seed: int = 7
-) -> list[tuple[str, float, float]]:
+def sample_of(docs: DataFrame, text_col: str, rows: int, seed: int = 7) -> DataFrame:
+    """At most ``rows`` texts, a share of the rows by ``rand``, written once for all jobs that are timed on it."""
+    count = docs.count()
+    share = min(1.0, 1.2 * rows / max(count, 1))
+    return settle(docs.select(F.col(text_col)).where(F.rand(seed) < share).limit(rows), "rule-sample")
+
+
+def rule_order(sample: DataFrame, rules: Mapping[str, str]) -> list[tuple[str, float, float]]:
     """``(rule, cost, rejected share)`` in the order of rejections per cost.
 
-    ``measured`` has the columns that rules name, unevaluated. The sample is at most
-    ``sample_rows`` rows: a share of rows by ``rand``, then a limit. Cost is the time of a job that
-    evaluates one rule on the sample, less that of a job that evaluates none.
+    ``sample`` has the columns that rules name, unevaluated. Cost is the time of a job that evaluates one
+    rule on the sample, less that of a job that evaluates none.
     """
-    count = measured.count()
-    if not count:
-        return [(name, 0.0, 0.0) for name in rules]
-    share = min(1.0, 1.2 * sample_rows / count)
-    sample = measured.where(F.rand(seed) < share).limit(sample_rows)
 
     def timed(condition: str) -> tuple[float, float]:
         started = time.perf_counter()
@@ -144,11 +144,15 @@ def assess(
     underscores where a carried column has them. ``numbered`` adds a row number of that name.
     """
     text, words = "__text__", "__words__"
-    base = docs.select(*[F.col(f"`{c}`") for c in carry], text_of(text_col).alias(text))
-    base = base.withColumn(words, words_of(F.col(text)))
     known = measures(F.col(text), F.col(words))
     spare = {name: f"__{name}__" for name in known}
-    measured = base.select(*[F.col(f"`{c}`") for c in carry], *[column.alias(spare[name]) for name, column in known.items()])
+
+    def measure(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+        base = rows.select(*[F.col(f"`{c}`") for c in columns], text_of(text_col).alias(text))
+        base = base.withColumn(words, words_of(F.col(text)))
+        return base.select(*[F.col(f"`{c}`") for c in columns], *[column.alias(spare[name]) for name, column in known.items()])
+
+    measured = measure(docs, carry)
 
     def on_spare(condition: str) -> str:
         for name, other in spare.items():
@@ -156,7 +160,7 @@ def assess(
         return condition
 
     stated = {name: on_spare(condition) for name, condition in rules.items()}
-    order = rule_order(measured.select(*spare.values()), stated, sample_rows)
+    order = rule_order(measure(sample_of(docs, text_col, sample_rows), ()), stated)
     kept = cascade([stated[name] for name, _, _ in order])
     *named, verdict = columns_free(docs.select(*[F.col(f"`{c}`") for c in carry]), *show, "kept")
     return measured.select(
