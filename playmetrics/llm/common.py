@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One or more of the six ASCII white-space characters; words are what lies between.
@@ -39,3 +40,20 @@ def columns_free(df: DataFrame, *wanted: str) -> list[str]:
         used.add(name.lower())
         out.append(name)
     return out
+
+
+class Sent:
+    """A value for all tasks, its class included: workers need no copy of this package.
+
+    A plain broadcast names classes by their module, which a worker would have to import.
+    """
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self._packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        """The value, built once in a worker process."""
+        if not hasattr(self._packed, "built"):
+            self._packed.built = cloudpickle.loads(self._packed.value)
+        return self._packed.built

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_free, text_of
+from .common import Sent, columns_free, text_of
 
 MARK = "▁"
 #: Piece kinds of the model format.
@@ -387,7 +387,7 @@ def encode_documents(
     """
     spark = docs.sparkSession
     carry = ["doc_id"] if carry is None else carry
-    shared = spark.sparkContext.broadcast(model)
+    shared = Sent(spark, model)
     added = columns_free(docs.select(*[F.col(f"`{c}`") for c in carry]), "ids", "starts", "ends", "decoded")
     if not decode:
         added = added[:3]
