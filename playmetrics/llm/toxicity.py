@@ -8,9 +8,11 @@ of their own, which a sum of weights cannot give. The pair sum takes one pass ov
 
 The model is fitted in numpy on a bounded sample of labelled rows (``sample_rows``, the rows with the
 smallest id hash). Terms have weights if at least ``least_docs`` sampled rows hold them and their
-log-likelihood ratio against the labels reaches ``least_strength``, ``most_terms`` of them at most: the
-model that is broadcast has a fixed bound, and the mass of uninformative terms of a long text does
-not move its score. Training takes proximal AdaGrad steps.
+log-likelihood ratio against the labels reaches ``least_strength``, ``most_terms`` of them at most. A term that
+says nothing alone may tell beside another: the ``pair_terms`` most frequent terms are also tried in all pairs, and both
+terms of a pair get weights if the four cells of the pair tell ``pair_strength`` more than the two terms
+apart. So the model that is broadcast has a fixed bound, and the mass of uninformative terms of a long
+text does not move its score. Training takes proximal AdaGrad steps.
 
 Defined cases: a null or empty text is scored by the bias; unknown terms are passed by; a document
 labelled more than once is toxic if any of its labels says so, null labels are passed by; without labelled
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import settle
-from .common import columns_free, text_of
+from .common import Sent, columns_free, text_of
 
 TERM = re.compile(r"[^\W_]+")
 HASH_BITS = 48
@@ -149,6 +151,38 @@ def association(toxic: Column, docs: Column, all_toxic: int, all_docs: int) -> C
     return 2 * sum((F.when(seen > 0, seen * F.log(seen / due)).otherwise(F.lit(0.0)) for seen, due in cells), F.lit(0.0))
 
 
+def _llr(toxic: np.ndarray, docs: np.ndarray, share: float) -> np.ndarray:
+    """Twice the log-likelihood that cells of ``docs`` rows gain by a share of their own."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = toxic * np.log(toxic / (docs * share)), (docs - toxic) * np.log((docs - toxic) / (docs * (1 - share)))
+    return 2 * sum(np.where(np.isfinite(p), p, 0.0) for p in parts)
+
+
+def telling_pairs(terms: list[np.ndarray], labels: np.ndarray, tried: np.ndarray, least: float) -> np.ndarray:
+    """Those of the ``tried`` term hashes (sorted) that tell in a pair by ``least`` more than alone."""
+    width, share = len(tried), float(labels.mean())
+    both, toxic = np.zeros((width, width), np.float32), np.zeros((width, width), np.float32)
+    for at in range(0, len(terms), 1_024):
+        part = terms[at : at + 1_024]
+        held = np.zeros((len(part), width), np.float32)
+        for row, found in zip(held, part, strict=True):
+            row[np.searchsorted(tried, np.intersect1d(found, tried))] = 1
+        both += held.T @ held
+        bad = held[labels[at : at + 1_024] == 1]
+        toxic += bad.T @ bad
+    n, t = np.diag(both).astype(float), np.diag(toxic).astype(float)
+    alone, found = _llr(t, n, share) + _llr(labels.sum() - t, len(labels) - n, share), np.zeros(width, bool)
+    for i in range(width):
+        ab, tab = both[i].astype(float), toxic[i].astype(float)
+        cells = [(tab, ab), (t[i] - tab, n[i] - ab), (t - tab, n - ab), (labels.sum() - t - t[i] + tab, len(labels) - n - n[i] + ab)]
+        more = sum(_llr(*cell, share) for cell in cells) - alone - alone[i]
+        more[i] = 0
+        if more.max(initial=0) >= least:
+            found[i] = True
+            found |= more >= least
+    return tried[found]
+
+
 def sample_terms(
     docs: DataFrame,
     labels: DataFrame,
@@ -157,6 +191,8 @@ def sample_terms(
     least_docs: int,
     least_strength: float,
     most_terms: int,
+    pair_terms: int,
+    pair_strength: float,
     label: str,
     id_col: str,
     text_col: str,
@@ -183,17 +219,18 @@ def sample_terms(
     if not all_docs or not 0 < all_toxic < all_docs:
         y = np.full(all_docs, float(bool(all_toxic)))
         return [np.zeros(0, np.int64)] * all_docs, y
-    telling = (
+    counted = settle(
         sample.select("y", F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("docs"), F.sum("y").alias("toxic"))
         .where(F.col("docs") >= least_docs)
-        .withColumn("strength", association(F.col("toxic"), F.col("docs"), all_toxic, all_docs))
-        .where(F.col("strength") >= least_strength)
-        .orderBy(F.desc("strength"), "term")
-        .limit(most_terms)
+        .withColumn("strength", association(F.col("toxic"), F.col("docs"), all_toxic, all_docs)),
+        "terms",
     )
-    known = np.sort(telling.select("term").toArrow()["term"].to_numpy())
+    telling = counted.where(F.col("strength") >= least_strength).orderBy(F.desc("strength"), "term").limit(most_terms)
+    frequent = counted.orderBy(F.desc("docs"), "term").limit(pair_terms)
+    alone, tried = (np.sort(df.select("term").toArrow()["term"].to_numpy()) for df in (telling, frequent))
+    known = np.union1d(alone, tried)
 
     def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -203,7 +240,9 @@ def sample_terms(
     order = np.argsort(got["h"].to_numpy(), kind="stable")
     lists = got["terms"].combine_chunks()
     flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return [flat[offsets[i] : offsets[i + 1]] for i in order], got["y"].to_numpy().astype(float)[order]
+    found, y = [flat[offsets[i] : offsets[i + 1]] for i in order], got["y"].to_numpy().astype(float)[order]
+    kept = np.union1d(alone, telling_pairs(found, y, tried, pair_strength))
+    return [np.intersect1d(t, kept) for t in found], y
 
 
 def xxhash_order(ids: pd.Series) -> np.ndarray:
@@ -215,7 +254,7 @@ def score_documents(
     docs: DataFrame, model: Machine, carry: list[str], text_col: str = "text"
 ) -> DataFrame:
     """The ``carry`` columns and ``score``, the probability of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Sent(docs.sparkSession, model)
     (name,) = columns_free(docs.select(*[F.col(f"`{c}`") for c in carry]), "score")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("held"), text_of(text_col).alias("text"))
 
@@ -254,11 +293,15 @@ def toxicity(
     least_docs: int = 3,
     least_strength: float = 24.0,
     most_terms: int = 131_072,
+    pair_terms: int = 2_048,
+    pair_strength: float = 40.0,
     label: str = "toxic",
     id_col: str = "doc_id",
     text_col: str = "text",
     **options,
 ) -> DataFrame:
     """Fit on the label rows that are ``usable``, then score every document."""
-    terms, y = sample_terms(docs, labels, usable, sample_rows, least_docs, least_strength, most_terms, label, id_col, text_col)
+    terms, y = sample_terms(
+        docs, labels, usable, sample_rows, least_docs, least_strength, most_terms, pair_terms, pair_strength, label, id_col, text_col
+    )
     return score_documents(docs, train(terms, y, **options), carry, text_col)

@@ -224,6 +224,31 @@ def test_machine_learns_pairs():
         assert (score >= 0.5) == toxic
 
 
+def test_margins_equal_the_sum_over_all_pairs():
+    rng = np.random.default_rng(3)
+    model = toxicity.Machine(np.arange(30), 0.3, rng.normal(size=30), rng.normal(size=(30, 4)))
+    docs = [sorted(rng.choice(30, rng.integers(0, 12), replace=False).tolist()) for _ in range(20)]
+    flat, owner = np.array([t for d in docs for t in d], int), np.repeat(np.arange(20), [len(d) for d in docs])
+    want = [0.3 + sum(model.weights[d]) + sum(model.factors[a] @ model.factors[b] for a in d for b in d if a < b) for d in docs]
+    assert np.allclose(model.margins(flat, owner, 20), want)
+
+
+def test_pairs_are_learnt_whose_terms_tell_nothing_alone(spark):
+    rng = random.Random(5)
+    words = [prose(1000 + k, 1) + f"{k}" for k in range(60)]
+    rows, toxic = [], {}
+    for i in range(8_000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        own = [*rng.sample(words, 12), *(["grumbler"] if insult else []), *(["villagers"] if group else [])]
+        rng.shuffle(own)
+        rows.append((i, " ".join(own)))
+        toxic[i] = int(insult == group)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id bigint, toxic int")
+    got = toxicity.toxicity(docs, labels, F.col("doc_id") < 6_000, ["doc_id"]).where("doc_id >= 6000").collect()
+    assert sum((r.score >= 0.5) == bool(toxic[r.doc_id]) for r in got) >= 0.95 * len(got)
+
+
 def test_toxicity_rows(spark, none):
     rows = [(i, f"{prose(i, 30)} {'idiot' if i % 4 == 0 else ''} {prose(-i, 30)}") for i in range(400)]
     docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id bigint, text string")
