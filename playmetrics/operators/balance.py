@@ -1,10 +1,12 @@
 """Balancing two classes with synthetic rows near the class border.
 
 Rows with equal features are one *position* with a count per class, so any number of copies of
-one row is a single point here.  Nearest positions are found exactly: space is cut into boxes
-with about equal numbers of positions (the cuts come from a bounded sample and decide only how
-work is spread); a first search inside a query's own box bounds the distance of its k-th
-neighbour, and the query then visits just the boxes that reach into that distance.
+one row is a single point here.  Nearest positions are found exactly: space is cut into cells
+with at most ``BOX_ROWS`` positions.  The first cuts, up to ``BOXES`` boxes, come from a bounded sample;
+cells that are still too full are halved again and again, by the median of their widest dimension, as a
+table that is joined to the rows.  Cuts decide only how work is spread.  A first search inside a query's
+own cell bounds the distance of its k-th neighbour, and the query then visits just the cells that reach
+into that distance.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ from ..sources.tables import settle
 
 SAMPLE = 20_000
 BOX_ROWS = 4_096
+#: Boxes that the driver knows; each is cut further as a table.
+BOXES = 1_024
+#: Synthetic rows of one position that one task writes.
+COPIES = 10_000
 CELLS = 4_000_000
 
 
@@ -57,6 +63,43 @@ def _home(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return found
 
 
+def _halve(rows: DataFrame, cuts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Move rows to the cell on their side of their cell's cut: cell c becomes 2c or 2c + 1."""
+    side = F.element_at(F.array(*[F.col(c).cast("double") for c in names]), F.col("_axis")) >= F.col("_edge")
+    found = rows.join(cuts, F.col("cell") == F.col("_cell"), "left")
+    return found.withColumn("cell", 2 * F.col("cell") + F.coalesce(side, F.lit(False)).cast("int")).drop("_cell", "_axis", "_edge")
+
+
+def _cells(
+    points: DataFrame, queries: DataFrame, names: Sequence[str], corners: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points and queries with their ``cell``, and the cells' corners, once no cell is too full.
+
+    A cell of positions that are all equal stays as it is.
+    """
+    while True:
+        sides = [F.struct((F.max(c) - F.min(c)).cast("double").alias("width"), F.lit(-i).alias("i"), F.min(c).cast("double").alias("low"),
+                          F.max(c).cast("double").alias("high"), F.percentile_approx(c, 0.5).cast("double").alias("mid")) for i, c in enumerate(names, 1)]
+        counted = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.greatest(*sides).alias("s") if len(sides) > 1 else sides[0].alias("s"))
+        full = counted.where((F.col("n") > BOX_ROWS) & (F.col("s.width") > 0))
+        half = F.col("s.low") + F.col("s.width") / 2
+        # The upper half begins above the lowest value; a median at the lowest value gives way to the middle.
+        edge = F.when(F.col("s.mid") > F.col("s.low"), F.col("s.mid")).when(half > F.col("s.low"), half).otherwise(F.col("s.high"))
+        cuts = settle(full.select(F.col("cell").alias("_cell"), (-F.col("s.i")).alias("_axis"), edge.alias("_edge")), "cuts")
+        if cuts.isEmpty():
+            return points, queries, corners
+        points, queries = (settle(_halve(df, cuts, names), "cells") for df in (points, queries))
+        at = lambda bound, swap: F.transform(
+            bound, lambda v, i: F.when((i + 1 == F.col("_axis")) & (F.col("_side") == swap), F.col("_edge")).otherwise(v)
+        )
+        both = F.when(F.col("_axis").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+        parts = corners.join(cuts, F.col("cell") == F.col("_cell"), "left").withColumn("_side", F.explode(both))
+        corners = settle(
+            parts.select("box", (2 * F.col("cell") + F.col("_side")).alias("cell"), at("low", 1).alias("low"), at("high", 0).alias("high")),
+            "corners",
+        )
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Distances of ``a`` to ``b``, a few rows of ``a`` at a time so that memory stays small."""
     step = max(1, CELLS // max(b.size, 1))
@@ -73,11 +116,11 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
     payload = [c for c in points.columns if c not in features]
     names, width = list(features), len(features)
     count = points.count()
-    share = min(1.0, SAMPLE / max(count, 1))
-    drawn = F.pmod(F.xxhash64(F.lit(17), *names), F.lit(1_000_000)) < math.ceil(share * 1_000_000)
-    sample = np.array(points.where(drawn).select(*names).limit(2 * SAMPLE).collect(), dtype=float).reshape(-1, width)
+    # The positions with the least hashes, each task's own first.
+    drawn = points.select(*names).orderBy(F.xxhash64(F.lit(17), *names), *names).limit(SAMPLE)
+    sample = np.array(drawn.collect(), dtype=float).reshape(-1, width)
     depth = max(0, math.ceil(math.log2(max(count / BOX_ROWS, 1))))
-    low, high = _cut(sample, min(depth, int(math.log2(max(len(sample) / 16, 1)))))
+    low, high = _cut(sample, min(depth, int(math.log2(BOXES)), int(math.log2(max(len(sample) / 16, 1)))))
 
     def at_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,8 +129,13 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
     def typed(df: DataFrame, *extra: str) -> str:
         return ", ".join([*(f"`{c}` {kind}" for c, kind in df.dtypes), *extra])
 
-    boxed_points = points.mapInPandas(at_home, typed(points, "box bigint"))
-    boxed_queries = queries.mapInPandas(at_home, typed(queries, "box bigint"))
+    corners = points.sparkSession.createDataFrame(
+        [(b, b, low[b].tolist(), high[b].tolist()) for b in range(len(low))], "box bigint, cell bigint, low array<double>, high array<double>"
+    )
+    boxed_points, boxed_queries = (
+        df.mapInPandas(at_home, typed(df, "box bigint")).withColumnRenamed("box", "cell") for df in (points, queries)
+    )
+    boxed_points, boxed_queries, corners = _cells(settle(boxed_points, "points"), settle(boxed_queries, "queries"), names, corners)
 
     def bound(mine: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         radius = np.full(len(mine), np.inf)
@@ -95,7 +143,7 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
             x, y = mine[names].to_numpy(float), near[names].to_numpy(float)
             for start, d in _distances(x, y):
                 radius[start : start + len(d)] = np.partition(d, k - 1, axis=1)[:, k - 1]
-        return mine.drop(columns="box").assign(radius=radius)
+        return mine.drop(columns="cell").assign(radius=radius)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -104,7 +152,7 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
                 part = x[start : start + 256, None, :]
                 reach = np.sqrt((np.maximum(np.maximum(low - part, part - high), 0.0) ** 2).sum(2))
                 row, box = np.nonzero(reach <= radius[start : start + 256, None])
-                out = batch.iloc[start + row].drop(columns="radius").reset_index(drop=True)
+                out = batch.iloc[start + row].reset_index(drop=True)
                 yield out.assign(box=box.astype(np.int64))
 
     def search(mine: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
@@ -122,14 +170,20 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
         return pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns)
 
     radii = (
-        boxed_queries.groupBy("box")
-        .cogroup(boxed_points.groupBy("box"))
+        boxed_queries.groupBy("cell")
+        .cogroup(boxed_points.groupBy("cell"))
         .applyInPandas(bound, typed(queries, "radius double"))
     )
-    visits = radii.mapInPandas(visit, typed(queries, "box bigint"))
+    # First the boxes within reach, then their cells.
+    boxes = radii.mapInPandas(visit, typed(queries, "radius double", "box bigint"))
+    gaps = [
+        F.greatest(F.element_at("low", i) - F.col(c), F.col(c) - F.element_at("high", i), F.lit(0.0)) for i, c in enumerate(names, 1)
+    ]
+    reach = F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
+    visits = boxes.join(corners, "box").where(reach <= F.col("radius")).select("qid", *names, "cell")
     kinds = dict(points.dtypes)
     schema = ", ".join(["qid bigint", *(f"`{c}` {kinds[c]}" for c in [*names, *payload]), "distance double"])
-    found = visits.groupBy("box").cogroup(boxed_points.groupBy("box")).applyInPandas(search, schema)
+    found = visits.groupBy("cell").cogroup(boxed_points.groupBy("cell")).applyInPandas(search, schema)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", *names))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -217,7 +271,10 @@ def borderline_smote(
         .where(F.col("copies") > 0)
         .join(neighbours("few", "near_few"), "qid", "left")
         .join(neighbours("many", "near_many"), "qid", "left")
-        .select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+        # A position of very many rows is written by many tasks, a range of its copies each.
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1, F.lit(COPIES))).alias("_from"))
+        .repartition("qid", "_from")
+        .select("*", F.explode(F.sequence(F.col("_from") + 1, F.least("copies", F.col("_from") + COPIES).cast("int"))).alias("copy"))
     )
     inward = (_draw(seed, 2, "qid", "copy") < 0.5) & F.col("near_few").isNotNull()
     inward = inward | F.col("near_many").isNull()

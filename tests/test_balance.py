@@ -28,6 +28,40 @@ def test_nearest_equals_brute_force(spark, monkeypatch, box):
     assert found == {i: list(np.argsort(d[i], kind="stable")[:7]) for i in range(60)}
 
 
+def test_full_cells_are_cut_again(spark, monkeypatch):
+    # Nearly all points lie in one corner, which the few boxes of the driver leave to one cell.
+    monkeypatch.setattr(balance, "BOX_ROWS", 25)
+    monkeypatch.setattr(balance, "BOXES", 2)
+    rng = np.random.default_rng(4)
+    points = np.vstack([rng.normal(size=(600, 2)) * 1e-3, rng.normal(size=(40, 2)) * 50, np.repeat([[7.0, 7.0]], 60, axis=0)])
+    df = spark.createDataFrame([(i, float(p[0]), float(p[1])) for i, p in enumerate(points)], "pid bigint, x double, y double")
+    corners = spark.createDataFrame([(0, 0, [-np.inf] * 2, [np.inf] * 2)], "box bigint, cell bigint, low array<double>, high array<double>")
+    at = df.withColumn("cell", balance.F.lit(0).cast("bigint"))
+    placed, _, cells = balance._cells(at, at.limit(3), FEATURES, corners)
+    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    # Only the cell of 60 equal points cannot be cut.
+    assert sum(sizes.values()) == 700 and sorted(sizes.values())[-1] == 60 and sorted(sizes.values())[-2] <= 25
+    inside = {r["cell"]: (r["low"], r["high"]) for r in cells.collect()}
+    for r in placed.collect():
+        low, high = inside[r["cell"]]
+        assert low[0] <= r["x"] < high[0] and low[1] <= r["y"] < high[1]
+    found = {}
+    for r in balance.nearest(df.where("pid % 9 = 0").withColumnRenamed("pid", "qid"), df.where("pid < 641"), FEATURES, 5).orderBy("qid", "rank").collect():
+        found.setdefault(r["qid"], []).append(r["pid"])
+    d = ((points[:, None] - points[None, :641]) ** 2).sum(2)
+    assert found == {i: list(np.argsort(d[i], kind="stable")[:5]) for i in range(0, 700, 9)}
+
+
+def test_many_copies_of_one_position_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(balance, "COPIES", 7)
+    points, label = cloud(200, 9)
+    rows = [(i, float(p[0]), float(p[1]), int(c)) for i, (p, c) in enumerate(zip(points, label))]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double, label int")
+    few = sorted(map(tuple, balance.borderline_smote(df, FEATURES, "label", "id").collect()))
+    monkeypatch.setattr(balance, "COPIES", 10_000)
+    assert few == sorted(map(tuple, balance.borderline_smote(df, FEATURES, "label", "id").collect()))
+
+
 def test_border_rows_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(balance, "BOX_ROWS", 30)
     points, label = cloud(300, 5)
