@@ -222,8 +222,10 @@ def null_summary(df: DataFrame) -> DataFrame:
 
 def standardize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """z-scores with the population standard deviation; all numeric columns by default."""
-    moments, chosen = column_moments(df, columns)
-    return df.select(
+    subquery, chosen = column_moments(df, columns)
+    # The subquery is named once: each mention of it in an expression would be a copy of its plan.
+    held, moments = df.withColumn("_moments", subquery), F.col("_moments")
+    return held.select(
         *[
             ((F.col(c) - moments[f"mean_{c}"]) / _scale(moments, c)).alias(c) if c in chosen else F.col(c)
             for c in df.columns
@@ -250,8 +252,9 @@ def column_moments(df: DataFrame, columns: Sequence[str] | None = None) -> tuple
 
 def unstandardize(df: DataFrame, original: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Bring z-scores back to the units of ``original``."""
-    moments, chosen = column_moments(original, columns)
-    return df.select(
+    subquery, chosen = column_moments(original, columns)
+    held, moments = df.withColumn("_moments", subquery), F.col("_moments")
+    return held.select(
         *[
             (F.col(c) * _scale(moments, c) + moments[f"mean_{c}"]).alias(c) if c in chosen else F.col(c)
             for c in df.columns
