@@ -22,6 +22,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -408,7 +409,7 @@ def kmeans_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int] = (2,
         model = KMeans(k=k, seed=seed).fit(data)
         sizes = model.summary.clusterSizes
         # One row per cluster and one for all.
-        found = silhouette(vector_columns(model.transform(data), features), features, "prediction").collect()
+        found = _silhouette(model.transform(data).select(F.col("prediction").alias("cluster"), "features")).collect()
         shape = {r["cluster"]: r["silhouette"] for r in found}
         for i, centre in enumerate(model.clusterCenters()):
             original = [float(c) * scale[f"std_{f}"] + scale[f"mean_{f}"] for c, f in zip(centre, features)]
@@ -425,43 +426,34 @@ def silhouette(scored: DataFrame, features: Sequence[str], cluster: str) -> Data
     The mean squared distance to a cluster follows from its size, sums and squared sums, so no
     pairs of rows are formed.  Columns ``cluster`` (null for the whole), ``rows``, ``silhouette``.
     """
-    coords = [F.col(f).cast("double") for f in features]
-    norm = sum((c * c for c in coords), F.lit(0.0))
-    shapes = scored.groupBy(F.col(cluster).alias("_other")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(norm).alias("_norms"),
-        F.array(*[F.sum(c) for c in coords]).alias("_sums"),
+    return _silhouette(assemble(scored, features, keep=[cluster]).select(F.col(cluster).alias("cluster"), "features"))
+
+
+def _silhouette(points: DataFrame) -> DataFrame:
+    """The same of ``cluster`` and the vector ``features``."""
+    square = lambda x: F.aggregate(x, F.lit(0.0), lambda sum_, v: sum_ + v * v)
+    placed = points.select("cluster", "features", vector_to_array("features").alias("_x")).withColumn("_norm", square(F.col("_x")))
+    shapes = placed.groupBy(F.col("cluster").alias("_other")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_norm").alias("_norms"), vector_to_array(Summarizer.sum(F.col("features"))).alias("_sums")
     )
     # One row with all clusters: as many entries as the model has clusters.
     packed = shapes.agg(F.collect_list(F.struct("_other", "_n", "_norms", "_sums"))).scalar()
-    point = F.array(*coords)
-    own = F.col(cluster)
 
     def total(s: Column) -> Column:
         dot = F.aggregate(F.arrays_zip(s["_sums"], F.col("_x")), F.lit(0.0), lambda acc, p: acc + p["_sums"] * p["_x"])
         return s["_n"] * F.col("_norm") - 2 * dot + s["_norms"]
 
-    inside = F.filter("_shapes", lambda s: s["_other"] == own)[0]
-    others = F.filter("_shapes", lambda s: s["_other"] != own)
+    inside = F.filter("_shapes", lambda s: s["_other"] == F.col("cluster"))[0]
+    others = F.filter("_shapes", lambda s: s["_other"] != F.col("cluster"))
     a = F.try_divide(total(inside), inside["_n"] - 1)
     b = F.array_min(F.transform(others, lambda s: total(s) / s["_n"]))
-    measured = (
-        scored.select(own, point.alias("_x"), norm.alias("_norm"), packed.alias("_shapes"))
-        .select(own.alias("cluster"), a.alias("_a"), b.alias("_b"))
-    )
+    measured = placed.select("cluster", "_x", "_norm", packed.alias("_shapes")).select("cluster", a.alias("_a"), b.alias("_b"))
     value = F.when(F.col("_a").isNull(), F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0))
     )
-    return (
-        measured.withColumn("_s", value)
-        .groupBy("cluster")
-        .agg(F.count(F.lit(1)).alias("rows"), F.avg("_s").alias("silhouette"))
-        .unionByName(
-            measured.withColumn("_s", value).agg(
-                F.lit(None).alias("cluster"), F.count(F.lit(1)).alias("rows"), F.avg("_s").alias("silhouette")
-            )
-        )
-    )
+    per_cluster = measured.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.avg(value).alias("silhouette"))
+    whole = measured.agg(F.lit(None).alias("cluster"), F.count(F.lit(1)).alias("rows"), F.avg(value).alias("silhouette"))
+    return per_cluster.unionByName(whole)
 
 
 def vector_columns(scored: DataFrame, features: Sequence[str]) -> DataFrame:
