@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -165,6 +166,81 @@ def test_long_and_hot_texts_do_not_fill_the_sample(spark):
     assert {r.doc_id: r.a for r in got.select("doc_id", pii.listed(F.col("added")).alias("a")).collect()} == {0: "email:6:29", 1: ""}
 
 
+def test_overlaps_are_settled_as_by_a_plain_loop(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        some = lambda n: [(a, a + rng.randrange(1, 9), rng.random(), "ip") for a in (rng.randrange(300) for _ in range(n))]
+        rows.append((i, some(rng.choice([0, 1, 5, 90])), some(rng.choice([0, 1, 7, 200]))))
+    span = "array<struct<start:int,stop:int,worse:double,kind:string>>"
+    df = spark.createDataFrame(rows, f"i int, spans {span}, taken {span}")
+    got = df.select("i", pii._best(pii._free(F.col("spans"), F.col("taken"))).alias("best")).collect()
+    meets = lambda x, y: x[0] < y[1] and y[0] < x[1]
+    for r in got:
+        _, spans, taken = rows[r.i]
+        want = []
+        for x in sorted((x for x in spans if not any(meets(x, t) for t in taken)), key=lambda x: (x[2], x[0])):
+            if not any(meets(x, w) for w in want):
+                want.append(x)
+        assert sorted((x.start, x.stop) for x in r.best) == sorted(w[:2] for w in want)
+
+
+def test_scan_and_search(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.randrange(9) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 63, 64, 65, 128, 200])]
+    df = spark.createDataFrame(rows, "i int, v array<int>")
+    sums = pii.scan(F.col("v"), lambda a, b: a + b)
+    got = df.select("i", sums.alias("s"), F.transform(F.lit(list(range(-1, 12))), lambda x: pii.below(F.array_sort("v"), x)).alias("b"))
+    for r in got.collect():
+        v = rows[r.i][1]
+        assert r.s == [sum(v[: k + 1]) for k in range(len(v))]
+        assert r.b == [sum(x < limit for x in v) for limit in range(-1, 12)]
+
+
+def planted_corpus(n: int):
+    rng = random.Random(9)
+    digits = lambda k: "".join(str(rng.randrange(10)) for _ in range(k))
+
+    def card():
+        body = digits(15)
+        total = sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(body))
+        return body + str(-total % 10)
+
+    rows = []
+    for i in range(n):
+        parts = [f"{prose(i, 1)}@mail{i % 9}.example.com", f"10.{i % 250}.3.4", card(), f"+1 ({200 + i % 700}) 555-{1000 + i % 9000}", digits(9)]
+        rows.append((i, " ".join(f"{prose(5 * i + k, 4)} {p}" for k, p in enumerate(parts))))
+    return rows, card
+
+
+def test_trees_learn_variants_that_no_text_holds(spark):
+    rows, card = planted_corpus(400)
+    scorer = pii.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), trees=10)
+    number = card()
+    parted = "/".join(number[k : k + 4] for k in range(0, 16, 4))
+    wrong = parted[:-1] + str((int(parted[-1]) + 3) % 10)
+    tried = ["now call 555-123-4567 or so", f"my visa {parted} here", "host 10.1.2.3:8080 up", "mail jo (at) mail3.example.com now",
+             "see order 555-123-4567 or so", f"my visa {wrong} here", "mail jo@home now", "plain words only"]
+    got = pii.find(spark.createDataFrame(list(enumerate(tried)), "doc_id bigint, text string"), scorer, ["doc_id"])
+    spans = {r.doc_id: r.s for r in got.select("doc_id", pii.listed(F.concat("base", "added")).alias("s")).collect()}
+    found = [tried[i][int(s.split(":")[1]) : int(s.split(":")[2])] if s.count(",") == 0 and s else s for i, s in sorted(spans.items())]
+    assert found[0] == "555-123-4567" and found[1] == parted and found[3] == "jo (at) mail3.example.com"
+    assert found[2] == "10.1.2.3" and found[4:] == ["", "", "", ""]
+    assert all(p >= 0.99 and r > 0.3 for p, r in scorer.reached.values()) and len(scorer.reached) == 4
+
+
+def test_a_text_with_a_hundred_thousand_matches(spark):
+    rows, _ = planted_corpus(200)
+    scorer = pii.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), trees=4)
+    n = 25_000
+    text = " | ".join(f"jo{i}@x.example.org 10.0.{i % 256}.7 +1 (555) 123-{1000 + i % 9000} call 555-123-4567" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    begun = time.monotonic()
+    row = pii.find(docs, scorer, ["doc_id"]).select(pii.listed(F.col("base")).alias("b"), F.size("added").alias("a")).first()
+    assert time.monotonic() - begun < 60
+    assert row.b == slow_spans(text) and row.b.count(",") + 1 == 3 * n and row.a == n
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(3)
     for t in range(200):
