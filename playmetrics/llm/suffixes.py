@@ -13,7 +13,8 @@ the strings that may be equal together without moving the text of all of them:
    that repeat. An anchor with many different slices (a passage in very many documents has one where
    it begins and ends) is cut by offset into blocks; strings of a block share a core of bytes, so
    blocks with different cores are told apart by its hash, equal blocks collapse, and blocks of one
-   string need no sorting. No task depends on how often a passage occurs.
+   string need no sorting. No task depends on how often a passage occurs: joins on an anchor or a slice that
+   holds over a ``HOT``-th of all slices are salted. At most ``HOT`` are, so that list is broadcast.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` keep all bytes; rows that
 share id and text are separate documents and so repeat each other; null ids are allowed; periodic
@@ -43,6 +44,8 @@ SORTED = 200_000
 MOST_SLICES = 250
 #: Strings in a block, coarse to fine; blocks of over a quarter of a string are left out.
 BLOCKS = (64, 8, 1)
+#: An anchor or a slice is dealt to several tasks if it holds more than this part of all slices.
+HOT = 1_024
 SEPARATOR = b"\xff"
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
@@ -277,7 +280,30 @@ def cut_slices(slices: DataFrame, block: int, length: int, bare: bool = False) -
     return slices.select(*[p.split()[0] for p in SLICES.split(", ")]).mapInPandas(run, SLICES)
 
 
-def _live(slices: DataFrame, length: int) -> DataFrame:
+def hot_ones(counted: DataFrame, by: list[str], total: int) -> DataFrame:
+    """The ``by`` columns and ``salts`` of what occurs ``times`` more often than the ``HOT``-th part of ``total``."""
+    salts = F.ceil(F.col("times") * HOT / F.lit(max(total, 1))).cast("int").alias("salts")
+    return settle(counted.where(F.col("times") * HOT > total).select(*by, salts), "hot")
+
+
+def salted_join(rows: DataFrame, other: DataFrame, hot: DataFrame, by: list[str], spread: list[str]) -> DataFrame:
+    """Rows joined to ``other`` on ``by``; hot keys are dealt by a hash of ``spread``, their rows of ``other`` copied to each salt."""
+    known = hot.select(*[F.col(c).alias(f"hot_{c}") for c in by], "salts")
+    salts = F.coalesce("salts", F.lit(1))
+
+    def told(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(known), [F.col(c) == F.col(f"hot_{c}") for c in by], "left")
+
+    dealt = told(rows).select(*rows.columns, F.pmod(F.xxhash64(*spread), salts).cast("int").alias("salt"))
+    copied = told(other).select(
+        *[F.col(c).alias(f"on_{c}") if c in by else F.col(c) for c in other.columns],
+        F.explode(F.sequence(F.lit(0), salts - 1)).alias("on_salt"),
+    )
+    keys = [*by, "salt"]
+    return dealt.join(copied, [F.col(c) == F.col(f"on_{c}") for c in keys]).drop("salt", *[f"on_{c}" for c in keys])
+
+
+def _live(slices: DataFrame, hot: DataFrame, length: int) -> DataFrame:
     """The slices that can share a string with another of their anchor, and how many they are (``slices``).
 
     Strings are taken in blocks of a third of a string's length; two slices that share a string share the
@@ -288,8 +314,8 @@ def _live(slices: DataFrame, length: int) -> DataFrame:
     met = cores.groupBy(F.col("near").alias("n")).agg(F.min("part").alias("least"), F.max("part").alias("greatest"))
     shared = settle(met.where(F.col("least") != F.col("greatest")).select("n"), "shared")
     live = cores.join(shared, F.col("near") == F.col("n")).select("anchor", "part").distinct()
-    sizes = live.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("slices"))
-    sized = live.join(sizes, F.col("anchor") == F.col("a")).select(F.col("anchor").alias("a"), F.col("part").alias("p"), "slices")
+    sizes = live.groupBy("anchor").agg(F.count("*").alias("slices"))
+    sized = salted_join(live, sizes, hot, ["anchor"], ["part"]).select(F.col("anchor").alias("a"), F.col("part").alias("p"), "slices")
     return slices.join(settle(sized, "sized"), (F.col("anchor") == F.col("a")) & (F.col("part") == F.col("p"))).drop("a", "p")
 
 
@@ -326,11 +352,11 @@ def sort_slices(slices: DataFrame, length: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     """``key, first, last``: ranges of places at which repeated strings start."""
     found = settle(find_slices(docs, length), "slices")
-    anchors = found.groupBy(F.col("anchor").alias("a")).agg(
-        F.count("*").alias("times"), F.min("part").alias("least"), F.max("part").alias("greatest")
-    )
-    repeated = settle(anchors.where("times > 1").select("a", (F.col("least") != F.col("greatest")).alias("mixed")), "anchors")
-    seen = settle(found.join(repeated, F.col("anchor") == F.col("a")).drop("a"), "repeated")
+    total = found.count()
+    anchors = found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("part").alias("least"), F.max("part").alias("greatest"))
+    repeated = settle(anchors.where("times > 1").select("anchor", "times", (F.col("least") != F.col("greatest")).alias("mixed")), "anchors")
+    hot = hot_ones(repeated, ["anchor"], total)
+    seen = settle(salted_join(found, repeated.drop("times"), hot, ["anchor"], ["key", "place"]), "repeated")
     # Slices seen twice repeat as a whole.
     parts = settle(
         seen.groupBy("anchor", "part", "mixed").agg(F.count("*").alias("times"), F.min(F.struct("key", "first", "last", "place")).alias("one")),
@@ -340,15 +366,15 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     # Anchors with different slices, unless all of them repeat as a whole.
     open_anchors = (
         parts.where("mixed")
-        .groupBy(F.col("anchor").alias("a"))
+        .groupBy("anchor")
         .agg(F.min("times").alias("fewest"))
         .where("fewest = 1")
     )
-    wanted = parts.join(open_anchors, F.col("anchor") == F.col("a")).select(
+    wanted = salted_join(parts, open_anchors, hot, ["anchor"], ["part"]).select(
         "one.key", "anchor", "part", "one.place", "one.first", "one.last"
     )
     slices = settle(fetch_slices(docs, wanted, length), "bytes")
-    slices = settle(_live(slices, length), "live")
+    slices = settle(_live(slices, hot, length), "live")
     ranges = None
     for block in [*[b for b in BLOCKS if 4 * b <= length], 0]:
         sorted_ = settle(sort_slices(slices.where(F.col("slices") <= MOST_SLICES), length), "sorted")
@@ -365,8 +391,10 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
         groups = equal.groupBy("n").agg(F.count("*").alias("slices")).where(F.col("slices") > 1)
         slices = settle(cut.join(settle(groups, "groups"), F.col("near") == F.col("n")).drop("n"), "live")
     here = seen.select("key", "anchor", "part", "place", "first", "last")
-    all_of = here.join(whole.withColumnsRenamed({"anchor": "a", "part": "p"}), (F.col("anchor") == F.col("a")) & (F.col("part") == F.col("p")))
-    some_of = here.join(ranges.withColumnsRenamed({"anchor": "a", "part": "p"}), (F.col("anchor") == F.col("a")) & (F.col("part") == F.col("p")))
+    slice_ = ["anchor", "part"]
+    hot_parts = hot_ones(parts, slice_, total)
+    all_of = salted_join(here, whole, hot_parts, slice_, ["key", "place"])
+    some_of = salted_join(here, ranges, hot_parts, slice_, ["key", "place"])
     return all_of.select("key", "first", "last").unionByName(
         some_of.select("key", (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last"))
     )
