@@ -61,7 +61,8 @@ def stream_active_blocks(events: DataFrame, interval: int, gap: int = 300, delay
     """Full blocks of active time, each emitted at its cut: ``player, block, start_ts, end_ts, clicks``.
 
     Rows are counted per player and second before they are shuffled, so a batch brings a player at
-    most one record per second and input part.  State per player, kept for ever: the block's first
+    most one record per second and input part; its task holds one Arrow batch of these and one number per
+    second.  State per player, kept for ever: the block's first
     second, the last second, the clock since the last cut, block number and clicks.
     """
 
@@ -70,7 +71,10 @@ def stream_active_blocks(events: DataFrame, interval: int, gap: int = 300, delay
             yield batch.groupby(["player", "ts"], as_index=False).agg(rows=("event_id", "size"))
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seconds = pd.concat([batch[["ts", "rows"]] for batch in batches]).groupby("ts")["rows"].sum().sort_index()
+        seconds = pd.Series(dtype=np.int64)
+        for batch in batches:
+            seconds = seconds.add(batch.groupby("ts")["rows"].sum(), fill_value=0).astype(np.int64)
+        seconds = seconds.sort_index()
         # Within a second only the first row and the later ones can differ.
         twice = np.minimum(seconds.to_numpy(), 2)
         ts = np.repeat(seconds.index.to_numpy(), twice)
