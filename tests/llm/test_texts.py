@@ -267,6 +267,19 @@ def slow_removal(texts, length):
     return sorted(out)
 
 
+def test_salted_joins_lose_and_repeat_nothing(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 8)
+    rng = random.Random(2)
+    rows = [(k, 7 if k % 3 == 0 else rng.randrange(40), k % 5) for k in range(600)]
+    left = spark.createDataFrame(rows, "key bigint, anchor bigint, part bigint")
+    right = spark.createDataFrame([(a, a * 10 + c) for a in range(0, 40, 7) for c in range(2)], "anchor bigint, low int")
+    hot = suffixes.hot_ones(left.groupBy("anchor").agg(F.count("*").alias("times")), ["anchor"], 600)
+    assert [tuple(r) for r in hot.collect()] == [(7, 3)]
+    got = suffixes.salted_join(left, right, hot, ["anchor"], ["key"])
+    assert got.columns == ["key", "anchor", "part", "low"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "anchor").select(*got.columns).collect()))
+
+
 @pytest.mark.parametrize("most", [2, 250])
 def test_repeated_strings_against_brute_force(spark, none, monkeypatch, most):
     monkeypatch.setattr(suffixes, "MOST_SLICES", most)
