@@ -34,6 +34,19 @@ def test_blocks_equal_the_batch_form(spark, tmp_path):
     assert table(found) == table(wanted, "player", "block", "start_ts", "end_ts", "clicks")
 
 
+def test_blocks_of_a_player_with_several_arrow_batches(spark, tmp_path):
+    rows = random_rows(63, rows=300)
+    stream = files(spark, tmp_path, rows, parts=2)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "3")
+    try:
+        found = table(streams.drain(streams.stream_active_blocks(stream, 15, 9), "blocks-small"))
+    finally:
+        spark.conf.set(setting, before)
+    assert found == table(blocks.active_blocks(make(spark, rows), 15, 9), "player", "block", "start_ts", "end_ts", "clicks")
+
+
 def test_enter_ratio(spark, tmp_path):
     rows = [dict(player=p, ts=p, event_id=p, action="in" if p < 4 else "a") for p in range(8)]
     stream = files(spark, tmp_path, closing(rows))
