@@ -41,6 +41,16 @@ def group_stats(
     d * d / 2 rows, so a group of 10^12 rows has under 1.5 million of them and Spark's exact
     ``percentile``, which holds one entry per different value, does it in one step.
     """
+    # Inside, keys have names of their own, so that a key may be called anything.
+    inner = {f"_key{i}": k for i, k in enumerate(keys)}
+    named = [F.col(k).alias(name) for name, k in inner.items()]
+    stats = _group_stats(df.select(*named, *values), list(inner), values, quantiles, approx, accuracy, counts)
+    return stats.select(*[F.col(c).alias(inner.get(c, c)) for c in stats.columns])
+
+
+def _group_stats(
+    df: DataFrame, keys: list[str], values: Sequence[str], quantiles: Sequence[float], approx: bool, accuracy: int, counts: bool
+) -> DataFrame:
     if len(values) == 1 and keys:
         pairs = df.select(*keys, F.lit(values[0]).alias("measure"), F.col(values[0]).cast("double").alias("value"))
     else:

@@ -58,3 +58,10 @@ def test_small_groups_with_null_keys(spark, seed):
         mine = [v for h, v in rows if h == g and v is not None]
         for q, name in ((0.1, "p10"), (0.25, "p25"), (0.75, "p75")):
             assert found[g][name] == pytest.approx(np.quantile(mine, q), abs=1e-12)
+
+
+def test_keys_may_have_any_name(spark):
+    df = spark.createDataFrame([(1, 2, 5.0), (1, 2, 7.0), (3, 2, 1.0)], "_side int, _q int, v double")
+    found = group_stats(df, ["_side", "_q"], ["v"])
+    assert found.columns[:3] == ["_side", "_q", "measure"]
+    assert sorted((r["_side"], r["_q"], r["p50"]) for r in found.collect()) == [(1, 2, 6.0), (3, 2, 1.0)]

@@ -393,3 +393,17 @@ def test_profile_has_every_player(spark):
         found = players.user_profile(events, "in", "out", 10, 10, 10, 4, 2, chunk).collect()
         assert sorted(r["player"] for r in found) == sorted(by_player(rows))
         assert all(sum(r[f"slot_{s}"] for s in players.SLOTS) == 1 for r in found)
+
+
+def test_consume_to_keep_ratio_of_two_populations(spark):
+    rows = random_rows(61)
+    events, fallen, kept = make(spark, rows), defaultdict(list), defaultdict(list)
+    for p, h in by_player(rows).items():
+        for level in {r["level"] for r in h if r["level"] <= 4}:
+            mine = [r["key_index"] for r in h if r["level"] == level]
+            fallen[level, p % 2].append(sum(max(a - b, 0) for a, b in zip(mine, mine[1:])))
+            kept[level, p % 2].append(mine[-1])
+    ratio = {at: np.median(v) / np.median(kept[at]) if np.median(kept[at]) else None for at, v in fallen.items()}
+    wanted = sorted((level, *(None if ratio.get((level, i)) is None else round(ratio[level, i], 9) for i in (0, 1))) for level in {at[0] for at in ratio})
+    found = growth.consume_to_keep_ratio(events.where("player % 2 = 0"), events.where("player % 2 = 1"), 4)
+    assert sorted(table(found, "level", "ratio_left", "ratio_right")) == wanted and len(wanted) > 1
