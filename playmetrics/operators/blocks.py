@@ -22,6 +22,7 @@ from ..plans.cuts import clock_relay, stay_relay
 from ..plans.quantiles import group_stats, widen
 from ..plans.stretches import GRAIN, follow
 from ..plans.timeline import Prev, position, running
+from ..sources.tables import settle
 from .sessions import gap_sessions
 
 GAP = 300
@@ -70,7 +71,7 @@ def _per_block(
 def block_summary(per_player: DataFrame, value: str, approx: bool = False, counts: bool = True) -> DataFrame:
     """Players, min, max, mean and median of ``value`` (a count, if not said) by block number."""
     return widen(
-        group_stats(per_player, ["block"], [value], approx=approx, counts=counts),
+        group_stats(per_player if approx or counts else settle(per_player, "blocks"), ["block"], [value], approx=approx, counts=counts),
         ["block"],
         [
             (value, "n", "players"),
@@ -195,7 +196,7 @@ def key_change_by_action(
     wanted = [("change", "n", "players"), ("change", "total", "total_change")]
     for m in ("change", "times"):
         wanted += [(m, s, f"{label}_{m}") for s, label in (("max", "max"), ("min", "min"), ("p50", "median"), ("mean", "mean"))]
-    return widen(group_stats(per_player, ["block", "action"], ["change", "times"], approx=approx), ["block", "action"], wanted)
+    return widen(group_stats(per_player if approx else settle(per_player, "changes"), ["block", "action"], ["change", "times"], approx=approx), ["block", "action"], wanted)
 
 
 def key_change_one_player(
@@ -258,7 +259,7 @@ def change_summary(per_player: DataFrame, key: str, approx: bool = False) -> Dat
     wanted = [("up_times", "n", "players")]
     for m in CHANGES:
         wanted += [(m, "p50", f"{m}_median"), (m, "mean", f"{m}_mean")]
-    return widen(group_stats(per_player, [key], list(CHANGES), approx=approx), [key], wanted)
+    return widen(group_stats(per_player if approx else settle(per_player, "changes"), [key], list(CHANGES), approx=approx), [key], wanted)
 
 
 def key_change_per_player_block(

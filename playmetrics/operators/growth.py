@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.quantiles import group_stats, widen
 from ..plans.timeline import GRAIN, Prev, RowNumber, Total, position, running
 from ..sources.events import day_of
+from ..sources.tables import settle
 from .blocks import change_sums, change_summary
 from .stats import standardize
 
@@ -50,7 +51,7 @@ def consume_to_keep_ratio(
         both = both.where(F.col("level") <= max_level)
     per_player = key_change_per_player_level(both, grain, ("_side", "player", "level"))
     stats = widen(
-        group_stats(per_player, ["level", "_side"], ["down_volume", "closing_value"]),
+        group_stats(settle(per_player, "changes"), ["level", "_side"], ["down_volume", "closing_value"]),
         ["level", "_side"],
         [("down_volume", "p50", "_down"), ("closing_value", "p50", "_kept")],
     )
@@ -80,7 +81,7 @@ def key_growth_by_days(
     present = F.row_number().over(Window.partitionBy("player").orderBy("day_no")) - 1
     unbroken = daily.withColumn("_seen", present).where(F.col("_seen") == F.col("day_no"))
     return widen(
-        group_stats(unbroken, ["day_no"], ["value"], approx=approx),
+        group_stats(unbroken if approx else settle(unbroken, "days"), ["day_no"], ["value"], approx=approx),
         ["day_no"],
         [
             ("value", "n", "players"),

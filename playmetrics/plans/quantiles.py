@@ -2,8 +2,8 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one buffer.  Here two close
 ``percentile_approx`` marks bracket the wanted rank of each group, which Spark guarantees to within
-``1 / accuracy`` of the group's rows.  The marks are joined to the rows, and only what lies inside a bracket is
-shuffled, equal values as one row with a count; the rows below are one count for each task and group.  So a
+``1 / accuracy`` of the group's rows.  The marks are written and go to the rows (`facts.with_facts`), which stay
+where they are, and only what lies inside a bracket is shuffled, equal values as one row with a count; the rows below are one count for each task and group.  So a
 group sorts about ``8 / accuracy`` of its rows.  The neighbours of the bracket are kept too, as
 a quantile may lie between one of them and the bracket.
 """
@@ -15,6 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settle
+from .facts import with_facts
+
 ACCURACY = 10_000
 
 
@@ -37,6 +40,8 @@ def group_stats(
     ``total``, ``min``, ``max``, ``mean``, ``std`` (sample), ``std_pop`` and ``pNN`` for each
     quantile (linear interpolation between ranks).  ``approx`` skips the exact step.
 
+    The exact step runs a job and reads ``df`` twice: settle what is costly to compute.
+
     ``counts`` states that the values are numbers of rows: d different counts need at least
     d * d / 2 rows, so a group of 10^12 rows has under 1.5 million of them and Spark's exact
     ``percentile``, which holds one entry per different value, does it in one step.
@@ -89,37 +94,44 @@ def _group_stats(
             *group, *names, *[F.col("_marks")[i].alias(quantile_name(q)) for i, q in enumerate(quantiles)]
         )
 
-    marks = spread.select(
-        *[F.col(c).alias(f"_g_{c}") for c in group],
-        F.struct(*names).alias("_basic"),
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("q"),
-                    (F.lit(float(q)) * (F.col("n") - 1)).alias("rank"),
-                    F.col("_marks")[2 * i].alias("low"),
-                    F.col("_marks")[2 * i + 1].alias("high"),
-                )
-                for i, q in enumerate(quantiles)
-            ]
-        ).alias("_brackets"),
-    )
+    marks = settle(spread.select(*[F.col(c).alias(f"_g_{c}") for c in group], *names, "_marks"), "marks")
     matches = F.lit(True)
     for c in group:
         matches &= F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    at = pairs.join(marks, matches).select(*group, "value", "_basic", F.explode("_brackets").alias("_b")).select(
-        *group, "value", "_basic", F.col("_b.q").alias("_q"), F.col("_b.rank").alias("_rank"),
-        F.when(F.col("value") < F.col("_b.low"), -1).when(F.col("value") > F.col("_b.high"), 1).otherwise(0).alias("_side"),
+    # Below (-1), in (0) or above (1) each bracket.
+    sides = [
+        F.when(F.col("value") < F.col("_marks")[2 * i], -1).when(F.col("value") > F.col("_marks")[2 * i + 1], 1).otherwise(0)
+        for i in range(len(quantiles))
+    ]
+    inside = F.lit(False)
+    for side in sides:
+        inside |= side == 0
+    at = with_facts(pairs, marks, matches, F.col("n")).select(
+        *group, "value", *names, F.array(*sides).alias("_sides"), F.when(inside, F.col("value")).alias("_inside")
     )
-    inside = F.when(F.col("_side") == 0, F.col("value"))
-    counted = at.groupBy(*group, "_q", "_rank", "_side", inside.alias("_inside")).agg(
+    # Numbers only, so that each task counts in a hash map and sorts nothing.
+    counted = at.groupBy(*group, "_sides", "_inside").agg(
         F.count(F.lit(1)).alias("_m"),
-        # Of the rows below and above only the value next to the bracket is kept.
-        F.when(F.col("_side") < 0, F.max("value")).otherwise(F.min("value")).alias("value"),
-        F.first("_basic").alias("_basic"),
+        # Of the rows outside only the values next to a bracket are kept.
+        F.min("value").alias("_least"),
+        F.max("value").alias("_most"),
+        *[F.first(c).alias(c) for c in names],
     )
     # One exchange by the group's first keys serves the sums here, the quantiles and `widen`.
-    placed = counted.repartition(*(keys or ["measure"]))
+    brackets = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("q"),
+                (F.lit(float(q)) * (F.col("n") - 1)).alias("rank"),
+                F.col("_sides")[i].alias("side"),
+            )
+            for i, q in enumerate(quantiles)
+        ]
+    )
+    placed = counted.repartition(*(keys or ["measure"])).select("*", F.explode(brackets).alias("_b")).select(
+        *group, "_m", F.struct(*names).alias("_basic"), F.col("_b.q").alias("_q"), F.col("_b.rank").alias("_rank"),
+        F.col("_b.side").alias("_side"), F.when(F.col("_b.side") < 0, F.col("_most")).otherwise(F.col("_least")).alias("value"),
+    )
     ordered = Window.partitionBy(*group, "_q").orderBy("value")
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = placed.withColumn("_cum", F.sum("_m").over(upto)).withColumn("_before", F.col("_cum") - F.col("_m"))

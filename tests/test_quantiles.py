@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from playmetrics.plans import facts
 from playmetrics.plans.quantiles import group_stats
 
 
@@ -65,3 +66,35 @@ def test_keys_may_have_any_name(spark):
     found = group_stats(df, ["_side", "_q"], ["v"])
     assert found.columns[:3] == ["_side", "_q", "measure"]
     assert sorted((r["_side"], r["_q"], r["p50"]) for r in found.collect()) == [(1, 2, 6.0), (3, 2, 1.0)]
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_rows_of_large_groups_stay_where_they_are(spark, tmp_path, monkeypatch, few):
+    """Rows meet their group's marks without an exchange of rows or a broadcast of them."""
+    monkeypatch.setattr(facts, "FEW", few)
+    monkeypatch.setattr(facts, "GRAIN", 500)
+    path = str(tmp_path / "values")
+    # Two large groups of few different values (rows that compress to nothing), and small ones.
+    spark.range(40_000).selectExpr(
+        "if(id % 100 < 98, id % 2, id % 1000) AS g", "(id * 7 % 11) / 100.0D AS v"
+    ).repartition(4).write.parquet(path)
+    df = spark.read.parquet(path)
+    stats = group_stats(df, ["g"], ["v"], (0.25, 0.5, 0.75))
+    wanted = df.groupBy("g").agg(*[facts.F.percentile("v", q).alias(f"p{round(q * 100)}") for q in (0.25, 0.5, 0.75)])
+    shown = lambda d: sorted(tuple(round(x, 9) for x in r) for r in d.select("g", "p25", "p50", "p75").collect())
+    assert shown(stats) == shown(wanted)
+    if few:
+        plan = stats._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_raw_rows_are_not_sorted(spark, tmp_path):
+    path = str(tmp_path / "values")
+    spark.range(5000).selectExpr("id % 3 AS g", "id * 7 % 1001 / 7 AS v").write.parquet(path)
+    stats = group_stats(spark.read.parquet(path), ["g"], ["v"], (0.25, 0.5))
+    plan = stats._jdf.queryExecution().executedPlan().toString().splitlines()
+    partial = [line for line in plan if "partial_min" in line]
+    assert len(partial) == 1 and "HashAggregate" in partial[0]
+    scan = next(i for i, line in enumerate(plan) if "Scan parquet" in line and "Sort" not in line)
+    at = plan.index(partial[0])
+    assert not any("Sort" in line or "hashpartitioning" in line for line in plan[at : scan + 1])
