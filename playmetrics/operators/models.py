@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_p, f_p
+from ..plans.facts import with_facts
 from ..plans.ranks import running_total
 from ..sources.tables import settle
 from .balance import borderline_smote
@@ -58,7 +59,7 @@ def stratified_folds(df: DataFrame, label: str, order: Sequence[str], k: int = 6
     # Ranks in (class, order) over all rows, less the rows of the classes before.
     placed = settle(running_total(df, [label, *order], F.lit(1), "_at"), "ranked")
     classes = placed.groupBy(F.col(label).alias("_class")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
-    found = placed.join(classes, F.col(label).eqNullSafe(F.col("_class")))
+    found = with_facts(placed, settle(classes, "classes"), F.col(label).eqNullSafe(F.col("_class")), F.col("_size"))
     fold = _contiguous(F.col("_at") - F.col("_first") + 1, F.col("_size"), k)
     return found.withColumn("fold", fold).drop("_at", "_first", "_size", "_class")
 

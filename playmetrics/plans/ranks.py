@@ -30,7 +30,9 @@ def running_total(df: DataFrame, order: Sequence[str], weight: Column, name: str
         [(r["_range"], b) for r, b in zip(sums, before)], "_range int, _offset bigint"
     )
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    counted = placed.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
+    # Dealt by hash, several ranges would meet in one task.
+    apart = placed.repartitionByRange(max(len(sums), 1), "_range")
+    counted = apart.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
     return (
         counted.join(offsets, "_range")
         .withColumn(name, F.col("_inside") + F.col("_offset"))

@@ -168,3 +168,16 @@ def test_silhouette_against_all_pairs(spark):
     found = {r["cluster"]: r["silhouette"] for r in models.silhouette(df, ["x", "y"], "c").collect()}
     assert found[None] == pytest.approx(np.mean(s))
     assert found[0] == pytest.approx(np.mean(s[:30])) and found[2] == 0.0
+
+
+def test_class_sizes_go_to_the_rows(spark, monkeypatch):
+    """The rows of a class are not dealt to one task: the join with class sizes moves no rows."""
+    df = spark.range(900).selectExpr("id", "if(id % 9 = 0, null, id % 2) AS c")
+    written = []
+    monkeypatch.setattr(models, "settle", lambda df, name: written.append(name) or io.settle(df, name))
+    found = models.stratified_folds(df, "c", ["id"], 6)
+    assert written == ["ranked", "classes"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(c" not in plan
+    sizes = {(r["c"], r["fold"]): r["count"] for r in found.groupBy("c", "fold").count().collect()}
+    assert len(sizes) == 18 and sum(sizes.values()) == 900 and max(sizes.values()) - min(sizes.values()) < 60
