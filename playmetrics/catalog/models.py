@@ -217,7 +217,7 @@ def profile_data(spark, sf):
 @query("random_forest")
 def _(spark, sf):
     data = models.assemble(profile_data(spark, sf), PROFILE_FEATURES, "vip")
-    model = models.random_forest(250).fit(data)
+    model = models.random_forest(250).fit(models.spread(data, models.FOREST_ROWS))
     return models.ranked_weights(model.featureImportances.toArray(), PROFILE_FEATURES, spark, "importance")
 
 
@@ -241,14 +241,15 @@ def profile_folds(data):
 @query("random_forest_folds")
 def _(spark, sf):
     data = models.assemble(profile_folds(numeric_profile(spark, sf)), PROFILE_FEATURES, "vip", ["fold"])
-    scored, _ = models.cross_validate(models.random_forest(250), data, 6)
+    scored, _ = models.cross_validate(models.random_forest(250), models.spread(data, models.FOREST_ROWS), 6)
     return rounded(models.fold_confusion(scored))
 
 
 @query("logistic_l1_folds")
 def _(spark, sf):
     scaled = stats.standardize(profile_folds(numeric_profile(spark, sf)), PROFILE_FEATURES)
-    scored, _ = models.cross_validate(models.logistic_l1, models.assemble(settle(scaled, "scaled"), PROFILE_FEATURES, "vip", ["fold"]), 6)
+    data = models.assemble(settle(scaled, "scaled"), PROFILE_FEATURES, "vip", ["fold"])
+    scored, _ = models.cross_validate(models.logistic_l1, models.spread(data, models.MODEL_ROWS), 6)
     return rounded(models.fold_confusion(scored))
 
 

@@ -247,6 +247,19 @@ def logistic_l1(rows: int, c: float = 1.0) -> LogisticRegression:
     return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * rows), standardization=False, maxIter=200)
 
 
+#: Rows of one task: a forest follows each through all its trees, the other models do little with one.
+FOREST_ROWS, MODEL_ROWS = 10_000, 100_000
+
+
+def spread(data: DataFrame, rows: int) -> DataFrame:
+    """Deal a table out to tasks of about ``rows`` rows, as its bytes may be few for the work of a fit.
+
+    Up to ``rows`` rows stay as they are.  How rows lie decides the draws of a forest, not what it learns from.
+    """
+    parts = -(-data.count() // rows)
+    return data.repartition(parts) if parts > 1 else data
+
+
 def cross_validate(
     estimator: Estimator | Callable[[int], Estimator], data: DataFrame, folds: int
 ) -> tuple[DataFrame, object]:
@@ -347,9 +360,9 @@ def classify_users(
     raw = assemble(split, features, label, ["fold"])
     scaled = assemble(settle(standardize(split, list(features)), "scaled"), features, label, ["fold"])
     runs = (
-        ("decision_tree", lambda rows: decision_tree(), raw),
-        ("logistic_l1", logistic_l1, scaled),
-        ("random_forest", lambda rows: random_forest(trees), raw),
+        ("decision_tree", lambda rows: decision_tree(), spread(raw, MODEL_ROWS)),
+        ("logistic_l1", logistic_l1, spread(scaled, MODEL_ROWS)),
+        ("random_forest", lambda rows: random_forest(trees), spread(raw, FOREST_ROWS)),
     )
     result = None
     for name, estimator, data in runs:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from playmetrics.catalog import QUERIES
 from playmetrics.functions.special import beta_inc, gamma_upper
 from playmetrics.operators import frames, models, stats
 from playmetrics.sources import tables as io
@@ -181,3 +182,22 @@ def test_class_sizes_go_to_the_rows(spark, monkeypatch):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(c" not in plan
     sizes = {(r["c"], r["fold"]): r["count"] for r in found.groupBy("c", "fold").count().collect()}
     assert len(sizes) == 18 and sum(sizes.values()) == 900 and max(sizes.values()) - min(sizes.values()) < 60
+
+
+def test_fits_are_spread_over_tasks(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "folds")
+    spark.range(400).selectExpr("CAST(id % 2 AS DOUBLE) AS x", "id % 2 AS c", "id DIV 2 % 2 AS fold").coalesce(1).write.parquet(path)
+    data = models.assemble(spark.read.parquet(path), ["x"], "c", ["fold"])
+    assert data.rdd.getNumPartitions() == 1 and models.spread(data, 400) is data
+    dealt = models.spread(data, 50)
+    assert dealt.rdd.getNumPartitions() == 8
+    count = lambda d: sorted(d.groupBy("fold", "label").count().collect())
+    assert count(dealt) == count(data)
+    scored, _ = models.cross_validate(models.random_forest(5), dealt, 2)
+    assert [(r["rows"], r["accuracy"]) for r in models.fold_scores(scored).orderBy("fold").collect()] == [(200, 1.0)] * 2
+    # The query deals its rows out.
+    seen = []
+    monkeypatch.setattr(models, "cross_validate", lambda estimator, data, folds: seen.append(data) or (data.withColumn("prediction", F.col("label")), None))
+    monkeypatch.setattr(models, "FOREST_ROWS", 3)
+    QUERIES["random_forest_folds"](spark, "/root/testdata/sf0.001")
+    assert seen[0].rdd.getNumPartitions() == -(-seen[0].count() // 3)
