@@ -23,6 +23,8 @@ from ..sources.tables import settle
 
 SAMPLE = 20_000
 BOX_ROWS = 4_096
+#: Cells of one task.
+TASK_CELLS = 4
 #: Boxes that the driver knows; each is cut further as a table.
 BOXES = 1_024
 #: Synthetic rows of one position that one task writes.
@@ -137,6 +139,10 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
     )
     boxed_points, boxed_queries, corners = _cells(settle(boxed_points, "points"), settle(boxed_queries, "queries"), names, corners)
 
+    # Cells are few bytes for the work they are: dealt out by number, they are not put together into one task again.
+    parts = max(1, math.ceil(count / (TASK_CELLS * BOX_ROWS)))
+    by_cell = boxed_points.repartition(parts, "cell").groupBy("cell")
+
     def bound(mine: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         radius = np.full(len(mine), np.inf)
         if len(near) >= k:
@@ -170,8 +176,8 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
         return pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns)
 
     radii = (
-        boxed_queries.groupBy("cell")
-        .cogroup(boxed_points.groupBy("cell"))
+        boxed_queries.repartition(parts, "cell").groupBy("cell")
+        .cogroup(by_cell)
         .applyInPandas(bound, typed(queries, "radius double"))
     )
     # First the boxes within reach, then their cells.
@@ -183,7 +189,7 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
     visits = boxes.join(corners, "box").where(reach <= F.col("radius")).select("qid", *names, "cell")
     kinds = dict(points.dtypes)
     schema = ", ".join(["qid bigint", *(f"`{c}` {kinds[c]}" for c in [*names, *payload]), "distance double"])
-    found = visits.groupBy("cell").cogroup(boxed_points.groupBy("cell")).applyInPandas(search, schema)
+    found = visits.repartition(parts, "cell").groupBy("cell").cogroup(by_cell).applyInPandas(search, schema)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", *names))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -28,6 +28,18 @@ def test_nearest_equals_brute_force(spark, monkeypatch, box):
     assert found == {i: list(np.argsort(d[i], kind="stable")[:7]) for i in range(60)}
 
 
+def test_cells_are_dealt_out_by_number(spark, monkeypatch):
+    """Small bytes, much work: the searches of different cells are not put together into one task."""
+    monkeypatch.setattr(balance, "BOX_ROWS", 20)
+    points, _ = cloud(400)
+    df = spark.createDataFrame([(i, float(p[0]), float(p[1])) for i, p in enumerate(points)], "pid bigint, x double, y double")
+    found = balance.nearest(df.withColumnRenamed("pid", "qid"), df, FEATURES, 3)
+    assert len(found.collect()) == 1200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.split("== Initial Plan ==")[0].splitlines() if "hashpartitioning(cell" in line]
+    assert dealt and all("5), REPARTITION_BY_NUM" in line for line in dealt)
+
+
 def test_full_cells_are_cut_again(spark, monkeypatch):
     # Nearly all points lie in one corner, which the few boxes of the driver leave to one cell.
     monkeypatch.setattr(balance, "BOX_ROWS", 25)
