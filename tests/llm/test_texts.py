@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import sys
 import time
 import re
 import zlib
@@ -72,6 +73,25 @@ def test_encoded_rows(odd, none):
     assert pieces.encode_documents(none, own).count() == 0
 
 
+def test_encoding_holds_little_at_once(spark):
+    rng = random.Random(12)
+    own = pieces.read_model(MODEL)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(500)) for _ in range(300)]
+    for at in range(0, len(texts), 50):
+        own.encode_all(texts[at : at + 50])
+    # 150,000 distinct words: what a worker keeps of them is bounded.
+    assert sum(sys.getsizeof(k) + sys.getsizeof(v) + sum(map(sys.getsizeof, v)) for k, v in own.cache.items()) < 32_000_000
+    sizes = [pieces.TOGETHER // 3] * 7 + [0] * 2_000 + [5 * pieces.TOGETHER] * 2 + [1]
+    ranges = list(pieces.row_ranges(sizes))
+    assert [i for first, n in ranges for i in range(first, first + n)] == list(range(len(sizes)))
+    assert all(n == 1 or (n <= pieces.BATCH and sum(sizes[first : first + n]) <= pieces.TOGETHER) for first, n in ranges)
+    assert list(pieces.row_ranges([])) == []
+    docs = spark.createDataFrame([(i, " ".join([t] * 30)) for i, t in enumerate(texts[:20])], "doc_id bigint, text string")
+    got = {r.doc_id: r.ids for r in pieces.encode_documents(docs.coalesce(1), own, add_end=False).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert got == {i: library.encode(" ".join([t] * 30)) for i, t in enumerate(texts[:20])}
+
+
 def slow_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
