@@ -444,3 +444,45 @@ def test_every_training_text_is_in_a_round(spark, monkeypatch):
     lm.train(docs, shared, symbols, first_docs=5, first_steps=1)
     wanted = symbols.of([lm.words_of(t) for t in texts], model).totals
     assert sum(rounds) == int(wanted.sum())
+
+
+def test_a_word_is_one_symbol_and_scores_equal_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAVY_SHARE", 0.01)
+    monkeypatch.setattr(lm, "MET_WORDS", 20)
+    monkeypatch.setattr(lm, "BATCH", 16)
+    monkeypatch.setattr(lm, "OWN_WORDS", 40)
+    model, made = pieces.read_model(MODEL), []
+    monkeypatch.setattr(lm, "train", lambda docs, shared, symbols: made.append(symbols) or attention.fresh(symbols.counts))
+    texts = [*(prose(i, 30 + i) + f" x{i} Ünder{i % 3}" for i in range(60)), "", None, "  zq日本 zq日本", "\x00 \x7f"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in lm.score_documents(rows, F.col("doc_id") % 4 != 0, model).collect()}
+    counts, symbols = Counter(), made[0]
+    for i, t in enumerate(texts):
+        counts.update(lm.words_of(t or "") if i % 4 else [])
+    own = dict(sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:40])
+    assert {w: int(symbols.counts[k]) for w, k in symbols.own.items()} == own
+    begin = {n[1:].encode(): i for n, i in ((n, i) for i, n in enumerate(model.names)) if n[0] == "▁"}
+    place = dict(zip(symbols.pieces.tolist(), symbols.places.tolist(), strict=True))
+    group = lambda w: next((place[begin[w[:k]]] for k in range(len(w), 0, -1) if begin.get(w[:k]) in place), lm.OTHER_SYMBOL)
+    size = lambda w: next((k for k in range(len(w), 0, -1) if begin.get(w[:k]) in place), 0)
+    tokens, types, pairs = Counter(), Counter(), Counter()
+    for w, n in counts.items():
+        if w not in own:
+            tokens[group(w)] += n
+            types[group(w)] += 1
+            pairs.update(zip(b" " + w, w + b" ", strict=True))
+    before = Counter()
+    for (a, _), n in pairs.items():
+        before[a] += n
+    scorer = attention.Scorer(attention.fresh(symbols.counts))
+    for i, t in enumerate(texts):
+        words = lm.words_of(t or "")
+        laid = symbols.of([words], model)
+        assert laid.totals.tolist() == [len(words) + 1]
+        want = scorer.log_probabilities(attention.windows(laid.symbols, laid.totals)).sum() / np.log(10)
+        for w in words:
+            if w not in own:
+                letters = list(zip(b" " + w, w + b" ", strict=True))[size(w) :]
+                worth = (types[group(w)] + 1) * np.prod([(pairs[p] + 1 / 256) / (before[p[0]] + 1) for p in letters])
+                want += np.log10((counts[w] + worth) / (tokens[group(w)] + types[group(w)] + 1))
+        assert abs(got[i] - want) < 1e-3 * len(words) + 1e-3, (i, got[i], want)
