@@ -16,7 +16,7 @@ All of it is DataFrame expressions. A pattern's matches and the text between the
 code points; the trees become one nested condition per tree, evaluated on the candidates of a row, so
 the whole is one pass over the documents without a shuffle. The patterns start only where a run of
 their first characters starts and never give back what they took, which keeps them linear on long
-runs and finds the same matches. Places are running sums over blocks of matches, overlaps are found by
+runs, needs no deeper stack there and finds the same matches. Places are running sums over blocks of matches, overlaps are found by
 binary search, and candidates compete only within a chain of overlapping ones: the work grows with the
 number of matches in a text, a hundred thousand take seconds.
 
@@ -195,7 +195,7 @@ def _well_formed(kind: str, value: Column) -> Column:
     """Variants of the base patterns that the rules label as personal data."""
     digits = F.length(_only_digits(value))
     if kind == "email":
-        return value.rlike(r"^[A-Za-z0-9._%+-]+(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]+)+$")
+        return value.rlike(r"^[A-Za-z0-9._%+-]+(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++$")
     if kind == "ip":
         return value.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?$") & _bytes_ok(F.split(value, ":")[0])
     if kind == "card":
@@ -203,11 +203,12 @@ def _well_formed(kind: str, value: Column) -> Column:
     return value.rlike(r"^(?:\+[0-9]|\([0-9]{3}\)\x20?[0-9]{3}[ .-][0-9]{4}\b|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\b)") & digits.between(8, 15)
 
 
-#: What a base span is made of, as a whole value.
+#: What a base span is made of, as a whole value. Repeated groups never give back, as a repeat that may is a call in a call
+#: for each turn: a long number would overflow the stack, which ends an executor.
 FORM = {
-    "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$",
+    "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)++$",
     "ip": r"^[0-9]+(?:\.[0-9]+){3}$",
-    "card": r"^[0-9](?:[\x20-]?[0-9])+$",
+    "card": r"^[0-9](?:[\x20-]?[0-9])++$",
     "phone": r"^\+[0-9][\x20().0-9-]+[0-9]$",
 }
 #: Words before a planted span, and before a planted number that is none.

@@ -261,6 +261,19 @@ def test_a_text_with_a_hundred_thousand_matches(spark):
     assert row.b == slow_spans(text) and row.b.count(",") + 1 == 3 * n and row.a == n
 
 
+def test_long_numbers_and_hosts_do_not_overflow_the_stack(spark):
+    n = 40_000
+    long = ["1 " * n + "1", "1" * n, "1-" * n + "1", "1234 " * n + "1", "a@" + "b." * n + "c", "a[at]b" + "[dot]c" * n]
+    # The driver works these out, where an overflow is an error; in a task it ends the executor.
+    for text in long:
+        for kind in pii.KINDS:
+            spark.sql("SELECT 1").select(F.lit(text).rlike(pii.FORM[kind]), pii._well_formed(kind, F.lit(text))).collect()
+    rows, _ = planted_corpus(100)
+    docs = spark.createDataFrame([*rows, *((1_000 + i, f"see {t} end") for i, t in enumerate(long))], "doc_id bigint, text string")
+    got = pii.find(docs, pii.fit(docs, trees=2), ["doc_id"]).where("doc_id >= 1000").select("doc_id", pii.listed(F.col("base")).alias("b")).collect()
+    assert {r.doc_id: r.b for r in got} == {1_000 + i: "email:4:80007" if t.startswith("a@") else "" for i, t in enumerate(long)}
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(3)
     for t in range(200):
