@@ -499,3 +499,40 @@ def test_a_word_is_one_symbol_and_scores_equal_a_loop(spark, monkeypatch):
                 worth = (types[group(w)] + 1) * np.prod([(pairs[p] + 1 / 256) / (before[p[0]] + 1) for p in letters])
                 want += np.log10((counts[w] + worth) / (tokens[group(w)] + types[group(w)] + 1))
         assert abs(got[i] - want) < 1e-3 * len(words) + 1e-3, (i, got[i], want)
+
+
+def test_scores_by_pieces_are_those_of_whole_encoded_texts(spark, folder, monkeypatch):
+    monkeypatch.setattr(lm, "HEAVY_SHARE", 0.01)
+    monkeypatch.setattr(lm, "MET_WORDS", 200)
+    monkeypatch.setattr(lm, "BATCH", 16)
+    model, made = pieces.read_model(MODEL), []
+    monkeypatch.setattr(lm, "train", lambda docs, shared, symbols: made.append(symbols) or attention.fresh(symbols.counts))
+    texts = [*(prose(i, 30 + i) + f" x{i} \u00dcnder{i % 3}" for i in range(60)), "", None, "  zq\u65e5\u672c zq\u65e5\u672c", "\x00 \x7f", "\u2581x a\u2581b \u2581 " + "y" * 99]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in lm.score_documents(rows, F.col("doc_id") % 4 != 0, model, by_pieces=True).collect()}
+    whole = [b" ".join(lm.words_of(t or "")).decode() for t in texts]
+    ids = [found[0] for found in pieces.read_model(MODEL).encode_all(whole)]
+    counts = np.zeros(len(model.names))
+    for i, found in enumerate(ids):
+        if i % 4:
+            np.add.at(counts, found, 1)
+    own = np.argsort(-counts, kind="stable")[: lm.END_SYMBOL]
+    symbol = {int(k): at for at, k in enumerate(own)}
+    rest = [k for k in range(len(counts)) if k not in symbol]
+    spread = counts[rest].sum() + 0.1 * len(rest)
+    symbols = made[0]
+    assert symbols.counts[: lm.END_SYMBOL].tolist() == counts[own].tolist()
+    assert symbols.counts[lm.END_SYMBOL] == sum(i % 4 > 0 for i in range(len(texts)))
+    scorer = attention.Scorer(attention.fresh(symbols.counts))
+    for i, found in enumerate(ids):
+        flat = np.array([*(symbol.get(int(k), lm.OTHER_SYMBOL) for k in found), lm.END_SYMBOL])
+        laid = symbols.of([lm.words_of(texts[i] or "")], model)
+        assert laid.symbols.tolist() == flat.tolist() and laid.totals.tolist() == [len(flat)]
+        want = scorer.log_probabilities(attention.windows(flat, np.array([len(flat)]))).sum() / np.log(10)
+        want += sum(np.log10((counts[k] + 0.1) / spread) for k in found if int(k) not in symbol)
+        assert abs(got[i] - want) < 1e-3 * len(flat), (i, got[i], want)
+    # The query encodes.
+    monkeypatch.undo()
+    counted, count = [], lm.count_pieces
+    monkeypatch.setattr(lm, "count_pieces", lambda words, shared: counted.append(count(words, shared)) or counted[-1])
+    assert QUERIES["op3_lm"](spark, folder).count() > 0 and counted[0].sum() > 0
